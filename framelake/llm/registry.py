@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, topk_search, url_filter
+from . import language, mixing, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op5_toxicity": toxicity.query,
+    "op7_language": language.query,
     "op9_topk_search": topk_search.query,
     "op10_mixing": mixing.query,
 }
