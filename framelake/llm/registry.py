@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, mixing, topk_search, toxicity, url_filter
+from . import language, mixing, pii, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op4_pii": pii.query,
     "op5_toxicity": toxicity.query,
     "op7_language": language.query,
     "op9_topk_search": topk_search.query,
