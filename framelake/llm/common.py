@@ -84,8 +84,9 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit."""
+    x = np.atleast_1d(x)
     x = x ^ (x >> np.uint64(30))
-    x = x * _M1
+    x *= _M1
     x ^= x >> np.uint64(27)
     x *= _M2
     x ^= x >> np.uint64(31)
@@ -93,7 +94,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def salted(x: np.ndarray, salt: int) -> np.ndarray:
-    return mix(x + _GOLD * np.uint64((2 * salt + 1) & 0xFFFFFFFF))
+    return mix(np.atleast_1d(x) + np.uint64(0x9E3779B97F4A7C15 * (2 * salt + 1) & 0xFFFFFFFFFFFFFFFF))
 
 
 _powers: list[np.ndarray] = []

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pii, topk_search, toxicity, url_filter
+from . import language, mixing, pii, sampling, token_count, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_token_count": token_count.query,
     "op4_pii": pii.query,
     "op5_toxicity": toxicity.query,
+    "op6_sampling": sampling.query,
     "op7_language": language.query,
     "op9_topk_search": topk_search.query,
     "op10_mixing": mixing.query,
