@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pii, sampling, token_count, topk_search, toxicity, url_filter
+from . import embedding_dedup, language, mixing, pii, sampling, token_count, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op2_token_count": token_count.query,
+    "op3_embedding_dedup": embedding_dedup.query,
     "op4_pii": pii.query,
     "op5_toxicity": toxicity.query,
     "op6_sampling": sampling.query,
