@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language, mixing, pii, sampling, token_count, topk_search, toxicity, url_filter
+from . import embedding_dedup, jaccard_join, language, mixing, pii, sampling, token_count, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_sampling": sampling.query,
     "op7_language": language.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_topk_search": topk_search.query,
     "op10_mixing": mixing.query,
 }
 SQL = {
+    "op8_jaccard_join": jaccard_join.SQL,
     "op9_topk_search": topk_search.SQL,
     "op10_mixing": mixing.SQL,
 }
