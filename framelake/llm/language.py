@@ -176,6 +176,35 @@ def identify(spark: SparkSession, docs: DataFrame, profiles: Profiles, text_col:
     return rows.mapInArrow(run, schema)
 
 
+#: A text whose nearest profile scores less is in no language that was learned.
+LEAST = 0.2
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, profiles: Profiles, least: float = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without texts that are `und` or score less than `least`; a null lang becomes the one identified.
+
+    With no profile to compare with, only texts without letters go and lang stays."""
+    small_batches(spark)
+    if not profiles.langs:
+        return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    sent, at, lang_at = spark.sparkContext.broadcast(profiles), docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(at))
+            langs, scores = [], [np.zeros(0)]
+            for a, b in chunks(offsets):
+                lang, score = sent.value.judge(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                langs += lang
+                scores.append(score)
+            stay = np.array([x != "und" for x in langs], bool) & (np.concatenate(scores) >= least)
+            filled = [x if x is not None else y for x, y in zip(batch.column(lang_at).to_pylist(), langs, strict=True)]
+            columns = [pa.array(filled, batch.schema.types[i]) if i == lang_at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(stay))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True)))
     return identify(spark, docs, fit(spark, docs.filter("not held_out")), keep_cols=("doc_id", "held_out"))

@@ -113,15 +113,12 @@ def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     Rows alike in id, text and source are taken together: one of them, as often as all of them are."""
     columns = docs.columns
     id_col, text_col, source_col = (options.get(k, d) for k, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    taken = (
-        mix_copies(spark, docs, **options)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"))
-        .agg(F.sum("copies").alias("__copies"))
-        .filter("__copies > 0")
-    )
-    one = docs.withColumns({"__id2": F.col(id_col).cast("long"), "__source2": F.col(source_col), "__hash2": F.xxhash64(text_col)}).dropDuplicates(["__id2", "__source2", "__hash2"])
-    on = F.col("__id").eqNullSafe(F.col("__id2")) & F.col("__source").eqNullSafe(F.col("__source2")) & (F.col("__hash") == F.col("__hash2"))
-    return one.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    # Keys without nulls, so that dropping repeats and joining share one shuffle.
+    keys = lambda i, source, text_hash: {"__id": F.coalesce(i, F.lit(-(1 << 63))), "__source": F.coalesce(F.concat(F.lit("s"), source), F.lit("")), "__hash": text_hash}
+    copies = mix_copies(spark, docs, **options).withColumns(keys(F.col("doc_id"), F.col("source"), F.col("text_hash")))
+    taken = copies.groupBy("__id", "__source", "__hash").agg(F.sum("copies").alias("__copies")).filter("__copies > 0")
+    one = docs.withColumns(keys(F.col(id_col).cast("long"), F.col(source_col), F.xxhash64(text_col))).dropDuplicates(["__id", "__source", "__hash"])
+    return one.join(taken, ["__id", "__source", "__hash"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,7 +219,8 @@ def sums(s: Samples) -> np.ndarray:
 
 def inclusion(logp: np.ndarray, kappa: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore", over="ignore"):
-        return np.where(np.isneginf(kappa), 0.0, np.log(-np.expm1(-np.exp(np.minimum(logp - kappa, 50)))))
+        x = np.minimum(logp - kappa, 50)  # far below 0 the score is x itself
+        return np.where(np.isneginf(kappa), 0.0, np.where(x < -30, x, np.log(-np.expm1(-np.exp(x)))))
 
 
 class Encoder:
