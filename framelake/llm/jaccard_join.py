@@ -4,9 +4,9 @@ The Jaccard distance is a metric on sets. Pivots, of two kinds, split the corpus
 inequality says how far a partner can be, so boundary documents are copied into every region where one may be
 found, and regions are joined one by one.
 
-1. Leaders. Documents that agree in a band of minwise hashes go to the region of the smallest id among them; the
-   leader is the pivot, and the distance to it is computed. Groups of copies collapse here, at one comparison a
-   document. This finds links; it proves none absent.
+1. Leaders. Documents that agree in a band of minwise hashes go to the regions of the smallest id and of one drawn by
+   a hash; these leaders are the pivots, and the distance to them is computed. Groups of copies collapse to their
+   connected parts here, at a few comparisons a document. This finds links; it proves none absent.
 2. Shingles. Documents that share little are all at distance 1 of nearly every document, so documents make no
    exact pivots. One-shingle sets do: x is at distance 1 - 1/|x| of a pivot {s} in it, 1 of any other. Among its
    equally near pivots a document belongs to the one first in a fixed order, rare shingles first. A partner
@@ -15,7 +15,7 @@ found, and regions are joined one by one.
    shingle, where their sizes and places bound the overlap.
 3. A region whose documents the first pass has already joined into one part needs nothing. The rest are joined,
    pairs of different parts only; a region of more than SPLIT documents is first split again by its members'
-   next pivots, windows one wider, until it is small or as deep as linked sets surely share pivots.
+   next pivots, windows one wider.
 
 Every candidate is verified on the whole shingle sets; nothing is capped. The order of shingles decides cost,
 not results: it comes from a count sketch of fixed size over all documents. Shingles are 64-bit hashes; that
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, keep, mix, read, salted, shingles, small_batches, text_chunks
+from .common import drop, keep, mix, read, release, salted, shingles, small_batches, text_chunks
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -48,7 +48,7 @@ ID_BITS = 26
 
 
 #: A region of more documents is split by its members' next pivots.
-SPLIT = 512
+SPLIT = 4096
 
 
 def window(n, percent: int):
@@ -57,8 +57,10 @@ def window(n, percent: int):
 
 
 def depth(percent: int) -> int:
-    """Pivots that two linked, different sets surely share, 4 at most: they have at least percent / (100 - percent) shingles in common."""
-    return max(1, min(4, -(-percent // (100 - percent)))) if percent < 100 else 4
+    """How often regions are split, and one more: linked, different sets share two pivots at least from 50 percent on.
+
+    A third level would cost more than it saves: a pair that shares k pivots meets in all triples of them."""
+    return 2 if percent >= 50 else 1
 
 
 def _sketch(width: int):
@@ -179,13 +181,32 @@ class Join:
         mixed = rows.groupBy("region").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("region")
         return rows.join(mixed, "region", "left_semi")
 
+    def enough(self, na, nb, common):
+        """Whether two sets of these sizes can be linked if their windows have so many pivots in common.
+
+        Of two windows one ends first; what the sets share up to there is in both windows, and of the set whose
+        window that is at most percent of its size, rounded up, less one, comes after."""
+        p = self.percent
+        beyond = F.greatest(F.floor((p * na + 99) / 100), F.floor((p * nb + 99) / 100)) - 1
+        return ((100 * na >= p * nb) & (100 * nb >= p * na)) & ((100 + p) * (common + beyond) >= p * (na + nb))
+
+    def screened(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) those whose windows have enough in common."""
+        size = (F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100) + 1).cast("int")
+        windows = sets.select("id", "n", F.slice("pivots", F.lit(1), size).alias("w"))
+        a, b = (windows.select(F.col("id").alias(k), F.col("n").alias("n" + k), F.col("w").alias("w" + k)) for k in "ab")
+        common = F.size(F.array_intersect("wa", "wb"))
+        return pairs.join(a, "a").join(b, "b").filter(self.enough(F.col("na"), F.col("nb"), common)).select("a", "b")
+
     def pairs(self, regions: DataFrame, level: int) -> DataFrame:
-        """Candidates (a, b) of different parts that share a region and whose sizes and places leave room for the overlap."""
+        """Candidates (a, b) of different parts that share a region and whose sizes and places leave room for the overlap.
+
+        In the region of their first common pivots two linked sets have at most what follows it in either in common."""
         x, y, percent = regions.alias("x"), regions.alias("y"), self.percent
-        sizes = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+        on = (F.col("x.region") == F.col("y.region")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part"))
+        on &= (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
         most = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + (level - 1)
-        enough = (100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))
-        on = (F.col("x.region") == F.col("y.region")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & sizes & enough
+        on &= (100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n"))
         return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
     def run(self) -> DataFrame:
@@ -194,17 +215,21 @@ class Join:
         small_batches(spark)
         classes = spark.sparkContext.broadcast(frequent(spark, self.docs, self.width))
         rows = keep(spark, self.docs.mapInArrow(_summaries(self.width, percent, classes), "doc_id long, n long, d1 long, d2 long, bands array<long>, pivots array<long>"))
-        named = rows.filter("n > 0 and doc_id is not null")
+        light = keep(spark, rows.select("doc_id", "n", "d1", "d2"))
+        named = lambda t: t.filter("n > 0 and doc_id is not null")
         # Equal sets are one member.
-        sets = keep(spark, named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("pivots").alias("pivots")))
-        equal = named.select("doc_id", "n", "d1", "d2").join(sets.select("id", "n", "d1", "d2"), ["n", "d1", "d2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+        sets = keep(spark, named(rows).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("pivots").alias("pivots")))
+        drop(spark, rows)
+        equal = named(light).join(sets.select("id", "n", "d1", "d2"), ["n", "d1", "d2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
         # Leaders.
-        banded = sets.select("id", "n", F.explode("bands").alias("band"))
-        leaders = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("m")).filter("m > 1").select("band", "leader")
-        near = banded.join(leaders, "band").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+        release(spark)
+        banded = sets.select("id", F.explode("bands").alias("band"))
+        leaders = banded.groupBy("band").agg(F.min("id").alias("x"), F.min_by("id", F.xxhash64("id", "band")).alias("y"), F.count("*").alias("m")).filter("m > 1").select("band", F.explode(F.array("x", "y")).alias("leader"))
+        near = keep(spark, self.screened(banded.join(leaders, "band").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), sets))
         led = self.verified(near)
-        part = led.groupBy("a").agg(F.min("b").alias("part"))
-        parts = part.join(part.select(F.col("a").alias("part"), F.col("part").alias("next")), "part", "left").select(F.col("a").alias("id"), F.coalesce("next", "part").alias("part"))
+        drop(spark, near)
+        release(spark)
+        parts = components(spark, led).withColumnRenamed("component", "part")
         # Shingles.
         members = sets.select("id", "n", "pivots").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
         regions, pairs, level = None, [], 1
@@ -213,21 +238,26 @@ class Join:
             if old is not None:
                 drop(spark, old)
             large = regions.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > self.split).select("region")
-            if level == depth(percent) or not large.limit(1).count():
-                pairs.append(keep(spark, self.pairs(regions, level)))
+            some = level < depth(percent) and large.limit(1).count() > 0
+            small, rest = (regions.join(large, "region", "left_anti"), keep(spark, regions.join(large, "region", "left_semi"))) if some else (regions, None)
+            pairs.append(keep(spark, self.pairs(small, level)))
+            release(spark)
+            if not some:
                 break
-            pairs.append(keep(spark, self.pairs(regions.join(large, "region", "left_anti"), level)))
-            rest = keep(spark, regions.join(large, "region", "left_semi"))
             drop(spark, regions)
             regions, level = rest, level + 1
         drop(spark, regions)
         candidates = pairs[0]
         for p in pairs[1:]:
             candidates = candidates.unionByName(p)
-        found = self.verified(candidates.distinct() if len(pairs) > 1 else candidates)
+        close = keep(spark, self.screened(candidates.distinct() if len(pairs) > 1 else candidates, sets))
+        drop(spark, *pairs)
+        release(spark)
+        found = self.verified(close)
         linked = components(spark, equal.unionByName(led).unionByName(found))
-        out = rows.select("doc_id", "n").join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        drop(spark, sets, led, found, *pairs)
+        release(spark)
+        out = light.select("doc_id", "n").join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        drop(spark, sets, led, close, found)
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
