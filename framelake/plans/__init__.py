@@ -1,6 +1,6 @@
 """Queries over the driver's tables, and their SQL."""
 
-from framelake.plans import datasets, frames, quality, subjects
+from framelake.plans import datasets, frames, quality, subjects, tables
 from framelake.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "datasets", "frames", "quality", "subjects"]
+__all__ = ["QUERIES", "SQL", "datasets", "frames", "quality", "subjects", "tables"]
