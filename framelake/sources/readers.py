@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values.
 JPEG = ("jpg", "jpeg")
 RAW = ("cr2", "cr3", "nef", "arw", "dng", "orf", "rw2", "raf")
 IMAGES = ("png", "jpg", "jpeg", "webp", "bmp", "tiff")
 
-COCO = T.StructType.fromDDL(
+COCO = (
     "images array<struct<id: bigint, file_name: string, width: int, height: int>>, "
     "annotations array<struct<id: bigint, image_id: bigint, category_id: int, bbox: array<double>, area: double, iscrowd: int, noun_phrase: string>>, "
     "categories array<struct<id: int, name: string, supercategory: string>>"
