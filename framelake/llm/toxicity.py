@@ -11,7 +11,7 @@ rows, a bounded sample of at most MAX_TRAIN documents, first by a hash of the id
 Closed-class words (target, negation, report, threat) are fixed lists.
 
 Defined cases: null, empty and unmatched texts score the base rate that the weights give; null labels and null
-ids are not learned from; without labelled rows only the threat list matches and the score is 0.5 at most;
+ids are not learned from; without labelled rows of both kinds only threats match, with fixed weights;
 repeated rows are scored alike; an empty table gives none. Other columns are not read.
 """
 
@@ -80,11 +80,21 @@ def compose() -> tuple[list[list[int]], list[list[int]]]:
 STEP, EMIT = compose()
 
 
+def untrained() -> np.ndarray:
+    """Weights to go by where nothing is labelled: an insult, or a threat to a target, tells."""
+    w = np.zeros(33)
+    w[0] = -3.0
+    for state in range(32):
+        if state & BITS["insult"] or state & BITS["threat"] and state & BITS["target"]:
+            w[1 + state] = 1.0 if state & (BITS["negation"] | BITS["report"]) else 4.0
+    return w
+
+
 class Grammar:
     def __init__(self, entries: dict[str, float], weights: np.ndarray | None = None):
         """entries: a word, or a beginning with a trailing *."""
         self.entries = entries
-        self.weights = np.zeros(33) if weights is None else weights
+        self.weights = untrained() if weights is None else weights
         self.words = {w for w in entries if not w.endswith("*")}
         self.starts = {w[:-1] for w in entries if w.endswith("*")}
         self.sizes = sorted({len(w) for w in self.starts})
@@ -225,6 +235,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["x", "label", "n"])
 
     table = train.mapInArrow(matched, "x binary, label long, n long").groupBy("x").agg(F.sum(F.col("label") * F.col("n")).alias("y"), F.sum("n").alias("n")).orderBy("x").collect()
+    if not table:
+        return Grammar({})
     x = np.array([np.frombuffer(r[0], np.uint8) for r in table], float)
     grammar.weights = _fit_weights(x, np.array([r[1] for r in table], float), np.array([r[2] for r in table], float))
     return grammar
