@@ -59,12 +59,13 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     of[whole[:-1] + np.arange(n)] = np.arange(n)
     of[-1] = n - 1
     stay = text != 0
+    stay[0] = True
     stay[1:] |= text[:-1] != 0
     text, of = text[stay].astype(np.uint64), of[stay]
     letter = text != 0
     # A blank after a text's last letter may be the next text's first position; n-grams belong to the text of a letter in them.
     c1, c2, c3 = text[:-2], text[1:-1], text[2:]
-    l1, l2, l3 = letter[:-2], letter[1:-1], letter[2:]
+    l2 = letter[1:-1]
     parts = []
     with np.errstate(over="ignore"):
         keep = letter
@@ -74,7 +75,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
             keep = m1 | m2
             parts.append((np.where(m1, of[:-1], of[1:])[keep], (b1 << np.uint64(21) | b2 | np.uint64(2 << 62))[keep]))
         if len(text) > 2:
-            keep = l2 & (l1 | l3)
+            keep = l2
             parts.append((of[1:-1][keep], ((c1 << np.uint64(42)) ^ (c2 << np.uint64(21)) ^ c3 ^ np.uint64(3 << 62))[keep]))
         keys = np.concatenate([d.astype(np.uint64) << np.uint64(40) | (code * _GOLD) >> np.uint64(24) for d, code in parts])
     keys.sort()
