@@ -80,7 +80,7 @@ def dup_stats(spark, d):
     return kept.agg(F.count("*").alias("frames"), F.count_if(F.col("kept")).alias("distinct_hashes"), F.count_if(~F.col("kept")).alias("duplicates"))
 
 
-@query("first_like", f"WITH h AS (SELECT doc_id, xor(b, f) AS h FROM ({_BASE})) SELECT printf('frame_%06d', min(y.doc_id)) AS filename FROM h x JOIN h y ON x.doc_id = 5 AND y.doc_id <> 5 AND bit_count(xor(x.h, y.h)) <= 4")
+@query("first_like", f"WITH h AS (SELECT doc_id, xor(b, f) AS h FROM ({_BASE})) SELECT printf('frame_%06d', min(y.doc_id)) AS filename FROM h x JOIN h y ON x.doc_id = 5 AND y.doc_id <> 5 AND bit_count(xor(x.h, y.h)) <= 4 HAVING count(*) > 0")
 def first_like(spark, d):
     return dedup.first_like(_near_hashes(spark, d), "frame_000005", 4).select("filename")
 
