@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, read
+from .common import drop, keep, read
 
 K = 5
 BLOCK = 4096
@@ -120,15 +120,19 @@ def _meet(k: int):
 
 def search(spark: SparkSession, queries: DataFrame, candidates: DataFrame, k: int = K, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(block))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(block))
     schema = "ids binary, columns binary, dims int"
     cols = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")]
     table = keep(spark, candidates.select(*cols).filter("id is not null").mapInArrow(_pack(scale, block), schema))
     asked = keep(spark, queries.select(*cols).filter("id is not null").dropDuplicates(["id"]).mapInArrow(_pack(scale, block), schema))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    spark.conf.set(batch, "4")  # a row holds two blocks
     # A row here is a block of thousands of vectors: every block of the stated query set meets every block of the table.
     pairs = asked.select(*[F.col(c).alias("q" + c) for c in asked.columns]).join(table.select(*[F.col(c).alias("c" + c) for c in table.columns]), how="cross")
-    found = pairs.repartition(max(spark.sparkContext.defaultParallelism, 2), F.xxhash64("cids")).mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+    found = keep(spark, pairs.repartition(max(spark.sparkContext.defaultParallelism, 2), F.xxhash64("cids")).mapInArrow(_meet(k), "query_id long, vec_id long, score long"))
+    spark.conf.set(batch, before)
+    drop(spark, table, asked)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
