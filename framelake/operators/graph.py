@@ -46,7 +46,9 @@ def similar(vectors: DataFrame, least: float, id_col: str, vector_col: str) -> D
 
     A row of the block table holds thousands of vectors, so pairs of blocks, not of vectors, are what is shuffled."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, str(BLOCK))
     table = keep(vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).dropna().mapInArrow(_blocks, "at long, ids binary, x binary"))
     left, right = table.toDF("at", "ids", "x"), table.toDF("at2", "ids2", "x2")
 
@@ -59,7 +61,10 @@ def similar(vectors: DataFrame, least: float, id_col: str, vector_col: str) -> D
                 on = a[i] < b[j]
                 yield pa.RecordBatch.from_arrays([pa.array(a[i[on]]), pa.array(b[j[on]]), pa.array(cos[i[on], j[on]])], names=["a", "b", "cosine"])
 
-    return left.join(right, how="cross").repartition(max(2, spark.sparkContext.defaultParallelism), "at", "at2").mapInArrow(meet, "a long, b long, cosine double")
+    spark.conf.set(batch, "4")  # a row holds two blocks
+    pairs = keep(left.join(right, how="cross").repartition(max(2, spark.sparkContext.defaultParallelism), "at", "at2").mapInArrow(meet, "a long, b long, cosine double"))
+    spark.conf.set(batch, before)
+    return pairs
 
 
 def face_clusters(faces: DataFrame, confidence: float, id_col: str = "face_id", vector_col: str = "embedding") -> DataFrame:
