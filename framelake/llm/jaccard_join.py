@@ -43,8 +43,8 @@ WIDTH, PERCENT = 5, 80
 #: Bits of the count sketch, and how many of its cells count as frequent at most.
 SKETCH_BITS, FREQUENT = 20, 1 << 16
 BANDS, ROWS = 5, 3
-#: Bits of the filter of ids whose sets are needed; 2**23 bytes whatever the input.
-ID_BITS = 26
+#: Bits of the filter of ids whose sets are needed; 2**20 bytes whatever the input.
+ID_BITS = 23
 
 
 #: A region of more documents is split by its members' next pivots.

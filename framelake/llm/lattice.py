@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import defaultdict
 
 import ahocorasick
 import numpy as np
@@ -235,9 +236,9 @@ class Lattices:
 
     The first `most` distinct chunks stay, as frequent ones come early; later ones go when their batch is done."""
 
-    def __init__(self, vocab: Vocab, alpha: float, most: int = 100_000):
+    def __init__(self, vocab: Vocab, alpha: float, most: int = 60_000):
         self.vocab, self.alpha, self.most = vocab, alpha, most
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
         self.late: list[str] = []
         self.cut: tuple[int, int] | None = None
         self.rows = {"first": _Rows(np.int32), "last": _Rows(np.int32), "low": _Rows(np.int32)} | {k: _Rows(np.int32) for k in ("start", "end", "piece")} | {k: _Rows(np.float64) for k in ("logp", "upto")}
@@ -246,18 +247,19 @@ class Lattices:
         r = self.__dict__["rows"][name]
         return r.all[: r.n]
 
-    def types(self, chunks: list[list[str]]) -> list[int]:
+    def types(self, chunks: list[list[str]]) -> np.ndarray:
         """The number of each chunk, in order."""
         number, rows = self.number, self.rows
         if self.late:
             for w in self.late:
                 del number[w]
+            number.default_factory = itertools.count(len(number)).__next__
             n, nodes, edges = len(number), *self.cut
             for k, r in rows.items():
                 r.n = n if k in ("first", "last") else nodes if k == "low" else edges
             self.late = []
         known = len(number)
-        flat = [number.setdefault(w, len(number)) for words in chunks for w in words]
+        flat = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(chunks)), np.int64)
         if len(number) > known:
             new = list(itertools.islice(number, known, None))
             keep = max(0, self.most - known)
@@ -273,12 +275,16 @@ class Lattices:
         e, rows = Edges(self.vocab, new, automaton=False), self.rows
         logp = e.forward(self.alpha)
         # Running sums of the probabilities of the edges into a node, summed within the node alone.
-        low = np.searchsorted(e.end, np.arange(e.nodes))
+        into = np.bincount(e.end, minlength=e.nodes)
+        low = np.cumsum(into) - into
         upto, rank = np.exp(logp), np.arange(len(e.end)) - low[e.end]
-        later = np.flatnonzero(rank > 0)
-        for r in range(1, int(rank.max(initial=0)) + 1):
-            now = later[rank[later] == r]
-            upto[now] += upto[now - 1]
+        later = np.flatnonzero(rank)
+        rank, r = rank[later], 0
+        while len(later):
+            r += 1
+            now = rank == r
+            upto[later[now]] += upto[later[now] - 1]
+            later, rank = later[~now], rank[~now]
         nodes, edges = rows["low"].n, rows["start"].n
         for k, x in (("first", e.first + nodes), ("last", e.last + nodes), ("low", low + edges), ("start", e.start + nodes), ("end", e.end + nodes), ("piece", e.piece), ("logp", logp), ("upto", upto)):
             rows[k].add(x)

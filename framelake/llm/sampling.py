@@ -37,7 +37,7 @@ K = 2
 ALPHA = 0.5
 SEED = 6
 #: Characters of text that are searched together, or one text.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 
 #: What a random number is for.
@@ -74,16 +74,15 @@ class Search:
         self.doc = np.repeat(np.arange(self.n), sizes)
         # Words in search order: the last of a text first. Its number counts from the text's start.
         self.word = np.repeat(sizes, sizes) - 1 - (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes))
-        flat = np.array(flat, np.int64)
         at = np.repeat(np.cumsum(sizes) - sizes, sizes) + self.word
         self.type = flat[at] if len(flat) else flat
 
     def free(self, doc, word, node, type_, t):
         """Sample from the given nodes back to their words' starts: doc, word, edge of each step, in search order."""
         stop = self.edges.first[type_] if len(type_) else type_
-        out, step = [], 0
-        i = np.arange(len(doc))
-        while len(i := i[node[i] > stop[i]]):
+        out, size, step = [], np.zeros(len(doc), np.int64), 0
+        i = np.flatnonzero(node > stop)
+        while len(i):
             at = node[i]
             u = uniform(self.keys[doc[i]], STEP, t, word[i], step)
             edge, last = self.low[at].astype(np.int64), self.high[at] - 1
@@ -92,29 +91,30 @@ class Search:
                 edge[on] += 1
                 on = on[(self.upto[edge[on]] <= u[on]) & (edge[on] < last[on])]
             out.append((i, edge))
-            node[i] = self.edges.start[edge]
             step += 1
-        if not out:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        i, edge = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(i, kind="stable")
-        i = i[order]
-        return doc[i], word[i], edge[order]
-
-    def open_sets(self, s: Samples, g: np.ndarray, t: int, since: np.ndarray) -> np.ndarray:
-        """Best perturbed score of the set that each step of sample t opens, below g of its text; none before step `since`."""
+            size[i] = step
+            at = self.edges.start[edge]
+            node[i] = at
+            i = i[at > stop[i]]
+        # A word that is not done has a step in every round, so a step's place is known.
+        first = np.cumsum(size) - size
+        path = np.empty(int(size.sum()), np.int64)
+        for r, (i, edge) in enumerate(out):
+            path[first[i] + r] = edge
+        return np.repeat(doc, size), np.repeat(word, size), path
+
+    def open_sets(self, s: Samples, t: int, since: np.ndarray) -> np.ndarray:
+        """Of the set that each step of sample t opens, the perturbed score that it would have were it not below its
+        sample's; none before step `since`. See truncated()."""
         if not len(s.edge):
             return np.zeros(0)
-        p = np.exp(s.logp)
-        choice = self.high[self.edges.end[s.edge]] - self.low[self.edges.end[s.edge]] > 1
+        end = self.edges.end[s.edge]
         with np.errstate(divide="ignore"):
-            rest = np.where(choice, np.log(np.maximum(-np.expm1(s.logp), 0)), -np.inf)
-        run = np.cumsum(s.logp)
-        later = run - s.logp - np.concatenate([[0.0], run])[s.at[:-1]][s.doc]
-        step = np.arange(len(p)) - s.at[:-1][s.doc]
-        e = -np.log(uniform(self.keys[s.doc], SET, t, step, 0))
-        out = truncated(later + rest, g[s.doc], e)
+            rest = np.where(self.high[end] - self.low[end] > 1, np.log(np.maximum(-np.expm1(s.logp), 0)), -np.inf)
+            run = np.cumsum(s.logp)
+            later = run - s.logp - np.concatenate([[0.0], run])[s.at[:-1]][s.doc]
+            step = np.arange(len(run)) - s.at[:-1][s.doc]
+            out = later + rest - np.log(-np.log(uniform(self.keys[s.doc], SET, t, step, 0)))
         out[step < since[s.doc]] = -np.inf
         return out
 
@@ -126,7 +126,7 @@ class Search:
         doc, word, edge = self.free(self.doc, self.word, self.edges.last[self.type].astype(np.int64) if len(self.type) else self.type, self.type, 0)
         s = Samples(doc, word, edge, self.logp[edge], n)
         found = [(s, g, sums(s), np.ones(n, bool))]
-        sets = [self.open_sets(s, g, 0, np.zeros(n, np.int64))]
+        sets = [self.open_sets(s, 0, np.zeros(n, np.int64))]
         taken: dict[tuple[int, int, int], set[int]] = {}
         for t in range(1, k + 1):
             best, of, step = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -140,6 +140,7 @@ class Search:
                 hit = np.flatnonzero(value == top[s.doc])
                 first = np.zeros(n, np.int64)
                 first[s.doc[hit][::-1]] = hit[::-1]
+                top = truncated(top, found[a][1])
                 better = top > best
                 best[better], of[better], step[better] = top[better], a, first[better]
             is_one = best > -np.inf
@@ -147,7 +148,7 @@ class Search:
                 return found, np.where(is_one, best, -np.inf)
             s, since = self._realise(found, sets, taken, everyone[is_one], of, step, best, t)
             found.append((s, best, sums(s), is_one))
-            sets.append(self.open_sets(s, best, t, since))
+            sets.append(self.open_sets(s, t, since))
         return found, np.full(n, -np.inf)
 
     def _realise(self, found, sets, taken, docs, of, step, best, t) -> tuple[Samples, np.ndarray]:
@@ -176,7 +177,10 @@ class Search:
             left = p.sum() if len(out) < high - low else 0.0
             if left > 0:
                 later = float(s.logp[first:j].sum())
-                sets[a][j] = truncated(np.array([later + np.log(left)]), best[d : d + 1], -np.log(w[d : d + 1]))[0]
+                # Below the new sample, which is below the set's own: as a number below the latter.
+                gap = np.logaddexp(-best[d], np.log(-np.log(w[d])) - later - np.log(left))
+                top = found[a][1][d]
+                sets[a][j] = -(gap + np.log(-np.expm1(min(-top - gap, -1e-300))))
             else:
                 sets[a][j] = -np.inf
             since[d] = j - first + 1
@@ -204,10 +208,10 @@ class Search:
         return Samples(all_doc[order], np.concatenate([kept_word, words, word])[order], edge, self.logp[edge], self.n), since
 
 
-def truncated(location: np.ndarray, top: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Gumbel numbers at a location, at most top, from exponential numbers e."""
-    with np.errstate(divide="ignore", over="ignore"):
-        return -np.logaddexp(-top, np.log(e) - location)
+def truncated(free: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Gumbel numbers made to lie below top: what was above comes under it, the order stays."""
+    with np.errstate(over="ignore"):
+        return -np.logaddexp(-top, -free)
 
 
 def sums(s: Samples) -> np.ndarray:
@@ -246,7 +250,10 @@ class Encoder:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the mark that encoding put first is taken off."""
-        return b"".join(self.bytes[ids].tolist())[1:].decode("utf-8", "replace")
+        return self.raw(ids).decode("utf-8", "replace")
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.bytes[ids].tolist())[1:]
 
     def samples(self, texts: list[str], keys: np.ndarray, k: int = K, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """Of each text up to k (ids, log-probability, perturbed score, inclusion score)."""
@@ -293,9 +300,9 @@ def encode(spark: SparkSession, docs: DataFrame, k: int = K, alpha: float = ALPH
                     if texts[i] is None:
                         rows.append((doc_ids[i], 1, 0, None, None, None, None, None, None))
                         continue
-                    want = texts[i].replace(MARK, " ")
+                    want = texts[i].replace(MARK, " ").encode("utf-8", "surrogatepass")
                     for r, (own, logp, g, score) in enumerate(found, 1):
-                        rows.append((doc_ids[i], r, len(own), logp, g, score, own if ids else None, hashlib.md5(own.tobytes()).hexdigest(), encoder.decode(own) == want))
+                        rows.append((doc_ids[i], r, len(own), logp, g, score, own if ids else None, hashlib.md5(own.tobytes()).hexdigest(), encoder.raw(own) == want))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
 
     schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids array<int>, ids_md5 string, decodes boolean"

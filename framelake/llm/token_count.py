@@ -11,6 +11,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,27 +29,19 @@ KEPT_WORDS = 400_000
 
 class Counter:
     def __init__(self, vocab: Vocab):
-        self.vocab, self.number, self.score, self.count = vocab, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.vocab, self.number, self.score, self.count = vocab, defaultdict(itertools.count().__next__), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces and best score (in thousandths of a nat) of each text."""
         if len(self.number) > KEPT_WORDS:
-            self.number, self.score, self.count = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.__init__(self.vocab)
         chunks = [split(t) if t else [] for t in texts]
-        number, new = self.number, []
-        flat = []
-        for words in chunks:
-            for w in words:
-                k = number.get(w)
-                if k is None:
-                    k = number[w] = len(number)
-                    new.append(w)
-                flat.append(k)
-        if new:
-            score, count = Edges(self.vocab, new).viterbi()
+        known = len(self.number)
+        flat = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(chunks)), np.int64)
+        if len(self.number) > known:
+            score, count = Edges(self.vocab, list(itertools.islice(self.number, known, None))).viterbi()
             self.score, self.count = np.concatenate([self.score, score]), np.concatenate([self.count, count])
         ends = np.concatenate([[0], np.cumsum([len(c) for c in chunks])]).astype(np.int64)
-        flat = np.array(flat, np.int64)
         return tuple(np.diff(np.concatenate([[0], np.cumsum(x[flat])])[ends]) if len(flat) else np.zeros(len(texts), np.int64) for x in (self.count, self.score))
 
 
