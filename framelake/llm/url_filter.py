@@ -1,9 +1,10 @@
 """Operator 1: URL filter by rules and by a character language-model ratio.
 
 Two smoothed variable-order Markov models over the characters of a URL, one for accepted and one for rejected
-URLs, are counted over every URL that a rule decides. A context stays in a model only where it was seen at
-least total / MAX_CONTEXTS times, so an order has at most MAX_CONTEXTS contexts and the model that is gathered
-and broadcast has a bound whatever the input. Longer contexts are smoothed by shorter ones (Witten-Bell).
+URLs, are counted over every URL that a rule decides. Every context that was seen stays, so the models grow with
+the input; they are one table in the shared folder, a row a context, and are never gathered. To score, URLs are
+dealt into chunks of about CHUNK, the contexts that a chunk needs are joined from the table, and the chunk's task
+works with those alone. Longer contexts are smoothed by shorter ones (Witten-Bell).
 A URL's evidence is its log-likelihood difference a character; the cut is set where held-out labelled URLs
 (one in HOLD by hash) have the least balanced error.
 
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import drop, keep, read
 
 #: (rule, verdict); the longest rule that fits a URL wins.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 ORDER = 4
-MAX_CONTEXTS = 1 << 14
+#: URLs that are scored together.
+CHUNK = 2048
 HOLD = 8
 BINS = 400
 #: Differences beyond this many nats a character share the outermost bins.
@@ -69,14 +71,16 @@ class Rules:
 
 
 class Markov:
-    """Witten-Bell smoothed variable-order model from counts of (context, character)."""
+    """Witten-Bell smoothed variable-order model from counts of (context, character).
 
-    def __init__(self, counts: dict[str, int], alphabet: int, order: int, most: int):
+    Contexts rarer than one in `most` are left out; None keeps all."""
+
+    def __init__(self, counts: dict[str, int], alphabet: int, order: int, most: int | None = None):
         by: dict[str, dict[str, int]] = defaultdict(dict)
         for gram, n in counts.items():
             by[gram[:-1]][gram[-1]] = n
         total = sum(by.get("", {}).values())
-        least = max(1, -(-total // most))
+        least = max(1, -(-total // most)) if most else 1
         self.order, self.miss = order, math.log(1 / max(alphabet, 1))
         self.step: dict[str, tuple[float, dict[str, float]]] = {}
         for context in sorted(by, key=len):
@@ -136,52 +140,97 @@ def _count(rules: Sequence[tuple[str, str]], order: int):
     return run
 
 
-def _bins(x: np.ndarray) -> np.ndarray:
-    return np.clip(((x + SPAN) * (BINS / (2 * SPAN))).astype(int), 0, BINS - 1)
+class Judge:
+    """Rules, the cut, and the table of both models: each context with how often characters followed it in accepted and rejected URLs."""
 
+    def __init__(self, rules, contexts: DataFrame | None, alphabet: int, order: int, cut: float = 0.0):
+        self.rules, self.contexts, self.alphabet, self.order, self.cut = rules, contexts, alphabet, order, cut
 
-class Judge:
-    """Rules, both models and the cut; small enough to be sent with a task."""
-
-    def __init__(self, rules, accepted: Markov | None, rejected: Markov | None, cut: float = 0.0):
-        self.rules, self.accepted, self.rejected, self.cut = rules, accepted, rejected, cut
-
-    def evidence(self, url: str | None) -> float:
-        if not url or self.accepted is None or self.rejected is None:
-            return 0.0
-        url = url.translate(_LOWER)
-        return (self.accepted.of(url) - self.rejected.of(url)) / (len(url) + 1)
-
-
-def fit(spark: SparkSession, pages: DataFrame, url_col: str = "url", rules=RULES, order: int = ORDER, most: int = MAX_CONTEXTS) -> Judge:
-    urls = pages.select(F.col(url_col).alias("url"))
-    grams = urls.mapInArrow(_count(rules, order), "gram string, verdict string, n long").groupBy("gram", "verdict").agg(F.sum("n").alias("n"))
-    contexts = grams.withColumn("context", F.expr("left(gram, length(gram) - 1)"))
-    totals = {r[0]: r[1] for r in contexts.filter("context = ''").groupBy("verdict").agg(F.sum("n")).collect()}
-    letters = contexts.filter("context = ''").select("gram").distinct().count()
-    models: dict[str, Markov | None] = {"allow": None, "block": None}
-    for verdict in models:
-        if totals.get(verdict):
-            own = contexts.filter(F.col("verdict") == verdict)
-            frequent = own.groupBy("context").agg(F.sum("n").alias("m")).filter(F.col("m") >= -(-totals[verdict] // most)).select("context")
-            kept = own.join(frequent, "context", "left_semi").select("gram", "n").collect()
-            models[verdict] = Markov({r[0]: r[1] for r in kept}, letters + 1, order, most)
-    judge = Judge(rules, models["allow"], models["block"])
-    if None in models.values():
-        return judge
-    sent = spark.sparkContext.broadcast(judge)
-
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge, known = sent.value, Rules(rules)
+
+def _decided(rules: Sequence[tuple[str, str]]):
+    """Held-out URLs that a rule decides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Rules(rules)
+        for batch in batches:
+            yield batch.filter(pa.array([bool(u) and _held(u) and known.find(*split_url(u))[1] is not None for u in batch.column(1).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def _contexts(order: int):
+    """The contexts that the URLs of each chunk meet, and all their ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Counter()
-            for url in batch.column(0).to_pylist():
-                if url and _held(url) and (verdict := known.find(*split_url(url))[1]):
-                    found[verdict, int(_bins(np.array([judge.evidence(url)]))[0])] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["verdict", "bin", "n"])
+            met: dict[int, set[str]] = defaultdict(set)
+            for url, chunk in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if url:
+                    text = BEGIN + url.translate(_LOWER) + END
+                    met[chunk].update([text[max(0, i - order) : i] for i in range(1, len(text))])
+            for chunk, longest in met.items():
+                every = list({c[k:] for c in longest for k in range(len(c) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(every), pa.int64()), pa.array(every, pa.string())], names=["chunk", "context"])
+
+    return run
+
 
+def _scored(pages: DataFrame, judge: Judge) -> DataFrame:
+    """page_id, host, path, rule, verdict (null where no rule fits) and evidence of each row of page_id, url."""
+    rules, alphabet, order = judge.rules, judge.alphabet, judge.order
+
+    def rows(ids: pa.Array, urls: list[str | None], evidence: list[float]) -> list[pa.Array]:
+        known = Rules(rules)
+        parts = [split_url(u) for u in urls]
+        found = [known.find(*p) for p in parts]
+        return [ids, pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array(evidence, pa.float64())]
+
+    names = ["page_id", "host", "path", "rule", "verdict", "evidence"]
+    schema = "page_id long, host string, path string, rule string, verdict string, evidence double"
+    if judge.contexts is None:
+
+        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(rows(batch.column(0), batch.column(1).to_pylist(), [0.0] * len(batch)), names=names)
+
+        return pages.mapInArrow(plain, schema)
+
+    def run(own: pa.Table, near: pa.Table) -> pa.Table:
+        allow, block = {}, {}
+        for context, after in zip(near.column("context").to_pylist(), near.column("after").to_pylist(), strict=True):
+            for x in after:
+                if x["allow"]:
+                    allow[context + x["c"]] = x["allow"]
+                if x["block"]:
+                    block[context + x["c"]] = x["block"]
+        accepted, rejected = Markov(allow, alphabet, order), Markov(block, alphabet, order)
+        urls = own.column("url").to_pylist()
+        low = [(u or "").translate(_LOWER) for u in urls]
+        evidence = [(accepted.of(u) - rejected.of(u)) / (len(u) + 1) if u else 0.0 for u in low]
+        return pa.Table.from_arrays(rows(own.column("page_id"), urls, evidence), names=names)
+
+    n = pages.count() // CHUNK + 1
+    dealt = pages.withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.lit(n))).repartition(n, "chunk")
+    met = dealt.mapInArrow(_contexts(order), "chunk long, context string").distinct()
+    near = met.join(judge.contexts, "context").select("chunk", "context", "after")
+    return dealt.groupBy("chunk").cogroup(near.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def fit(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = ORDER) -> Judge:
+    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
+    seen = pages.select("url").mapInArrow(_count(rules, order), "gram string, verdict string, n long")
+    count = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0)).alias(v)
+    grams = seen.groupBy("gram").agg(count("allow"), count("block"))
+    after = F.struct(F.expr("right(gram, 1)").alias("c"), "allow", "block")
+    contexts = keep(spark, grams.groupBy(F.expr("left(gram, length(gram) - 1)").alias("context")).agg(F.collect_list(after).alias("after")))
+    letters = contexts.filter("context = ''").select(F.inline("after")).agg(F.count("*"), F.sum("allow"), F.sum("block")).first()
+    if not (letters[1] and letters[2]):
+        drop(spark, contexts)
+        return Judge(rules, None, 0, order)
+    judge = Judge(rules, contexts, letters[0] + 1, order)
+    bins = F.least(F.greatest(((F.col("evidence") + SPAN) * (BINS / (2 * SPAN))).cast("int"), F.lit(0)), F.lit(BINS - 1))
     table = np.zeros((2, BINS))
-    for r in urls.mapInArrow(held, "verdict string, bin int, n long").groupBy("verdict", "bin").agg(F.sum("n")).collect():
+    for r in _scored(pages.mapInArrow(_decided(rules), pages.schema), judge).groupBy("verdict", bins.alias("bin")).count().collect():
         table[int(r[0] == "allow"), r[1]] += r[2]
     if table.sum(1).all():
         share = table / table.sum(1, keepdims=True)
@@ -195,23 +244,9 @@ def fit(spark: SparkSession, pages: DataFrame, url_col: str = "url", rules=RULES
 
 def judge_urls(spark: SparkSession, pages: DataFrame, judge: Judge, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict, evidence (nats a character), cut: a row for each page."""
-    sent = spark.sparkContext.broadcast(judge)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = sent.value
-        known = Rules(judge.rules)
-        for batch in batches:
-            urls = batch.column(1).to_pylist()
-            parts = [split_url(u) for u in urls]
-            found = [known.find(*p) for p in parts]
-            evidence = [judge.evidence(u) for u in urls]
-            verdict = [f[1] or ("allow" if e >= judge.cut else "block") for f, e in zip(found, evidence, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array(verdict, pa.string()), pa.array(evidence, pa.float64()), pa.array([judge.cut] * len(urls), pa.float64())],
-                names=["page_id", "host", "path", "rule", "verdict", "evidence", "cut"],
-            )
-
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, evidence double, cut double")
+    rows = _scored(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")), judge)
+    learned = F.when(F.col("evidence") >= judge.cut, "allow").otherwise("block")
+    return rows.withColumn("verdict", F.coalesce("verdict", learned)).withColumn("cut", F.lit(float(judge.cut)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

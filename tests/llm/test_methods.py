@@ -321,3 +321,23 @@ def test_pipeline_like_its_parts(spark):
     decoded = {r.doc_id: r.text for r in sampling.decode(spark, out).collect()}
     assert decoded == {i: masked[i] for i in want}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "jaccard", "pii", "mix", "encode"]
+
+
+def test_url_models_keep_rare_contexts(spark):
+    """With far more than 16,384 characters, contexts seen once still count: evidence as of whole models in one process."""
+    rows = [f"http://x{i:04d}.example.com/en/{i * 7919 % 10007}" for i in range(700)] + [f"http://www.example.com/en/{i * 31 % 5003}?q={i}" for i in range(700)] + [f"http://x{i}.example.org/é{i}" for i in range(50)]
+    pages = spark.createDataFrame(list(enumerate([*rows, None, ""])), "page_id long, url string")
+    known, counts = url_filter.Rules(url_filter.RULES), {"allow": Counter(), "block": Counter()}
+    for url in rows:
+        verdict = known.find(*url_filter.split_url(url))[1]
+        if verdict and not url_filter._held(url):
+            t = url_filter.BEGIN + url + url_filter.END
+            counts[verdict].update(t[i - k : i + 1] for i in range(1, len(t)) for k in range(min(4, i) + 1))
+    letters = len({g for c in counts.values() for g in c if len(g) == 1})
+    plain = {v: url_filter.Markov(c, letters + 1, 4) for v, c in counts.items()}
+    cut_off = url_filter.Markov(counts["block"], letters + 1, 4, 1 << 14)
+    assert len(cut_off.step) < len(plain["block"].step)
+    got = {r.page_id: r.evidence for r in url_filter.judge_urls(spark, pages, url_filter.fit(spark, pages)).collect()}
+    assert len(got) == len(rows) + 2 and got[len(rows)] == got[len(rows) + 1] == 0
+    for i, url in enumerate(rows):
+        assert abs(got[i] - (plain["allow"].of(url) - plain["block"].of(url)) / (len(url) + 1)) < 1e-9
