@@ -82,7 +82,7 @@ p AS (SELECT user_id, dt, row_number() OVER (PARTITION BY user_id ORDER BY k) AS
 
 @query("ema_eta", f"{_ETA} SELECT user_id, round(arg_max(m, i), 2) AS step_s FROM e GROUP BY 1")
 def ema_eta(spark, d):
-    t = table(spark, d, "events").filter("user_id < 40")
+    t = table(spark, d, "events")
     return state.remaining(t, "user_id", "ts", F.lit(200)).select("user_id", F.round("step_s", 2).alias("step_s"))
 
 
@@ -110,7 +110,7 @@ def event_sessions(spark, d):
 @query("queue_status", "SELECT user_id AS item, arg_max(s, event_id) AS status, count(*) FILTER (s = 'failed') AS failures, arg_max(s, event_id) = 'failed' AND count(*) FILTER (s = 'failed') < 3 AS retry FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'failed' ELSE event_type END AS s FROM events WHERE event_id < 600) GROUP BY 1")
 def queue_status(spark, d):
     status = F.when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
-    return state.queue_status(table(spark, d, "events").filter("event_id < 600").select(F.col("user_id").alias("item"), status.alias("status"), F.col("event_id").alias("at")))
+    return state.queue_status(table(spark, d, "events").select(F.col("user_id").alias("item"), status.alias("status"), F.col("event_id").alias("at")))
 
 
 @query("probation")
@@ -126,7 +126,7 @@ _PIX = "SELECT p_partkey, (p_partkey * 7 + r * 13 + c * 29 + r * c) % 256 AS v F
 
 def _pictures(spark, d):
     """Gray pictures of 16 by 16 pixels from part keys."""
-    parts = table(spark, d, "part").filter("p_partkey < 200").select("p_partkey")
+    parts = table(spark, d, "part").select("p_partkey")
 
     @F.pandas_udf("binary")
     def draw(key: pd.Series) -> pd.Series:
