@@ -19,7 +19,7 @@ def _sides(spark, d):
 
 def _truth(spark, d):
     """Tracks as truth, and detections that follow them with drops, drift and swapped ids."""
-    t = adapted(spark, d, "tracks").filter("frame < 20")
+    t = adapted(spark, d, "tracks")
     gt = t.select("video_id", F.col("frame").alias("t"), F.col("track_id").alias("gt_id"), "category_id", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
     drift = (F.col("t") % 5).cast("double")
     swapped = F.when(F.col("t") >= 12, F.col("gt_id") + 1000).otherwise(F.col("gt_id"))
@@ -45,12 +45,12 @@ FROM tracks a JOIN tracks b ON a.video_id = b.video_id AND a.frame = b.frame AND
 
 @query("track_overlap", f"{_OVER} SELECT video_id, a, b, {near_sql('sum(i) / sum(s - i)')} AS iou FROM p GROUP BY ALL")
 def track_overlap(spark, d):
-    return M.overlap_over_time(adapted(spark, d, "tracks").filter("frame < 20")).select("video_id", "a", "b", near(F.col("iou")).alias("iou"))
+    return M.overlap_over_time(adapted(spark, d, "tracks")).select("video_id", "a", "b", near(F.col("iou")).alias("iou"))
 
 
 @query("nms_track")
 def nms_track(spark, d):
-    return M.suppress_tracks(adapted(spark, d, "tracks").filter("frame < 20"), 0.1).select("video_id", "track_id", "kept")
+    return M.suppress_tracks(adapted(spark, d, "tracks"), 0.1).select("video_id", "track_id", "kept")
 
 
 @query("associate")
