@@ -34,7 +34,7 @@ def coco_queries(spark, d):
 @query("ytvis_explode", f"{_T} SELECT video_id, track_id, frame, w * h AS area, row_number() OVER (ORDER BY video_id, track_id, frame) AS ann_id FROM tracks WHERE frame < 10 AND frame % 3 <> 0")
 def ytvis_explode(spark, d):
     box = F.when(F.col("frame") % 3 != 0, F.array("x", "y", "w", "h"))
-    t = adapted(spark, d, "tracks").filter("frame < 10").select("video_id", "track_id", "category_id", "frame", box.alias("box"))
+    t = adapted(spark, d, "tracks").select("video_id", "track_id", "category_id", "frame", box.alias("box"))
     packed = t.groupBy("video_id", "track_id", "category_id").agg(F.array_sort(F.collect_list(F.struct("frame", "box"))).alias("p"))
     packed = packed.select("video_id", "track_id", "category_id", F.transform("p", lambda x: x["box"]).alias("boxes"), F.transform("p", lambda x: F.lit(None).cast("double")).alias("areas"))
     rows = D.explode_tracks(packed)

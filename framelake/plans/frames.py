@@ -243,7 +243,7 @@ def collision_names(spark, d):
 
 @query("select_expression", "SELECT string_agg('eq(n\\,' || event_id || ')', '+' ORDER BY event_id) AS expression FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0")
 def select_expression(spark, d):
-    return joins.select_expression(table(spark, d, "events").filter("event_type = 'purchase' and event_id % 50 = 0").select(F.col("event_id").alias("frame_num")))
+    return joins.select_expression(table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("frame_num")))
 
 
 @query(
@@ -253,5 +253,5 @@ r AS (SELECT *, cond = max(CASE WHEN cond < frame THEN cond END) OVER w AS is_be
 SELECT video_id, frame, cond, rank FROM (SELECT video_id, frame, cond, CAST(row_number() OVER (PARTITION BY video_id, frame ORDER BY CASE WHEN is_before THEN 0 WHEN is_after THEN 1 ELSE 2 END, abs(cond - frame), cond) AS INT) AS rank FROM r) WHERE rank <= 3""",
 )
 def nearest_conditioning(spark, d):
-    t = adapted(spark, d, "tracks").filter("frame < 40").select("video_id", "frame", (F.col("frame") % 7 == 0).alias("conditioning"))
+    t = adapted(spark, d, "tracks").select("video_id", "frame", (F.col("frame") % 7 == 0).alias("conditioning"))
     return joins.nearest_conditioning(t, 3)

@@ -5,6 +5,7 @@ import pytest
 from framelake.operators import matching
 from framelake.plans import QUERIES, SQL, quality
 from framelake.plans.adapters import adapted, table
+from framelake.streaming import state
 from oracle import same
 
 DATA = "/root/testdata/sf0.01"
@@ -14,6 +15,9 @@ SUBSETS = {
     "pixel_levels": " WHERE p_partkey < 200",
     "count_metric": " WHERE frame < 20",
     "track_overlap": " WHERE a.frame < 20",
+    "select_expression": " AND event_id % 50 = 0",
+    "nearest_conditioning": " WHERE frame < 40",
+    "ytvis_explode": "frame < 10 AND ",
 }
 
 
@@ -61,3 +65,10 @@ def test_track_suppression_sees_late_frames(spark):
         if (v, t) not in gone:
             gone |= {(v, u) for w, u in best if w == v and u != t and iou.get((v, min(t, u), max(t, u)), 0) >= 0.1}
     assert {(r.video_id, r.track_id) for r in QUERIES["nms_track"](spark, DATA).collect() if not r.kept} == gone
+
+
+def test_probation_reads_late_frames(spark, monkeypatch):
+    """Its events end early on these tables, so what it reads is held against all rows."""
+    monkeypatch.setattr(state, "probation_table", lambda rows: rows)
+    rows = sorted((r.video_id, r.frame, r.object_id) for r in QUERIES["probation"](spark, DATA).collect())
+    assert rows == sorted((r.video_id, r.frame, r.track_id) for r in adapted(spark, DATA, "tracks").collect())
