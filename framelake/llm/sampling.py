@@ -325,4 +325,4 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str = PATH, ids_col: s
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark, read(spark, sf_dir, "documents"), ids=False).drop("ids")
+    return encode(spark, read(spark, sf_dir, "documents"))

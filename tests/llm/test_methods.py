@@ -341,3 +341,11 @@ def test_url_models_keep_rare_contexts(spark):
     assert len(got) == len(rows) + 2 and got[len(rows)] == got[len(rows) + 1] == 0
     for i, url in enumerate(rows):
         assert abs(got[i] - (plain["allow"].of(url) - plain["block"].of(url)) / (len(url) + 1)) < 1e-9
+
+
+def test_sampling_query_returns_ids(spark):
+    rows = registry.QUERIES["op6_sampling"](spark, DATA)
+    texts = {r.doc_id: r.text for r in table(spark, "documents", DATA).collect()}
+    got = sampling.decode(spark, rows).collect()
+    assert {r.doc_id for r in got} == set(texts)
+    assert all(r.text == (None if texts[r.doc_id] is None else texts[r.doc_id].replace(lattice.MARK, " ")) for r in got)
