@@ -4,15 +4,18 @@ Patterns give base spans (email, ip, card, phone), which stay. The field has a n
 digit or @ and for each later mention of an address's local part; neighbouring tokens share a chain potential,
 and distant tokens of the same form, or of the same last seven digits, share a skip potential. Loopy message
 passing over a batch of documents at once (no edge leaves a document) makes labels agree across a document:
-a token like one that a pattern found is labelled as it where the field says so.
+a token like one that a pattern found is labelled as it where the field says so. Neighbouring tokens that the
+field labels card or phone are one span while it has no more digits than its kind may have. Each document's messages run until they rest, on steps that shrink, so
+that every document does; the others of its batch do not matter.
 
 The field is trained here, piecewise, from counts over all documents with the base spans as labels: node weights
 by multinomial regression on BITS shape bits (at most 2**BITS * 5 counts are gathered), pair potentials from
-co-occurrence counts.
+co-occurrence counts. What a pattern matched but dropped as too long (a phone that runs on into the next number)
+is no evidence: such tokens have no label in training, and the field decides on them afterwards.
 
-Defined cases: a null text is empty and has no spans; spans count code points, end exclusive; repeated rows are
-labelled alike; an empty table gives none; without any token nothing is added. Only the columns named are read;
-mask() hands all columns of docs on.
+Defined cases: a null text is empty and has no spans; spans count code points, end exclusive, and stand by start,
+then kind; repeated rows are labelled alike; an empty table gives none; without any token nothing is added. Only
+the columns named are read; mask() hands all columns of docs on.
 """
 
 from __future__ import annotations
@@ -33,10 +36,15 @@ KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9
 #: Counts that repeated tokens start with: for equal labels, for different ones.
 AGREE, DIFFER = 20.0, 0.2
-ROUNDS = 12
-BITS = 14
+#: Messages rest when none of a document's changes by more; steps are of STEP, and shrink by SHRINK after so many rounds.
+REST, STEP, SHRINK, ROUNDS = 1e-4, 0.5, 0.97, 32
+BITS = 15
+#: A node that no pattern labels, and one that is not known.
+NONE, UNKNOWN = 0, -1
 #: Local parts of an address shorter than this are not looked for elsewhere.
 LOCAL_LEAST = 5
+#: Digits that a span may have by kind; an address of either kind is one token.
+MOST_DIGITS = (0, 0, 19, 15)
 MASKS = {k: f"[{k.upper()}]" for k in KINDS}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -90,16 +98,27 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     for m in _PHONE.finditer(text):
         if 9 <= len(_DIGITS.findall(m[0])) <= 15:
             out.append((m.start(), m.end(), 3))
-    return sorted(out)
+    return sorted(out, key=_order)
 
 
-def _shape(raw: str, core: str, digits: int, before: bool, after: bool) -> int:
-    bits = ("@" in core, "+" in raw[:2], "(" in raw or ")" in raw, 1 <= digits <= 2, 3 <= digits <= 4, 5 <= digits <= 7, 8 <= digits <= 11, 12 <= digits <= 19, digits > 19, any(c.isalpha() for c in core), bool(_DOTTED.search(core)), "-" in core, before, after)
+def _order(span: tuple) -> tuple:
+    return span[0], span[2], span[1]
+
+
+def too_long(text: str) -> list[tuple[int, int]]:
+    """What the card and phone patterns match and drop for having too many digits."""
+    out = [m.span() for m in _CARD.finditer(text) if len(_DIGITS.findall(m[0])) > MOST_DIGITS[2]]
+    return out + [m.span() for m in _PHONE.finditer(text) if len(_DIGITS.findall(m[0])) > MOST_DIGITS[3]]
+
+
+def _shape(raw: str, core: str, number: str, before: bool, after: bool) -> int:
+    digits = len(number)
+    bits = ("@" in core, "+" in raw[:2], "(" in raw or ")" in raw, 1 <= digits <= 2, 3 <= digits <= 4, 5 <= digits <= 7, 8 <= digits <= 11, 12 <= digits <= 19, digits > 19, any(c.isalpha() for c in core), bool(_DOTTED.search(core)), "-" in core, before, after, 12 <= digits <= 19 and luhn(number))
     return sum(1 << i for i, b in enumerate(bits) if b)
 
 
 class Graph:
-    """Nodes and edges of many documents; labels run from 0 (none) over the kinds."""
+    """Nodes and edges of many documents; labels run from 0 (none) over the kinds, UNKNOWN is none of them."""
 
     def __init__(self):
         self.doc, self.span, self.label, self.shape = [], [], [], []
@@ -121,6 +140,7 @@ class Graph:
             have = {s for s, _ in spans}
             spans = sorted(spans + [m.span() for m in _TOKEN.finditer(text) if m.start() not in have and m[0].strip(_EDGE).lower() in locals_])
         first, seen, j = len(self.doc), {}, 0
+        base, dropped = sorted(base), too_long(text)
         cores = []
         for s, e in spans:
             raw = text[s:e]
@@ -130,7 +150,9 @@ class Graph:
         for i, ((s, e), (a, b)) in enumerate(zip(spans, cores, strict=True)):
             while j < len(base) and base[j][1] <= s:
                 j += 1
-            label = next((k + 1 for x, y, k in base[j : j + 4] if x < b and y > a), 0)
+            label = next((k + 1 for x, y, k in base[j : j + 4] if x < b and y > a), NONE)
+            if label == NONE and any(x < b and y > a for x, y in dropped):
+                label = UNKNOWN
             core, node = text[a:b], len(self.doc)
             before = i > 0 and s - spans[i - 1][1] <= 1
             after = i + 1 < len(spans) and spans[i + 1][0] - e <= 1
@@ -138,7 +160,7 @@ class Graph:
             self.doc.append(doc)
             self.span.append((a, b))
             self.label.append(label)
-            self.shape.append(_shape(text[s:e], core, len(digits), before, after))
+            self.shape.append(_shape(text[s:e], core, digits, before, after))
             if before and node > first:
                 self.chain.append((node - 1, node))
             keys = [core.lower()]
@@ -162,11 +184,12 @@ class Field:
 
     def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.weights, self.chain, self.skip = weights, chain, skip
+        # By shape, so that a node's number does not depend on the nodes beside it.
+        self.unary = np.stack([((np.arange(1 << BITS)[:, None] >> np.arange(BITS)) & 1) @ weights[:-1, k] + weights[-1, k] for k in range(5)], 1)
 
     def marginals(self, g: Graph) -> np.ndarray:
-        shape, label = np.array(g.shape, np.int64), np.array(g.label)
-        x = np.concatenate([(shape[:, None] >> np.arange(BITS)) & 1, np.ones((len(shape), 1))], 1)
-        unary = x @ self.weights
+        label, doc = np.array(g.label), np.array(g.doc)
+        unary = self.unary[np.array(g.shape, np.int64)]
         fixed = label > 0
         unary[fixed] = -40.0
         unary[fixed, label[fixed]] = 40.0
@@ -177,20 +200,27 @@ class Field:
             source, to = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
             pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
             back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
-            m = np.zeros((2 * n, 5))
-            for _ in range(ROUNDS):
-                belief = unary.copy()
-                np.add.at(belief, to, m)
-                new = _logsum((belief[source] - m[back])[:, :, None] + pair, 1)
-                new -= _logsum(new, 1)[:, None]
-                new = 0.5 * m + 0.5 * new
-                if np.abs(new - m).max() < 1e-4:
-                    m = new
-                    break
-                m = new
-            np.add.at(unary, to, m)
+            np.add.at(unary, to, self._messages(unary, source, to, back, pair, doc[source]))
         return np.exp(unary - _logsum(unary, 1)[:, None])
 
+    @staticmethod
+    def _messages(unary, source, to, back, pair, doc) -> np.ndarray:
+        """The message of each directed edge once its document's messages rest."""
+        m, live, step, rounds = np.zeros((len(source), 5)), np.arange(len(source)), STEP, 0
+        while len(live):
+            belief = unary.copy()
+            np.add.at(belief, to, m)
+            new = _logsum((belief[source[live]] - m[back[live]])[:, :, None] + pair[live], 1)
+            new -= _logsum(new, 1)[:, None]
+            move = step * (new - m[live])
+            m[live] += move
+            most = np.zeros(int(doc.max()) + 1)
+            np.maximum.at(most, doc[live], np.abs(move).max(1))
+            live = live[most[doc[live]] >= REST]
+            rounds += 1
+            step *= SHRINK if rounds > ROUNDS else 1.0
+        return m
+
     def label(self, texts: list[str | None]) -> list[list[tuple[int, int, int, bool]]]:
         """Of each text (start, end, number of the kind, whether base), by start, then kind."""
         out, g = [], Graph()
@@ -202,9 +232,15 @@ class Field:
         if g.doc:
             p = self.marginals(g)
             best = p.argmax(1)
-            for node in np.flatnonzero((np.array(g.label) == 0) & (best > 0) & (p.max(1) >= SURE)):
-                out[g.doc[node]].append((*g.span[node], int(best[node]) - 1, False))
-        return [sorted(x) for x in out]
+            last, runs_on = -1, {b for a, b in g.chain if a == b - 1}
+            for node in np.flatnonzero((np.array(g.label) <= 0) & (best > 0) & (p.max(1) >= SURE)).tolist():
+                kind, own = int(best[node]) - 1, out[g.doc[node]]
+                if last == node - 1 and node in runs_on and own[-1][2] == kind and len(_DIGITS.findall(texts[g.doc[node]], own[-1][0], g.span[node][1])) <= MOST_DIGITS[kind]:
+                    own[-1] = (own[-1][0], g.span[node][1], kind, False)
+                else:
+                    own.append((*g.span[node], kind, False))
+                last = node
+        return [sorted(x, key=_order) for x in out]
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +250,9 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text and _ACTIVE.search(text):
                 g = Graph()
                 g.add(0, text, base_spans(text))
-                seen.update(("node", a, b) for a, b in zip(g.shape, g.label, strict=True))
-                seen.update(("chain", g.label[a], g.label[b]) for a, b in g.chain)
-                seen.update(("skip", g.label[a], g.label[b]) for a, b in g.skip)
+                seen.update(("node", a, b) for a, b in zip(g.shape, g.label, strict=True) if b != UNKNOWN)
+                for what, edges in (("chain", g.chain), ("skip", g.skip)):
+                    seen.update((what, x, y) for a, b in edges if (x := g.label[a]) != UNKNOWN and (y := g.label[b]) != UNKNOWN)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["what", "a", "b", "n"])
 
 
@@ -269,12 +305,12 @@ def find_spans(spark: SparkSession, docs: DataFrame, field: Field, id_col: str =
 
 
 def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
-    """The text with each span replaced by its kind; of overlapping spans the first counts."""
+    """The text with each span replaced by its kind; spans that overlap go together, by the kind of the first."""
     out, done = [], 0
     for s, e, k, _ in spans:
         if s >= done:
             out += [text[done:s], MASKS[KINDS[k]]]
-            done = e
+        done = max(done, e)
     return "".join(out) + text[done:]
 
 
