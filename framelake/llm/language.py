@@ -5,7 +5,12 @@ blank); a document has the ranks of its own. The out-of-place distance sums the
 that a profile lacks counting TOP; the nearest profile names the language.
 
 Profiles are fitted on a bounded sample: of each language at most `per_lang` documents (800), those first by a
-hash of the id, never of a held-out fold. What is scored are whole texts of all rows.
+hash of the id, never of a held-out fold. A bound on the hash from the language's number of ids comes first, so
+that what is ranked has the sample's size, however many documents the language has. What is scored are whole
+texts of all rows.
+
+keep_identified() rejects a text that no learned language explains: one that scores less than the cut of its
+nearest language, CUT_SHARE of what all but CUT_QUANTILE of that language's sample score.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; a null lang is not learned from;
 with nothing to learn from every text is `und`; equal distances go to the language first in code-point order;
@@ -22,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, read, small_batches, utf8
+from .common import chunks, drop, keep, read, small_batches, utf8
 
 TOP = 300
 #: Less than 1000, so that Spark limits each group before it shuffles.
 PER_LANG = 800
+#: How many times per_lang ids the bound on the hash is to leave, give or take.
+BOUND = 1.5
+CUT_QUANTILE, CUT_SHARE = 0.005, 0.7
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _table: list[np.ndarray] = []
 
@@ -99,8 +107,9 @@ def ranked(keys: np.ndarray, counts: np.ndarray, n: int, top: int) -> tuple[np.n
 
 
 class Profiles:
-    def __init__(self, ranks: dict[str, list[int]], top: int):
-        self.langs, self.top = sorted(ranks), top
+    def __init__(self, ranks: dict[str, list[int]], top: int, least: dict[str, float] | None = None):
+        """least: by language the score under which a text is not in it."""
+        self.langs, self.top, self.least = sorted(ranks), top, least or {}
         self.known = np.array(sorted({h for v in ranks.values() for h in v}), np.uint64)
         self.table = np.full((len(self.known) + 1, len(self.langs)), top, np.int32)
         for j, lang in enumerate(self.langs):
@@ -126,17 +135,28 @@ class Profiles:
         return out, score
 
 
+    def judged(self, texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray]]:
+        """judge() over texts in order, some at a time."""
+        data, offsets = utf8(texts)
+        for a, b in chunks(offsets):
+            yield self.judge(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
 def fold(id_col: Column, of: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % of
 
 
 def fit(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP, per_lang: int = PER_LANG) -> Profiles:
     small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter("lang is not null and id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    part = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter("lang is not null and id is not null").withColumn("part", part)
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("ids"))
+    near = rows.join(sizes, "lang").filter(F.col("part") * F.col("ids") <= BOUND * per_lang)
+    order = Window.partitionBy("lang").orderBy("part", "id")
     # At most per_lang ids of each language.
-    ids = rows.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).select("id", "lang").distinct()
+    ids = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).select("id", "lang").distinct()
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids), ["id", "lang"], "left_semi")
+    sample = keep(spark, sample.select("lang", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +174,22 @@ def fit(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     ranks: dict[str, list[int]] = {}
     for r in counts.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= top).select("lang", "gram", "k").orderBy("lang", "k").collect():
         ranks.setdefault(r[0], []).append(r[1])
-    return Profiles(ranks, top)
+    profiles = Profiles(ranks, top)
+    sent = spark.sparkContext.broadcast(profiles)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = 0
+            for langs, scores in sent.value.judged(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, len(langs)), pa.array(langs, pa.string()), pa.array(scores)], names=["lang", "told", "score"])
+                a += len(langs)
+
+    scores: dict[str, list[float]] = {}
+    for lang, score in sample.mapInArrow(told, "lang string, told string, score double").filter("lang = told").select("lang", "score").collect():
+        scores.setdefault(lang, []).append(score)
+    profiles.least = {lang: CUT_SHARE * sorted(x)[int(CUT_QUANTILE * len(x))] for lang, x in scores.items()}
+    drop(spark, sample)
+    return profiles
 
 
 def identify(spark: SparkSession, docs: DataFrame, profiles: Profiles, text_col: str = "text", keep_cols: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -165,10 +200,8 @@ def identify(spark: SparkSession, docs: DataFrame, profiles: Profiles, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column("__text"))
             langs, scores = [], []
-            for a, b in chunks(offsets):
-                lang, score = sent.value.judge(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for lang, score in sent.value.judged(batch.column("__text")):
                 langs += lang
                 scores.append(score)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*keep_cols, *names])
@@ -177,12 +210,8 @@ def identify(spark: SparkSession, docs: DataFrame, profiles: Profiles, text_col:
     return rows.mapInArrow(run, schema)
 
 
-#: A text whose nearest profile scores less is in no language that was learned.
-LEAST = 0.2
-
-
-def keep_identified(spark: SparkSession, docs: DataFrame, profiles: Profiles, least: float = LEAST, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without texts that are `und` or score less than `least`; a null lang becomes the one identified.
+def keep_identified(spark: SparkSession, docs: DataFrame, profiles: Profiles, least: float | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without texts that are `und` or score less than their language's cut (`least`, if given); a null lang becomes the one identified.
 
     With no profile to compare with, only texts without letters go and lang stays."""
     small_batches(spark)
@@ -192,13 +221,12 @@ def keep_identified(spark: SparkSession, docs: DataFrame, profiles: Profiles, le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(at))
             langs, scores = [], [np.zeros(0)]
-            for a, b in chunks(offsets):
-                lang, score = sent.value.judge(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for lang, score in sent.value.judged(batch.column(at)):
                 langs += lang
                 scores.append(score)
-            stay = np.array([x != "und" for x in langs], bool) & (np.concatenate(scores) >= least)
+            cut = np.array([np.inf if x == "und" else sent.value.least.get(x, 0.0) if least is None else least for x in langs], float)
+            stay = np.concatenate(scores) >= cut
             filled = [x if x is not None else y for x, y in zip(batch.column(lang_at).to_pylist(), langs, strict=True)]
             columns = [pa.array(filled, batch.schema.types[i]) if i == lang_at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(stay))

@@ -84,7 +84,34 @@ def plain_spans(text):
             if k == 1 and any(int(p) > 255 for p in m[0].split(".")) or k == 2 and not (12 <= len(digits) <= 19 and pii.luhn(digits)) or k == 3 and not 9 <= len(digits) <= 15:
                 continue
             out.append((m.start(), m.end(), k))
-    return sorted(out)
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def test_spans_with_one_start_stand_by_kind():
+    field = pii.train(np.zeros((1 << pii.BITS, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+    for text, want in (
+        ("4111111111111111@x.com", [(0, 22, 0), (0, 16, 2)]),
+        ("1.2.3.4@x.com", [(0, 13, 0), (0, 7, 1)]),
+        ("+14155552671@x.com", [(0, 18, 0), (0, 12, 3)]),
+        ("000000000000.1.1.1", [(0, 18, 1), (0, 12, 2)]),
+    ):
+        assert pii.base_spans(text) == want and [s[:3] for s in field.label([text])[0]] == want
+    assert pii.redact("x 4111111111111111@x.com y", [(2, 18, 2, True), (2, 24, 0, True)]) == "x [CARD] y"
+
+
+def test_field_adds_what_patterns_drop_and_ignores_its_batch(spark):
+    """A phone that runs on into the next number is dropped by its pattern; the field finds it, whatever texts stand beside it."""
+    field = pii.fit(spark, table(spark, "documents", "/root/testdata/sf0.1"))
+    text = "ment oument +1 (826) 555-4081 190.137.223.204 du anvio"
+    assert plain_spans(text) == [(30, 45, 1)]
+    alone = field.label([text])[0]
+    assert [(text[s:e], pii.KINDS[k], b) for s, e, k, b in alone] == [("+1 (826) 555-4081", "phone", False), ("190.137.223.204", "ip", True)]
+    rnd = random.Random(8)
+    pool = [r.text or "" for r in table(spark, "documents", SMALL).limit(300).collect()] + ["a@b.co c@d.ef " * 40, "+1 (555) 555-1234 5551234 " * 30]
+    first = {t: field.label([t])[0] for t in pool}
+    for _ in range(3):
+        rnd.shuffle(pool)
+        assert field.label([*pool, text]) == [*(first[t] for t in pool), alone]
 
 
 def test_base_spans_like_plain_patterns():
@@ -148,6 +175,44 @@ def test_language_held_out(spark):
     assert sum(rows[i].lang_pred == langs[i] for i in held) >= 0.97 * len(held)
 
 
+def test_distance_like_plain_ranks(spark):
+    """The query's languages and scores against out-of-place distances by plain sorting and sums."""
+    docs = table(spark, "documents", SMALL)
+    top = 300
+    profiles = language.fit(spark, docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    place = {lang: {int(h): r for r, h in enumerate(profiles.known[np.argsort(profiles.table[:-1, j], kind="stable")][: (profiles.table[:-1, j] < top).sum()])} for j, lang in enumerate(profiles.langs)}
+    rows = {r.doc_id: r for r in registry.QUERIES["op7_language"](spark, SMALL).collect()}
+    for doc in docs.limit(120).collect():
+        data, offsets = common.utf8(__import__("pyarrow").array([doc.text]))
+        keys, counts, _ = language.grams(data, offsets)
+        own = sorted(zip((-counts).tolist(), (keys & np.uint64((1 << 40) - 1)).tolist(), strict=True))[:top]
+        distance = {lang: sum(abs(p[h] - r) if h in p else top for r, (_, h) in enumerate(own)) for lang, p in place.items()}
+        best = min(distance, key=lambda x: (distance[x], x))
+        assert rows[doc.doc_id].lang_pred == best and rows[doc.doc_id].score == pytest.approx(1 - distance[best] / (top * len(own)))
+
+
+def test_sample_of_a_language_is_bounded(spark):
+    """Those first by the hash, as many as asked for, whatever the language's share of the rows."""
+    rows = [(i, f"text {'abcdefgh'[i % 8] * 3}", "en" if i % 50 else "fr") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    profiles = language.fit(spark, docs, per_lang=40)
+    assert profiles.langs == ["en", "fr"]
+    first = docs.filter("lang = 'en'").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).orderBy("h").limit(40).select("doc_id", "text", "lang")
+    fr = docs.filter("lang = 'fr'").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11)).orderBy("h").limit(40).select("doc_id", "text", "lang")
+    want = language.fit(spark, first.unionByName(fr), per_lang=40)
+    assert (profiles.known == want.known).all() and (profiles.table == want.table).all() and profiles.least == want.least
+
+
+def test_unlearned_languages_go(spark):
+    docs = table(spark, "documents", SMALL)
+    profiles = language.fit(spark, docs)
+    other = ["Bu gün hava çok güzel ve biz parka gidiyoruz arkadaşlarımla birlikte", "Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie", "Широка страна моя родная много в ней лесов полей и рек"]
+    added = spark.createDataFrame([(10**6 + i, t, None, "x", len(t)) for i, t in enumerate(other)], docs.schema)
+    kept = {r.doc_id for r in language.keep_identified(spark, docs.unionByName(added), profiles).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert max(kept) < 10**6 and kept == {i for i, t in texts.items() if re.search(r"[^\W\d_]", t or "")}
+
+
 def test_rank_order_like_plain_counts():
     text = "Été, the theme: a THE end!"
     words = re.findall(r"[^\W\d_]+", text.lower())
