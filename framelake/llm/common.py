@@ -28,18 +28,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def keep(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, lineage cut, and lost executors cost nothing."""
-    path = f"{shared_dir(spark)}/framelake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def keep(spark: SparkSession, df: DataFrame, to: DataFrame | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: computed once, lineage cut, and lost executors cost nothing.
+
+    to: a kept table of the same columns that df's rows are added to."""
+    path = f"{shared_dir(spark)}/framelake-{uuid.uuid4().hex}" if to is None else to._framelake_path
+    df.write.mode("errorifexists" if to is None else "append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._framelake_path = path
     return out
