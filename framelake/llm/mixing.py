@@ -5,12 +5,14 @@ cap; what a capped source leaves goes to the others by weight. Within a source e
 target / source_size copies. Documents stand in order of size class, then id; the expected copies are summed
 along that order, one offset per source is added, and a document is emitted once per integer crossed.
 
-The order is cut into blocks of ids, so that no task holds a source: counts per (source, class, block) are
-pre-aggregated, prefix sums run over those counts, and ranks are taken within a block.
+The order is cut by quantiles of the whole key (range partitioning, with a row's place in its file last), so that
+no task holds a source, whatever its ids: rows are numbered within a cut, counts per (source, cut) are summed along
+the cuts, and both give the rank. Copies are the whole part of the expectation, and one more where the sum of the
+fractions crosses, so that rounding never gives a document more than the expectation rounded up.
 
 Defined cases: a null text has size 0; a null source is a source of its own; a null id sorts first; rows with
 the same id are ranked one after the other and each counts; a source without words has target 0; an empty
-table gives no rows. Columns other than the three named are not read.
+table gives no rows. Columns other than the three named are not read. Sources are ordered in one task, a row each.
 """
 
 from __future__ import annotations
@@ -18,15 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, read
+from .common import drop, keep, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 CAP = 2
 SEED = "mix-1"
-#: Rows that a block of ids has on average.
-BLOCK_ROWS = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -81,30 +81,28 @@ def mix_copies(
             word_count(F.col(text_col)).alias("size"),
         ),
     )
-    n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    shift = max(0, ((high - low) * BLOCK_ROWS // n).bit_length() - 1) if n and low is not None else 0
-    rows = rows.withColumn("class", size_class(F.col("size"))).withColumn("block", F.shiftright("doc_id", min(shift, 63)))
-    counts = rows.groupBy("source", "class", "block").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    classes = counts.groupBy("source", "class").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    aims = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
-    prior = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = lambda a, b, keys: [a[k].eqNullSafe(b[k]) for k in keys]
-    classes = classes.withColumn("first", prior(Window.partitionBy("source").orderBy("class")))
-    a, b = classes.alias("a"), aims.alias("b")
-    classes = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.class", "a.first", "b.source_size", "b.target")
-    counts = counts.withColumn("skip", prior(Window.partitionBy("source", "class").orderBy("block")))
-    a, b = counts.alias("a"), classes.alias("b")
-    starts = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.class") == F.col("b.class"))).select(
-        "a.source", "a.class", "a.block", (F.col("a.skip") + F.col("b.first")).alias("start"), "b.source_size", "b.target"
-    )
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("source", "class", "block").orderBy("doc_id", "size", "text_hash")))
-    a, b = ranked.alias("a"), starts.alias("b")
-    on = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.class") == F.col("b.class")) & F.col("a.block").eqNullSafe(F.col("b.block"))
-    out = a.join(b, on).select("a.doc_id", "a.source", "a.text_hash", "a.size", "b.source_size", "b.target", (F.col("a.rank") + F.col("b.start")).alias("rank"))
+    order = ["source", "class", "doc_id", "size", "text_hash", "place"]
+    rows, whole = rows.withColumns({"class": size_class(F.col("size")), "place": F.struct("_metadata.file_name", "_metadata.row_index")}), rows
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    rows = keep(spark, ranged.select("doc_id", "source", "text_hash", "size", F.shiftright("at", 33).alias("cut"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")))
+    drop(spark, whole)
+    counts = rows.groupBy("source", "cut").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.sum("size").alias("words"))
+    aims = targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
+    before = Window.partitionBy("source").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
+    a, b = counts.alias("a"), aims.alias("b")
+    starts = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.cut", "a.start", "b.source_size", "b.target")
+    a, b = rows.alias("a"), starts.alias("b")
+    out = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.cut") == F.col("b.cut")))
+    out = out.select("a.doc_id", "a.source", "a.text_hash", "a.size", "b.source_size", "b.target", (F.col("a.at") + F.col("b.start") + 1).alias("rank"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    u = offset(F.col("source"), seed)
-    crossed = F.floor(u + F.col("rank") * each) - F.floor(u + (F.col("rank") - 1) * each)
-    return out.withColumn("copies", crossed.cast("long")).drop("rank")
+    return out.withColumn("copies", crossed(F.col("rank"), each, offset(F.col("source"), seed))).drop("rank")
+
+
+def crossed(rank: Column, each: Column, u: Column) -> Column:
+    """Integers that u + rank * each has passed since the rank before; never more than `each` rounded up."""
+    part = each - F.floor(each)
+    return (F.floor(each) + F.least(F.floor(u + rank * part) - F.floor(u + (rank - 1) * part), F.lit(1))).cast("long")
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
