@@ -1,26 +1,30 @@
 """Operator 5: toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the words of a clause: insult, threat, target (who is addressed or meant),
-negation and reported speech. Their composition is one automaton whose states are the products of their
-states; at a clause's end it emits the pattern that the clause matched (an insult or threat, with or without
-target, negation, report), and each pattern has a weight. A document's score is the logistic of the weighted
-counts of its matched clauses; single words score only through the clause they stand in.
-
-The insult transducer's entries (words and word beginnings) and the pattern weights are learned from labelled
-rows, a bounded sample of at most MAX_TRAIN documents, first by a hash of the id, never of a held-out fold.
-Closed-class words (target, negation, report, threat) are fixed lists.
-
-Defined cases: null, empty and unmatched texts score the base rate that the weights give; null labels and null
-ids are not learned from; without labelled rows of both kinds only threats match, with fixed weights;
-repeated rows are scored alike; an empty table gives none. Other columns are not read.
+Five small transducers read a sentence's words in order, each the output of the one before it. Negation marks the
+insults and threats within its scope, the SCOPE words after a negating one in the same clause. Reported speech marks
+those between quotes and those after a verb of saying, to the sentence's end. Target marks those that follow a word
+for who is addressed or meant in their clause. Insult and threat keep the least excused hit of a clause and whether
+a target came before or after it, and write it out at the clause's end. compose() makes one automaton of the five;
+running a text is a table look-up a word. What it writes are matched clauses, and a document's score is the
+logistic of the weights of theirs, each by the logarithm of its count; single words score only in their clause.
+
+The insult transducer's entries (words and word beginnings) and the weights are learned from labelled rows, a
+bounded sample of at most MAX_TRAIN documents, first by a hash of the id, never of a held-out fold. Closed-class
+words (target, negation, report, threat) are fixed lists.
+
+Defined cases: null, empty and unmatched texts score the base rate that the weights give; a quote or report that a
+sentence does not close ends with it; null labels and null ids are not learned from; without labelled rows of both
+kinds only threats match, with fixed weights; repeated rows are scored alike; an empty table gives none. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import read, small_batches
 
 MAX_TRAIN = 12000
-#: Entries that are looked at more closely at most, and the toxic documents that one needs.
-MAX_ENTRIES, MIN_DOCS = 4000, 4
+#: Toxic documents that an entry needs to be looked at more closely.
+MIN_DOCS = 4
 #: Different pairs of neighbouring words in toxic documents that an entry needs; copies of one document have the same.
 MIN_CONTEXTS = 8
 #: Log-odds of such contexts that an entry needs.
@@ -48,45 +52,121 @@ THREAT = "kill hurt destroy murder beat burn stab shoot töten verletzen umbring
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = ".,;:!?\n"
 SENTENCE = ".!?\n"
+_SENTENCE = re.compile(rf"[{SENTENCE}]")
 _TOKEN = re.compile(rf"{WORD.pattern}|[{CLAUSE}\"«»„“”]")
 
-# Composition. Each transducer has the states 0 (not read) and 1 (read); the product state has a bit for each.
-BITS = {"insult": 1, "threat": 2, "target": 4, "negation": 8, "report": 16}
+#: Words after a negating one that it reaches.
+SCOPE = 4
 SYMBOLS = ("other", "insult", "threat", "target", "negation", "report", "quote", "clause", "sentence")
-
-
-def compose() -> tuple[list[list[int]], list[list[int]]]:
-    """Next state and emitted pattern (0: none) by state and symbol of the composed transducer."""
-    step, emit = [], []
-    for state in range(32):
-        to, out = [], []
-        for symbol in SYMBOLS:
-            if symbol in BITS:
-                to.append(state | BITS[symbol])
-            elif symbol == "quote":
-                to.append(state ^ BITS["report"])
-            elif symbol == "clause":  # a report goes on to the sentence's end
-                to.append(state & BITS["report"])
-            elif symbol == "sentence":
-                to.append(0)
-            else:
-                to.append(state)
-            out.append(state if symbol in ("clause", "sentence") and state & 3 else 0)
-        step.append(to)
+ENDS = ("clause", "sentence")
+#: What a clause has: no hit, or its least excused hit by (negated, reported, where its target is).
+PARTS = [None, *((n, r, t) for n in (0, 1) for r in (0, 1) for t in ("none", "before", "after"))]
+
+# A symbol is (class, marks); at a clause's end the marks are what has been matched. A transducer maps
+# (state, symbol) to (next state, symbol).
+Symbol = tuple[str, tuple]
+Step = Callable[[object, Symbol], tuple[object, Symbol]]
+
+
+def negation(state: int, symbol: Symbol) -> tuple[int, Symbol]:
+    """state: words that the last negation still reaches."""
+    kind, marks = symbol
+    if kind in ENDS:
+        return 0, symbol
+    if kind == "negation":
+        return SCOPE, symbol
+    if kind == "quote":
+        return state, symbol
+    return max(0, state - 1), (kind, (*marks, "negated")) if state and kind in ("insult", "threat") else symbol
+
+
+def report(state: tuple[bool, bool], symbol: Symbol) -> tuple[tuple[bool, bool], Symbol]:
+    """state: whether something was said in this sentence, and whether a quote is open."""
+    kind, marks = symbol
+    if kind == "sentence":
+        return (False, False), symbol
+    if kind == "report":
+        return (True, state[1]), symbol
+    if kind == "quote":
+        return (state[0], not state[1]), symbol
+    return state, (kind, (*marks, "reported")) if any(state) and kind in ("insult", "threat") else symbol
+
+
+def target(state: bool, symbol: Symbol) -> tuple[bool, Symbol]:
+    """state: whether the clause has named a target."""
+    kind, marks = symbol
+    if kind in ENDS:
+        return False, symbol
+    if kind == "target":
+        return True, symbol
+    return state, (kind, (*marks, "aimed")) if state and kind in ("insult", "threat") else symbol
+
+
+def hits(of: str) -> Step:
+    """The transducer of one kind of hit. state: the place in PARTS of the clause's least excused one so far."""
+
+    def excuse(part: tuple) -> tuple:
+        return part[0] + part[1], part[2] == "none", part
+
+    def step(state: int, symbol: Symbol) -> tuple[int, Symbol]:
+        kind, marks = symbol
+        if kind in ENDS:
+            return 0, (kind, (*marks, state))
+        best = PARTS[state]
+        if kind == of:
+            part = int("negated" in marks), int("reported" in marks), "before" if "aimed" in marks else "none"
+            best = part if best is None else min(best, part, key=excuse)
+        elif kind == "target" and best and best[2] == "none":
+            best = (*best[:2], "after")
+        return PARTS.index(best), symbol
+
+    return step
+
+
+def cascade(first: Step, second: Step) -> Step:
+    """Composition: second reads what first writes."""
+
+    def step(state: tuple, symbol: Symbol) -> tuple[tuple, Symbol]:
+        a, between = first(state[0], symbol)
+        b, out = second(state[1], between)
+        return (a, b), out
+
+    return step
+
+
+def compose() -> tuple[list[list[int]], list[list[tuple[int, int] | None]]]:
+    """Next state and what a clause's end writes, (insult, threat) as places in PARTS, by state and symbol of the composed transducer."""
+    step, start = negation, 0
+    for other, begin in ((report, (False, False)), (target, False), (hits("insult"), 0), (hits("threat"), 0)):
+        step, start = cascade(step, other), (start, begin)
+    number, waiting, to, emit = {start: 0}, [start], [], []
+    for state in waiting:  # grows as states are found
+        row, out = [], []
+        for kind in SYMBOLS:
+            new, (_, marks) = step(state, (kind, ()))
+            if new not in number:
+                number[new] = len(waiting)
+                waiting.append(new)
+            row.append(number[new])
+            out.append(marks if kind in ENDS and any(marks) else None)
+        to.append(row)
         emit.append(out)
-    return step, emit
+    return to, emit
 
 
 STEP, EMIT = compose()
+_LAST = SYMBOLS.index("sentence")
+#: Features: the base, then the parts of insults, then those of threats.
+SIZE = 1 + 2 * (len(PARTS) - 1)
 
 
 def untrained() -> np.ndarray:
-    """Weights to go by where nothing is labelled: an insult, or a threat to a target, tells."""
-    w = np.zeros(33)
+    """Weights to go by where nothing is labelled: an insult, or a threat to a target, tells, less so if excused."""
+    w = np.zeros(SIZE)
     w[0] = -3.0
-    for state in range(32):
-        if state & BITS["insult"] or state & BITS["threat"] and state & BITS["target"]:
-            w[1 + state] = 1.0 if state & (BITS["negation"] | BITS["report"]) else 4.0
+    for i, (negated, reported, aim) in enumerate(PARTS[1:]):
+        w[1 + i] = 1.0 if negated or reported else 4.0
+        w[len(PARTS) + i] = 0.0 if aim == "none" else w[1 + i]
     return w
 
 
@@ -112,7 +192,7 @@ class Grammar:
         return self.closed.get(word, 0)
 
     def patterns(self, text: str | None) -> Counter:
-        """Of each composed pattern the clauses that match it. Sentences without insult or threat emit nothing and are skipped."""
+        """Of each (insult, threat) the clauses that have it. Sentences without insult or threat write nothing and are skipped."""
         out: Counter = Counter()
         if not text:
             return out
@@ -123,30 +203,33 @@ class Grammar:
             if len(self._find):
                 self._find.make_automaton()
         text = text.lower()
-        done = 0
+        cuts, done = [m.end() for m in _SENTENCE.finditer(text)], 0
         for end, size in self._find.iter(text) if len(self._find) else ():
             at = end - size + 1
             if at < done or at and text[at - 1].isalpha():
                 continue
-            a = max((text.rfind(c, 0, at) for c in SENTENCE)) + 1
-            a = max(a, done)
-            ends = [i for c in SENTENCE if (i := text.find(c, end)) >= 0]
-            done = min(ends, default=len(text) - 1) + 1
+            k = bisect.bisect_right(cuts, at)
+            begin, done = cuts[k - 1] if k else 0, cuts[k] if k < len(cuts) else len(text)
             state = 0
-            for token in _TOKEN.findall(text, a, done):
-                k = self.symbol(token)
-                if p := EMIT[state][k]:
+            for token in _TOKEN.findall(text, begin, done):
+                symbol = self.symbol(token)
+                if p := EMIT[state][symbol]:
                     out[p] += 1
-                state = STEP[state][k]
-            if state & 3:
-                out[state] += 1
+                state = STEP[state][symbol]
+            if p := EMIT[state][_LAST]:
+                out[p] += 1
         return out
 
     def features(self, text: str | None) -> np.ndarray:
-        x = np.zeros(33)
+        """1, then by part the logarithm of one more than the clauses that have it."""
+        x = np.zeros(SIZE)
+        for (insult, threat), n in self.patterns(text).items():
+            if insult:
+                x[insult] += n
+            if threat:
+                x[len(PARTS) - 1 + threat] += n
+        x = np.log2(1 + x)
         x[0] = 1
-        for p, n in self.patterns(text).items():
-            x[1 + p] = min(n, 4)
         return x
 
     def score(self, text: str | None) -> float:
@@ -221,7 +304,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         return Grammar({})
     counts = train.mapInArrow(_candidates, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = F.log((F.col("bad") + 0.1) / (n_bad + 0.2)) - F.log((F.col("good") + 0.1) / (n_good + 0.2))
-    top = counts.filter(F.col("bad") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= 2.5).orderBy(F.desc("bad"), "entry").limit(MAX_ENTRIES).collect()
+    # Words of the bounded sample; all of them are looked at.
+    top = counts.filter(F.col("bad") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= 2.5).collect()
     contexts = train.mapInArrow(_contexts([r["entry"] for r in top]), "entry string, label long, context string").distinct().groupBy("entry")
     contexts = contexts.agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") != 1).alias("good")).collect()
     grammar = Grammar(choose([(r["entry"], r["bad"], r["good"]) for r in contexts], n_bad, n_good))
@@ -231,13 +315,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         for batch in batches:
             seen: Counter = Counter()
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                seen[bytes(sent.value.features(text).astype(np.uint8)), label] += 1
+                seen[sent.value.features(text).tobytes(), label] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.binary()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["x", "label", "n"])
 
     table = train.mapInArrow(matched, "x binary, label long, n long").groupBy("x").agg(F.sum(F.col("label") * F.col("n")).alias("y"), F.sum("n").alias("n")).orderBy("x").collect()
     if not table:
         return Grammar({})
-    x = np.array([np.frombuffer(r[0], np.uint8) for r in table], float)
+    x = np.array([np.frombuffer(r[0]) for r in table])
     grammar.weights = _fit_weights(x, np.array([r[1] for r in table], float), np.array([r[2] for r in table], float))
     return grammar
 
