@@ -17,6 +17,13 @@ def _sides(spark, d):
     return t.filter("is_gt"), t.filter("not is_gt")
 
 
+def _rated(spark, d):
+    """Both sides with areas in shares of a 600 x 500 image; some truths are crowds."""
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / 300000.0
+    gt, dt = (x.withColumn("area", area) for x in _sides(spark, d))
+    return gt.withColumn("crowd", (F.col("image_id") + F.col("idx")) % 11 == 0), dt
+
+
 def _truth(spark, d):
     """Tracks as truth, and detections that follow them with drops, drift and swapped ids."""
     t = adapted(spark, d, "tracks")
@@ -102,9 +109,14 @@ def best_oracle(spark, d):
 
 @query("average_precision")
 def average_precision(spark, d):
-    gt, dt = _sides(spark, d)
-    out = E.average_precision(gt, dt)
-    return out.select("category_id", "threshold", near(F.col("ap")).alias("ap"), near(F.col("recall")).alias("recall"))
+    out = E.average_precision(*_rated(spark, d))
+    return out.select("category_id", "area", "most", "threshold", near(F.col("ap")).alias("ap"), near(F.col("recall")).alias("recall"))
+
+
+@query("precision_summary")
+def precision_summary(spark, d):
+    out = E.precision_summary(E.average_precision(*_rated(spark, d)))
+    return out.select("metric", near(F.col("value")).alias("value"))
 
 
 @query("hota")
@@ -128,9 +140,9 @@ def hota_rollup(spark, d):
 
 @query("teta")
 def teta(spark, d):
-    gt, dt = _truth(spark, d)
-    out = E.teta(E.teta_counts(gt, dt, ["video_id"]), ["video_id"])
-    return out.select("video_id", *[near(F.col(c)).alias(c) for c in out.columns[1:]])
+    """By class and over classes, sequences combined."""
+    out = E.teta_by_class(E.teta_counts(*_truth(spark, d), ["video_id"]))
+    return out.select("level", *[near(F.col(c)).alias(c) for c in out.columns[1:]])
 
 
 _TRUTH = f"""{_T}, g AS (SELECT video_id, frame AS t, track_id AS gt_id FROM tracks WHERE frame < 20), p AS (SELECT video_id, t, CASE WHEN t >= 12 THEN gt_id + 1000 ELSE gt_id END AS trk_id FROM g WHERE (t + gt_id) % 6 <> 0)"""

@@ -150,16 +150,6 @@ def test_tracking_scores(spark):
     assert evaluation.teta(evaluation.teta_counts(gt, same, ["video_id"]), ["video_id"]).first().teta == pytest.approx(1)
 
 
-def test_average_precision(spark):
-    gt = spark.createDataFrame([(i, 0, 0, 0.0, 0.0, 10.0, 10.0, 1.0) for i in range(4)], "image_id int, idx int, category_id int, x1 double, y1 double, x2 double, y2 double, conf double")
-    good = gt.withColumn("conf", F.lit(0.9))
-    assert {round(r.ap, 9) for r in evaluation.average_precision(gt, good).collect()} == {1.0}
-    bad = good.unionByName(good.withColumn("x1", F.lit(100.0)).withColumn("x2", F.lit(110.0)).withColumn("idx", F.lit(1)).withColumn("conf", F.lit(0.95)))
-    assert evaluation.average_precision(gt, bad, thresholds=(0.5,)).first().ap == pytest.approx(0.5)
-    half = good.filter("image_id < 2")
-    assert evaluation.average_precision(gt, half, thresholds=(0.5,)).first().ap == pytest.approx(51 / 101)
-
-
 def test_images():
     flat, rnd = np.full((100, 100), 90, np.uint8), np.random.default_rng(0)
     checker = ((np.indices((100, 100)).sum(0) // 10) % 2 * 255).astype(np.uint8)
