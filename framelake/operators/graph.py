@@ -58,11 +58,13 @@ def similar(vectors: DataFrame, least: float, id_col: str, vector_col: str) -> D
                 a, b = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids2"], np.int64)
                 cos = np.frombuffer(r["x"]).reshape(len(a), -1) @ np.frombuffer(r["x2"]).reshape(len(b), -1).T
                 i, j = np.nonzero(cos >= least)
-                on = a[i] < b[j]
-                yield pa.RecordBatch.from_arrays([pa.array(a[i[on]]), pa.array(b[j[on]]), pa.array(cos[i[on], j[on]])], names=["a", "b", "cosine"])
+                on = a[i] < b[j] if r["at"] == r["at2"] else a[i] != b[j]
+                low, high = np.minimum(a[i[on]], b[j[on]]), np.maximum(a[i[on]], b[j[on]])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(cos[i[on], j[on]])], names=["a", "b", "cosine"])
 
     spark.conf.set(batch, "4")  # a row holds two blocks
-    pairs = keep(left.join(right, how="cross").repartition(max(2, spark.sparkContext.defaultParallelism), "at", "at2").mapInArrow(meet, "a long, b long, cosine double"))
+    # Every block meets itself and those after it.
+    pairs = keep(left.join(right, left["at"] <= right["at2"]).repartition(max(2, spark.sparkContext.defaultParallelism), "at", "at2").mapInArrow(meet, "a long, b long, cosine double"))
     spark.conf.set(batch, before)
     return pairs
 

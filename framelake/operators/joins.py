@@ -77,12 +77,13 @@ def nearest_conditioning(frames: DataFrame, most: int = 4, key: str = "video_id"
 
     First the closest one before, then the closest at or after, then the others by distance in time, the earlier
     first, up to `most`."""
-    cond = frames.filter(F.col(marked)).select(key, F.col(time).alias("cond")).distinct()
-    todo = frames.filter(~F.col(marked)).select(key, time).distinct()
-    before = Window.partitionBy(key, time).orderBy(F.desc_nulls_last(F.when(F.col("cond") < F.col(time), F.col("cond"))))
-    after = Window.partitionBy(key, time).orderBy(F.asc_nulls_last(F.when(F.col("cond") >= F.col(time), F.col("cond"))))
-    pairs = todo.join(cond, key)
-    pairs = pairs.withColumn("b", F.row_number().over(before)).withColumn("a", F.row_number().over(after))
-    first = F.when((F.col("b") == 1) & (F.col("cond") < F.col(time)), 0).when((F.col("a") == 1) & (F.col("cond") >= F.col(time)), 1).otherwise(2)
+    # Each frame's number of conditioning frames before it; those to use are among the `most` on either side of that.
+    each = frames.groupBy(key, time).agg(F.max(marked).alias("c"), F.max(~F.col(marked)).alias("todo"))
+    earlier = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("n", F.coalesce(F.sum(F.col("c").cast("int")).over(earlier), F.lit(0)))
+    cond = each.filter("c").select(key, (F.col("n") + 1).alias("number"), F.col(time).alias("cond"))
+    near = F.sequence(F.col("n") - (most - 1), F.col("n") + most)
+    pairs = each.filter("todo").select(key, time, "n", F.explode(near).alias("number")).join(cond, [key, "number"])
+    first = F.when(F.col("number") == F.col("n"), 0).when(F.col("number") == F.col("n") + 1, 1).otherwise(2)
     order = Window.partitionBy(key, time).orderBy(first, F.abs(F.col("cond") - F.col(time)), "cond")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(key, time, "cond", "rank")

@@ -31,7 +31,7 @@ def coco_queries(spark, d):
     return D.image_queries(images, categories, _annotations(spark, d)).select("image_id", "category_id", F.size("objects").alias("objects"))
 
 
-@query("ytvis_explode", f"{_T} SELECT video_id, track_id, frame, w * h AS area, row_number() OVER (ORDER BY video_id, track_id, frame) AS ann_id FROM tracks WHERE frame < 10 AND frame % 3 <> 0")
+@query("ytvis_explode", f"{_T} SELECT video_id, track_id, frame, w * h AS area, row_number() OVER (ORDER BY video_id, track_id, frame) AS ann_id FROM tracks WHERE frame % 3 <> 0")
 def ytvis_explode(spark, d):
     box = F.when(F.col("frame") % 3 != 0, F.array("x", "y", "w", "h"))
     t = adapted(spark, d, "tracks").select("video_id", "track_id", "category_id", "frame", box.alias("box"))
@@ -46,11 +46,11 @@ def reindex(spark, d):
     return D.one_based(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
 
 
-@query("remap_pairs", f"""{_D}, p AS (SELECT DISTINCT image_id % 50 AS video_id, category_id FROM detections WHERE is_gt AND category_id < 3), n AS (SELECT DISTINCT image_id % 60 AS video_id, category_id FROM detections WHERE NOT is_gt),
+@query("remap_pairs", f"""{_D}, p AS (SELECT DISTINCT image_id % 50 AS video_id, category_id FROM detections WHERE is_gt), n AS (SELECT DISTINCT image_id % 60 AS video_id, category_id FROM detections WHERE NOT is_gt),
 u AS (SELECT video_id, category_id, 0 AS later FROM p UNION ALL SELECT video_id, category_id, 1 FROM n WHERE (video_id, category_id) NOT IN (SELECT video_id, category_id FROM p)) SELECT video_id, category_id, row_number() OVER (ORDER BY later, video_id, category_id) - 1 AS unique_id FROM u""")
 def remap_pairs(spark, d):
     a = _annotations(spark, d)
-    pos = a.filter("is_gt and category_id < 3").select((F.col("image_id") % 50).alias("video_id"), "category_id")
+    pos = a.filter("is_gt").select((F.col("image_id") % 50).alias("video_id"), "category_id")
     neg = a.filter("not is_gt").select((F.col("image_id") % 60).alias("video_id"), "category_id")
     return D.remap_pairs(pos, neg).withColumn("unique_id", F.col("unique_id").cast("long"))
 

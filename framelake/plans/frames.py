@@ -176,10 +176,17 @@ def best_frame(spark, d):
     return scenes.best_frames(frames, every=2).select("shot_id", "best_frame", F.round("score", 6).alias("score"))
 
 
-@query("spaced_seeds")
+_SPACED = f"""{with_('frames').replace("WITH ", "WITH RECURSIVE ", 1)}, c AS (SELECT shot_id, frame_num, (10.0::DOUBLE - coalesce(niqe_score / 10, 10.0)) + 10 * coalesce(face_sim, 0.0) AS score, row_number() OVER (PARTITION BY shot_id ORDER BY frame_num) - 1 AS place FROM frames),
+o AS MATERIALIZED (SELECT shot_id, frame_num, row_number() OVER (PARTITION BY shot_id ORDER BY score DESC, frame_num) AS k, greatest(1, floor(count(*) OVER (PARTITION BY shot_id) / 8)) AS gap FROM c WHERE place % 2 = 0),
+r AS (SELECT DISTINCT shot_id, 0::BIGINT AS k, []::BIGINT[] AS seeds FROM o UNION ALL
+SELECT o.shot_id, o.k, CASE WHEN len(r.seeds) < 3 AND len(list_filter(r.seeds, lambda s: abs(s - o.frame_num) < o.gap)) = 0 THEN list_append(r.seeds, o.frame_num) ELSE r.seeds END FROM r JOIN o ON o.shot_id = r.shot_id AND o.k = r.k + 1)
+SELECT shot_id, array_to_string(arg_max(seeds, k), ',') AS seeds FROM r GROUP BY 1"""
+
+
+@query("spaced_seeds", _SPACED)
 def spaced_seeds(spark, d):
     frames = adapted(spark, d, "frames").select("shot_id", "frame_num", (F.col("metrics.niqe_score") / 10).alias("niqe"), "face_sim")
-    return scenes.best_frames(frames, every=2).select("shot_id", "seeds")
+    return scenes.best_frames(frames, every=2).select("shot_id", F.array_join("seeds", ",").alias("seeds"))
 
 
 @query("frame_scene_range_join", f"{with_('frames', 'scenes')} SELECT f.filename, s.shot_id AS scene_id FROM frames f JOIN scenes s ON f.frame_num >= s.start_frame AND f.frame_num < greatest(s.end_frame, s.start_frame + 1)")
@@ -241,14 +248,14 @@ def collision_names(spark, d):
     return joins.collision_free(names, "name", "event_id").select("event_id", "unique_name")
 
 
-@query("select_expression", "SELECT string_agg('eq(n\\,' || event_id || ')', '+' ORDER BY event_id) AS expression FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0")
+@query("select_expression", "SELECT string_agg('eq(n\\,' || event_id || ')', '+' ORDER BY event_id) AS expression FROM events WHERE event_type = 'purchase'")
 def select_expression(spark, d):
     return joins.select_expression(table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("frame_num")))
 
 
 @query(
     "nearest_conditioning",
-    f"""{with_('tracks')}, f AS (SELECT DISTINCT video_id, frame, frame % 7 = 0 AS c FROM tracks WHERE frame < 40), p AS (SELECT a.video_id, a.frame, b.frame AS cond FROM f a JOIN f b USING (video_id) WHERE NOT a.c AND b.c),
+    f"""{with_('tracks')}, f AS (SELECT DISTINCT video_id, frame, frame % 7 = 0 AS c FROM tracks), p AS (SELECT a.video_id, a.frame, b.frame AS cond FROM f a JOIN f b USING (video_id) WHERE NOT a.c AND b.c),
 r AS (SELECT *, cond = max(CASE WHEN cond < frame THEN cond END) OVER w AS is_before, cond = min(CASE WHEN cond >= frame THEN cond END) OVER w AS is_after FROM p WINDOW w AS (PARTITION BY video_id, frame))
 SELECT video_id, frame, cond, rank FROM (SELECT video_id, frame, cond, CAST(row_number() OVER (PARTITION BY video_id, frame ORDER BY CASE WHEN is_before THEN 0 WHEN is_after THEN 1 ELSE 2 END, abs(cond - frame), cond) AS INT) AS rank FROM r) WHERE rank <= 3""",
 )

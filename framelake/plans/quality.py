@@ -34,20 +34,36 @@ def _truth(spark, d):
     return gt, dt
 
 
-@query("nms_frame")
+def _greedy(box: str, overlap: str, group: str = "image_id", order: str = "conf DESC, idx") -> str:
+    """Rows of o with k, their turn in the group, and kept: not overlapped by one kept before. box: CTEs that end in o
+    without k; overlap: a condition on an earlier row a and a later one b."""
+    return f"""{box}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS k FROM o1),
+s AS MATERIALIZED (SELECT b.{group}, b.k, list(a.k) AS earlier FROM o a JOIN o b ON a.{group} = b.{group} AND a.k < b.k AND {overlap} GROUP BY ALL),
+r AS (SELECT {group}, 0::BIGINT AS k, []::BIGINT[] AS kept FROM o GROUP BY 1 UNION ALL
+SELECT o.{group}, o.k, CASE WHEN s.earlier IS NOT NULL AND len(list_intersect(r.kept, s.earlier)) > 0 THEN r.kept ELSE list_append(r.kept, o.k) END
+FROM r JOIN o ON o.{group} = r.{group} AND o.k = r.k + 1 LEFT JOIN s ON s.{group} = o.{group} AND s.k = o.k)"""
+
+
+_RD, _RT = (x.replace("WITH ", "WITH RECURSIVE ", 1) for x in (_D, _T))
+_I = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0.0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0.0)"
+_A, _B = (f"(({t}.x2 - {t}.x1) * ({t}.y2 - {t}.y1))" for t in "ab")
+_KEPT = "SELECT o.image_id, o.idx, list_contains(r.kept, r.k) AS kept FROM r JOIN o ON o.image_id = r.image_id AND o.k = r.k"
+
+
+@query("nms_frame", f"{_greedy(f'{_RD}, o1 AS (SELECT * FROM detections WHERE x2 > x1 AND y2 > y1)', f'{_I} / ({_A} + {_B} - {_I}) >= 0.5')} {_KEPT}")
 def nms_frame(spark, d):
     t = adapted(spark, d, "detections").select("image_id", "idx", "x1", "y1", "x2", "y2", "conf")
     return M.suppress(t, 0.5, ["image_id"]).select("image_id", "idx", "kept")
 
 
-@query("iom_overlap_removal")
+@query("iom_overlap_removal", f"{_greedy(f'{_RD}, o1 AS (SELECT * FROM detections)', f'{_I} / least({_A}, {_B}) > 0.3::DOUBLE')} {_KEPT}")
 def iom_overlap_removal(spark, d):
     t = adapted(spark, d, "detections").select("image_id", "idx", "x1", "y1", "x2", "y2", "conf")
     return M.drop_contained(t, ["image_id"], 0.3).select("image_id", "idx", "kept")
 
 
 _OVER = f"""{_T}, p AS (SELECT a.video_id, a.track_id AS a, b.track_id AS b, greatest(0.0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0.0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS s
-FROM tracks a JOIN tracks b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id < b.track_id WHERE a.frame < 20)"""
+FROM tracks a JOIN tracks b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id < b.track_id)"""
 
 
 @query("track_overlap", f"{_OVER} SELECT video_id, a, b, {near_sql('sum(i) / sum(s - i)')} AS iou FROM p GROUP BY ALL")
@@ -55,12 +71,18 @@ def track_overlap(spark, d):
     return M.overlap_over_time(adapted(spark, d, "tracks")).select("video_id", "a", "b", near(F.col("iou")).alias("iou"))
 
 
-@query("nms_track")
+_NEAR = f"""{_OVER.replace("WITH ", "WITH RECURSIVE ", 1)}, v AS (SELECT video_id, a, b FROM p GROUP BY ALL HAVING sum(i) / sum(s - i) >= 0.1::DOUBLE), n AS (SELECT video_id, a, b FROM v UNION ALL SELECT video_id, b, a FROM v),
+o1 AS (SELECT video_id, track_id, max(score) AS score FROM tracks GROUP BY ALL)"""
+_TRACKS = _greedy(_NEAR, "EXISTS (SELECT 1 FROM n WHERE n.video_id = a.video_id AND n.a = a.track_id AND n.b = b.track_id)", "video_id", "score DESC, track_id")
+
+
+@query("nms_track", f"{_TRACKS} SELECT o.video_id, o.track_id, list_contains(r.kept, r.k) AS kept FROM r JOIN o ON o.video_id = r.video_id AND o.k = r.k")
 def nms_track(spark, d):
     return M.suppress_tracks(adapted(spark, d, "tracks"), 0.1).select("video_id", "track_id", "kept")
 
 
-@query("associate")
+@query("associate", f"""{_D}, m AS (SELECT b.image_id, b.idx, coalesce(max({_I} / ({_A} + {_B} - {_I})), 0.0) AS iou FROM detections b LEFT JOIN detections a ON a.image_id = b.image_id AND a.is_gt WHERE NOT b.is_gt GROUP BY ALL)
+SELECT image_id, idx, iou < 0.1::DOUBLE AS is_new, {near_sql('iou')} AS iou FROM m""")
 def associate(spark, d):
     gt, dt = _sides(spark, d)
     tracks = gt.select("image_id", F.col("idx").cast("long").alias("track_id"), "x1", "y1", "x2", "y2")
@@ -145,7 +167,7 @@ def teta(spark, d):
     return out.select("level", *[near(F.col(c)).alias(c) for c in out.columns[1:]])
 
 
-_TRUTH = f"""{_T}, g AS (SELECT video_id, frame AS t, track_id AS gt_id FROM tracks WHERE frame < 20), p AS (SELECT video_id, t, CASE WHEN t >= 12 THEN gt_id + 1000 ELSE gt_id END AS trk_id FROM g WHERE (t + gt_id) % 6 <> 0)"""
+_TRUTH = f"""{_T}, g AS (SELECT video_id, frame AS t, track_id AS gt_id FROM tracks), p AS (SELECT video_id, t, CASE WHEN t >= 12 THEN gt_id + 1000 ELSE gt_id END AS trk_id FROM g WHERE (t + gt_id) % 6 <> 0)"""
 
 
 @query("count_metric", f"{_TRUTH} SELECT video_id, max(t) + 1 AS frames, count(*) AS gt_dets, count(DISTINCT gt_id) AS gt_ids, (SELECT count(*) FROM p WHERE p.video_id = g.video_id) AS dets, (SELECT count(DISTINCT trk_id) FROM p WHERE p.video_id = g.video_id) AS ids FROM g GROUP BY video_id")

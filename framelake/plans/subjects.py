@@ -38,12 +38,20 @@ def _near_hashes(spark, d):
     return t.select(F.format_string("frame_%06d", "frame_num").alias("filename"), "frame_num", h.alias("phash"), (F.col("frame_num") * 7 % 101).cast("double").alias("quality"))
 
 
-@query("dedup_banded")
-def dedup_banded(spark, d):
-    return dedup.near(_near_hashes(spark, d), 4).select("filename", "kept")
+_BASE = "SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id % 300 AS VARCHAR)), 1, 16)) AS UBIGINT) AS b, (1::UBIGINT << CAST(doc_id % 7 AS INT)) | (1::UBIGINT << CAST(doc_id % 61 AS INT)) AS f FROM documents"
 
 
-_BASE = "SELECT doc_id, CAST(('0x' || substr(md5(CAST(doc_id % 300 AS VARCHAR)), 1, 16)) AS UBIGINT) AS b, (1::UBIGINT << CAST(doc_id % 7 AS INT)) | (1::UBIGINT << CAST(doc_id % 61 AS INT)) AS f FROM documents"
+_ROWS = f"f AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS k, concat('frame_', lpad(CAST(doc_id AS VARCHAR), 6, '0')) AS filename, doc_id, xor(b, f) AS h, CAST(doc_id * 7 % 101 AS DOUBLE) AS q FROM ({_BASE}))"
+_HIT = "coalesce(list_position(list_transform(r.hs, lambda x: bit_count(xor(x, f.h)) <= 4), true), 0)"
+
+
+@query("dedup_banded", f"""WITH RECURSIVE {_ROWS}, r AS (SELECT 0::BIGINT AS k, []::UBIGINT[] AS hs, []::DOUBLE[] AS qs, []::BIGINT[] AS slots, []::BIGINT[] AS lost UNION ALL
+SELECT k, CASE WHEN hit = 0 THEN list_append(hs, h) WHEN better THEN list_concat(list_append(hs[:hit - 1], h), hs[hit + 1:]) ELSE hs END, CASE WHEN hit = 0 THEN list_append(qs, q) WHEN better THEN list_concat(list_append(qs[:hit - 1], q), qs[hit + 1:]) ELSE qs END,
+CASE WHEN hit = 0 THEN list_append(slots, k) WHEN better THEN list_concat(list_append(slots[:hit - 1], k), slots[hit + 1:]) ELSE slots END, CASE WHEN hit = 0 THEN lost WHEN better THEN list_append(lost, slots[hit]) ELSE list_append(lost, k) END
+FROM (SELECT *, hit > 0 AND q > qs[hit] AS better FROM (SELECT f.k, f.h, f.q, r.hs, r.qs, r.slots, r.lost, {_HIT} AS hit FROM r JOIN f ON f.k = r.k + 1)))
+SELECT filename, k NOT IN (SELECT unnest(lost) FROM r WHERE k = (SELECT max(k) FROM r)) AS kept FROM f""")
+def dedup_banded(spark, d):
+    return dedup.near(_near_hashes(spark, d), 4).select("filename", "kept")
 
 
 @query("near_hash_pairs", f"WITH h AS (SELECT DISTINCT xor(b, f) AS h FROM ({_BASE})) SELECT count(*) AS pairs FROM h x JOIN h y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 4")
@@ -66,7 +74,11 @@ def dedup_adjacent(spark, d):
     return dedup.adjacent(frames, like, partition="shot_id").select("filename", "kept")
 
 
-@query("dedup_hybrid")
+@query("dedup_hybrid", f"""WITH RECURSIVE {_ROWS}, r AS (SELECT 0::BIGINT AS k, []::UBIGINT[] AS hs, []::BIGINT[] AS slots, []::STRUCT(slot BIGINT, k BIGINT)[] AS pairs UNION ALL
+SELECT k, CASE WHEN hit = 0 THEN list_append(hs, h) ELSE hs END, CASE WHEN hit = 0 THEN list_append(slots, k) ELSE slots END, CASE WHEN hit = 0 THEN pairs ELSE list_append(pairs, {{'slot': slots[hit], 'k': k}}) END
+FROM (SELECT f.k, f.h, r.hs, r.slots, r.pairs, {_HIT} AS hit FROM r JOIN f ON f.k = r.k + 1)),
+p AS (SELECT unnest(pairs) AS p FROM r WHERE k = (SELECT max(k) FROM r)), l AS (SELECT CASE WHEN b.q > a.q THEN a.k ELSE b.k END AS k FROM p JOIN f a ON a.k = p.p.slot JOIN f b ON b.k = p.p.k WHERE a.doc_id % 300 = b.doc_id % 300 AND (a.doc_id + b.doc_id) % 20 <= 10)
+SELECT filename, k NOT IN (SELECT k FROM l) AS kept FROM f""")
 def dedup_hybrid(spark, d):
     frames = _near_hashes(spark, d)
     names = frames.select("filename", (F.col("frame_num") % 300).alias("g"), "frame_num")
@@ -186,7 +198,17 @@ def object_first(spark, d):
     return seeds.object_first(adapted(spark, d, "detections"), "Largest Subject", W, H)
 
 
-@query("identity_first")
+_WHOLE = "CAST(trunc(greatest(0.0, x1 - pw)) AS INT) AS x, CAST(trunc(greatest(0.0, y1 - ph)) AS INT) AS y, greatest(1, CAST(trunc(least(639.0, x2 + pw) - greatest(0.0, x1 - pw)) AS INT)) AS w, greatest(1, CAST(trunc(least(479.0, y2 + ph) - greatest(0.0, y1 - ph)) AS INT)) AS h"
+
+
+@query("identity_first", f"""{_D}, {_FACES}, f AS (SELECT * FROM faces WHERE sim > 0.4::DOUBLE),
+p AS (SELECT * FROM (SELECT a.image_id, a.idx AS s, b.idx AS t, {_IOU} AS iou, row_number() OVER (PARTITION BY a.image_id ORDER BY {_IOU} DESC, a.idx, b.idx) AS k FROM detections a JOIN detections b USING (image_id) WHERE a.type = 'subject' AND b.type = 'text') WHERE k = 1 AND iou > 0.5),
+c AS (SELECT d.*, (x2 - x1) * 0.05::DOUBLE AS pw, (y2 - y1) * 0.05::DOUBLE AS ph, CASE WHEN x1 <= fx1 AND y1 <= fy1 AND x2 >= fx2 AND y2 >= fy2 THEN 100.0::DOUBLE ELSE 0.0 END + 20.0::DOUBLE * conf + CASE WHEN coalesce(d.idx = p.s OR d.idx = p.t, false) THEN 50.0::DOUBLE ELSE 0.0 END AS score
+FROM detections d JOIN f USING (image_id) LEFT JOIN p USING (image_id)),
+b AS (SELECT image_id, score, {_WHOLE} FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, type = 'subject' DESC, idx) AS k FROM c) WHERE k = 1),
+g AS (SELECT image_id, least(639.0, greatest(0.0, fx1 + 20 - 80)) AS gx, least(479.0, greatest(0.0, fy1 - 30)) AS gy FROM f)
+SELECT image_id, coalesce(b.x, CAST(trunc(gx) AS INT)) AS x, coalesce(b.y, CAST(trunc(gy) AS INT)) AS y, coalesce(b.w, CAST(trunc(least(640 - gx, 160.0)) AS INT)) AS w, coalesce(b.h, CAST(trunc(least(480 - gy, 280.0)) AS INT)) AS h,
+CASE WHEN b.image_id IS NOT NULL THEN 'evidence' ELSE 'face' END AS kind, b.score FROM g LEFT JOIN b USING (image_id)""")
 def identity_first(spark, d):
     return seeds.evidence(adapted(spark, d, "detections"), _faces(spark, d), W, H)
 

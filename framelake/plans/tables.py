@@ -76,7 +76,7 @@ def recent_occlusion(spark, d):
     return state.last_occluded(t, ["user_id"], "event_id").select("event_id", "last_occluded")
 
 
-_ETA = """WITH RECURSIVE g AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, epoch_us(ts) / 1e6::DOUBLE - lag(epoch_us(ts) / 1e6::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts) AS dt FROM events WHERE user_id < 40),
+_ETA = """WITH RECURSIVE g AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k, epoch_us(ts) / 1e6::DOUBLE - lag(epoch_us(ts) / 1e6::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts) AS dt FROM events),
 p AS (SELECT user_id, dt, row_number() OVER (PARTITION BY user_id ORDER BY k) AS i FROM g WHERE dt > 0), e AS (SELECT user_id, i, dt AS m FROM p WHERE i = 1 UNION ALL SELECT p.user_id, p.i, 0.2::DOUBLE * p.dt + 0.8::DOUBLE * e.m FROM e JOIN p ON p.user_id = e.user_id AND p.i = e.i + 1)"""
 
 
@@ -107,7 +107,7 @@ def event_sessions(spark, d):
     return t.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query("queue_status", "SELECT user_id AS item, arg_max(s, event_id) AS status, count(*) FILTER (s = 'failed') AS failures, arg_max(s, event_id) = 'failed' AND count(*) FILTER (s = 'failed') < 3 AS retry FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'failed' ELSE event_type END AS s FROM events WHERE event_id < 600) GROUP BY 1")
+@query("queue_status", "SELECT user_id AS item, arg_max(s, event_id) AS status, count(*) FILTER (s = 'failed') AS failures, arg_max(s, event_id) = 'failed' AND count(*) FILTER (s = 'failed') < 3 AS retry FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'failed' ELSE event_type END AS s FROM events) GROUP BY 1")
 def queue_status(spark, d):
     status = F.when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
     return state.queue_status(table(spark, d, "events").select(F.col("user_id").alias("item"), status.alias("status"), F.col("event_id").alias("at")))
@@ -121,7 +121,7 @@ def probation(spark, d):
     return state.probation_table(t.select("video_id", "frame", "object_id", status.alias("status"), detection.cast("int").alias("detection")))
 
 
-_PIX = "SELECT p_partkey, (p_partkey * 7 + r * 13 + c * 29 + r * c) % 256 AS v FROM part, range(16) a(r), range(16) b(c) WHERE p_partkey < 200"
+_PIX = "SELECT p_partkey, (p_partkey * 7 + r * 13 + c * 29 + r * c) % 256 AS v FROM part, range(16) a(r), range(16) b(c)"
 
 
 def _pictures(spark, d):
@@ -141,10 +141,27 @@ def pixel_levels(spark, d):
     return t.select("p_partkey", *[near(F.col(f"measured.{c}")).alias(c) for c in ("brightness", "contrast", "entropy")])
 
 
-@query("pixel_metrics")
+def _v(dr: int, dc: int) -> str:
+    """A pixel's neighbour; beyond an edge the row or column next to it is mirrored."""
+    r, c = (f"CASE WHEN {x} + ({d}) < 0 THEN 1 WHEN {x} + ({d}) > 15 THEN 14 ELSE {x} + ({d}) END" for x, d in (("r", dr), ("c", dc)))
+    return f"(p_partkey * 7 + ({r}) * 13 + ({c}) * 29 + ({r}) * ({c})) % 256"
+
+
+_SHAPE = f"""WITH p AS (SELECT p_partkey, {_v(-1, 0)} + {_v(1, 0)} + {_v(0, -1)} + {_v(0, 1)} - 4 * ({_v(0, 0)}) AS l,
+{_v(-1, 1)} + 2 * ({_v(0, 1)}) + {_v(1, 1)} - ({_v(-1, -1)}) - 2 * ({_v(0, -1)}) - ({_v(1, -1)}) AS gx, {_v(1, -1)} + 2 * ({_v(1, 0)}) + {_v(1, 1)} - ({_v(-1, -1)}) - 2 * ({_v(-1, 0)}) - ({_v(-1, 1)}) AS gy
+FROM part, range(16) a(r), range(16) b(c))
+SELECT p_partkey, {near_sql('least(var_pop(l) / 2500, 1.0)')} AS sharpness, {near_sql('least(avg(sqrt(CAST(gx * gx + gy * gy AS DOUBLE))) / 100, 1.0)')} AS edge_strength FROM p GROUP BY 1"""
+
+
+@query("pixel_metrics", _SHAPE)
 def pixel_metrics(spark, d):
     t = pixels.measure(_pictures(spark, d))
-    return t.select("p_partkey", near(F.col("measured.sharpness")).alias("sharpness"), near(F.col("measured.edge_strength")).alias("edge_strength"), "measured.phash")
+    return t.select("p_partkey", near(F.col("measured.sharpness")).alias("sharpness"), near(F.col("measured.edge_strength")).alias("edge_strength"))
+
+
+@query("pixel_hashes")
+def pixel_hashes(spark, d):
+    return pixels.measure(_pictures(spark, d)).select("p_partkey", "measured.phash")
 
 
 @query("plugin_chain", f"{_F} SELECT filename, coalesce(sharpness_score, 0) * 2 AS doubled, coalesce(sharpness_score, 0) * 2 + 1 AS more FROM frames")
