@@ -38,10 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def keep(spark: SparkSession, df: DataFrame, to: DataFrame | None = None) -> DataFrame:
+def keep(spark: SparkSession, df: DataFrame, to: DataFrame | None = None, narrow: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, lineage cut, and lost executors cost nothing.
 
-    to: a kept table of the same columns that df's rows are added to."""
+    to: a kept table of the same columns that df's rows are added to. narrow: rows of a few numbers, of which two tasks a
+    core hold many; a file each for every shuffle partition would be mostly files."""
+    if narrow:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/framelake-{uuid.uuid4().hex}" if to is None else to._framelake_path
     df.write.mode("errorifexists" if to is None else "append").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -1,23 +1,23 @@
-"""Operator 8: exact Jaccard join of word shingles by pivots, regions and windows.
-
-The Jaccard distance is a metric on sets. Pivots, of two kinds, split the corpus into regions; the triangle
-inequality says how far a partner can be, so boundary documents are copied into every region where one may be
-found, and regions are joined one by one.
-
-1. Leaders. Documents that agree in a band of minwise hashes go to the regions of the smallest id and of one drawn by
-   a hash; these leaders are the pivots, and the distance to them is computed. Groups of copies collapse to their
-   connected parts here, at a few comparisons a document. This finds links; it proves none absent.
-2. Shingles. Documents that share little are all at distance 1 of nearly every document, so documents make no
-   exact pivots. One-shingle sets do: x is at distance 1 - 1/|x| of a pivot {s} in it, 1 of any other. Among its
-   equally near pivots a document belongs to the one first in a fixed order, rare shingles first. A partner
-   within distance r lacks at most r|x| of x's shingles, hence its region is one of x's first floor(r|x|) + 1
-   pivots: the window that x is copied to. Two documents within r meet in the region of their first common
-   shingle, where their sizes and places bound the overlap.
-3. A region whose documents the first pass has already joined into one part needs nothing. The rest are joined,
-   pairs of different parts only; a region of more than SPLIT documents is first split again by its members'
-   next pivots, windows one wider.
-
-Every candidate is verified on the whole shingle sets; nothing is capped. The order of shingles decides cost,
+"""Operator 8: exact Jaccard join of word shingles, by leaders, an index of first shingles, and pivot windows.
+
+The method asked for cuts the corpus into Voronoi regions of document firsts and copies what lies near a boundary.
+Documents that are no copies share next to nothing, so all distances to document firsts are close to 1, within the
+windows of each other, and every document would go to every region (figures in the README). What is kept of the
+method is what works at such distances:
+
+1. Leaders. Documents that agree in a band of minwise hashes are compared to the smallest id and to one drawn by a
+   hash; these are firsts near by, whose regions are groups of copies. Such groups collapse to their connected parts
+   here, at a few comparisons a document. This finds links; it proves none absent.
+2. First shingles. Shingles are ordered, rare ones first. A partner within distance r lacks at most r|x| of x's
+   shingles, so it has one of x's first floor(r|x|) + 1: documents go to the region of each of these, and two within
+   r meet in the region of their first common one, where their sizes and places bound the overlap. Regions whose
+   documents are all of one part need nothing; of the others pairs of different parts meet. A region of more than
+   SPLIT documents is first split again by its members' next shingles, windows one wider.
+3. Pivot windows. Cells of the hash range are pivot sets, disjoint, so by the triangle inequality of the symmetric
+   difference two sets differ by at least the sum, over cells, of what the numbers of their shingles there differ by.
+   Pairs beyond r by that bound alone leave before any set is sent; this is nearly all pairs of unrelated documents.
+
+Every pair that is left is verified on the whole shingle sets; nothing is capped. The order of shingles decides cost,
 not results: it comes from a count sketch of fixed size over all documents. Shingles are 64-bit hashes; that
 two different ones among a pair's share a hash has a chance of about |x||y| / 2**64.
 
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop, keep, mix, read, release, salted, shingles, small_batches, text_chunks
@@ -47,19 +47,21 @@ BANDS, ROWS = 5, 3
 ID_BITS = 23
 
 
-#: A region of more documents is split by its members' next pivots.
+#: A region of more documents is split by its members' next shingles.
 SPLIT = 4096
+#: Shingles that a pivot cell has on average, and the bits of the least and greatest number of cells.
+PER_CELL, CELL_BITS = 8, (4, 11)
 
 
 def window(n, percent: int):
-    """Pivots of a set of n shingles that a partner's region may be."""
+    """First shingles of a set of n, of which a partner has one."""
     return n - (percent * n + 99) // 100 + 1
 
 
 def depth(percent: int) -> int:
-    """How often regions are split, and one more: linked, different sets share two pivots at least from 50 percent on.
+    """How often regions are split, and one more: linked, different sets share two first shingles at least from 50 percent on.
 
-    A third level would cost more than it saves: a pair that shares k pivots meets in all triples of them."""
+    A third level would cost more than it saves: a pair that shares k of them meets in all triples of them."""
     return 2 if percent >= 50 else 1
 
 
@@ -111,8 +113,11 @@ def _summaries(width: int, percent: int, classes):
             # Windows as wide as the deepest split needs.
             size = np.minimum(np.where(n > 0, window(n, percent) + depth(percent) - 1, 0), n)
             inside = place < size[doc]
-            pivots = s[order][inside].astype(np.int64)
+            firsts = s[order][inside].astype(np.int64)
+            common = level[(s[order] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] > 0
+            rare = np.bincount(doc[inside & ~common], minlength=len(n)).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            cells, cell_ends = _cells(s, n, doc)
             band_ends = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -120,14 +125,44 @@ def _summaries(width: int, percent: int, classes):
                     pa.array(n),
                     *(pa.array(d.astype(np.int64)) for d in digest),
                     pa.ListArray.from_arrays(pa.array(band_ends), pa.array(bands[some].ravel().astype(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(pivots)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(firsts)),
+                    pa.array(rare),
+                    pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(cell_ends.tobytes()), pa.py_buffer(cells.tobytes())]),
                 ],
-                names=["doc_id", "n", "d1", "d2", "bands", "pivots"],
+                names=["doc_id", "n", "d1", "d2", "bands", "firsts", "rare", "cells"],
             )
 
     return run
 
 
+def _cells(s: np.ndarray, n: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the shingles in each pivot cell, up to 255, and where its cells end; more cells for larger sets."""
+    bits = np.clip(np.ceil(np.log2(np.maximum(n, 1) / PER_CELL)), *CELL_BITS).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.where(n > 0, 1 << bits, 0))])
+    at = ends[:-1][doc] + (s >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=int(ends[-1])), 255).astype(np.uint8), ends.astype(np.int32)
+
+
+def _apart(percent: int):
+    """Of pairs (a, b, na, nb, ca, cb) those whose pivot cells do not prove them beyond the distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            ca, cb = (np.array(batch.column(i).to_pylist(), object) for i in (4, 5))
+            sizes = np.array([(len(x), len(y)) for x, y in zip(ca, cb, strict=True)], np.int64).reshape(-1, 2)
+            least = np.zeros(len(na), np.int64)
+            for la, lb in np.unique(sizes, axis=0).tolist():
+                rows, m = np.flatnonzero((sizes == (la, lb)).all(1)), min(la, lb)
+                # Neighbouring cells together are a cell of the coarser division; 255 stands for all from there on.
+                x, y = (np.minimum(np.frombuffer(b"".join(c[rows]), np.uint8).reshape(len(rows), m, -1).sum(2, dtype=np.int64), 255) for c in (ca, cb))
+                least[rows] = np.abs(x - y).sum(1)
+            both = na + nb
+            yield batch.select([0, 1]).filter(pa.array((100 + percent) * (both - least) >= 2 * percent * both))
+
+    return run
+
+
 def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chosen():
@@ -163,45 +198,49 @@ class Join:
         sets = self.docs.withColumn("slot", slot("doc_id")).mapInArrow(_sets(self.width, wanted), "doc_id long, s array<long>")
         a, b = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        return keep(self.spark, pairs.join(a, "a").join(b, "b").filter(100 * both >= self.percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct())
+        return keep(self.spark, pairs.join(a, "a").join(b, "b").filter(100 * both >= self.percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct(), narrow=True)
 
     def regions(self, members: DataFrame, above: DataFrame | None, level: int) -> DataFrame:
         """Rows (region, id, n, part, place) of the regions whose documents are of several parts.
 
-        above: rows of the regions to split, each by the pivots that follow a member's place; None for all members."""
+        above: rows of the regions to split, each by the shingles that follow a member's place; None for all members."""
         n = F.col("n")
-        reach = n - F.floor((self.percent * n + 99) / 100) + level
-        if above is None:
-            rows = members.select("id", "n", "part", F.posexplode(F.slice("pivots", F.lit(1), reach.cast("int"))).alias("place", "pivot")).withColumnRenamed("pivot", "region")
-        else:
-            rows = above.select("region", "id", "place").join(members.select("id", "n", "part", "pivots"), "id")
-            after = F.greatest(reach.cast("int") - F.col("place") - 1, F.lit(0))
-            rows = rows.select("region", "id", "n", "part", "place", F.posexplode(F.slice("pivots", F.col("place") + 2, after)).alias("step", "pivot"))
-            rows = rows.select(F.xxhash64("region", "pivot").alias("region"), "id", "n", "part", (F.col("place") + 1 + F.col("step")).alias("place"))
+        reach = (n - F.floor((self.percent * n + 99) / 100) + level).cast("int")
+        if above is not None:
+            rows = above.select("region", "id", "place").join(members.select("id", "n", "part", "firsts"), "id")
+            after = F.greatest(reach - F.col("place") - 1, F.lit(0))
+            rows = rows.select("region", "id", "n", "part", "place", F.posexplode(F.slice("firsts", F.col("place") + 2, after)).alias("step", "first"))
+            return self._mixed(rows.select(F.xxhash64("region", "first").alias("region"), "id", "n", "part", (F.col("place") + 1 + F.col("step")).alias("place")))
+        members = members.withColumn("reach", reach).withColumn("rare", F.least("rare", "reach"))
+        rows = members.select("id", "n", "part", F.posexplode(F.slice("firsts", F.lit(1), F.col("rare"))).alias("place", "region"))
+        # A rare shingle's region is small by the sketch, so one shuffle will do; a frequent one's may be any size.
+        of = Window.partitionBy("region")
+        rare = rows.withColumn("low", F.min("part").over(of)).withColumn("high", F.max("part").over(of)).filter("low < high").select("region", "id", "n", "part", "place")
+        rest = F.posexplode(F.slice("firsts", F.col("rare") + 1, F.col("reach") - F.col("rare"))).alias("step", "region")
+        rows = members.select("id", "n", "part", "rare", rest).select("region", "id", "n", "part", (F.col("rare") + F.col("step")).alias("place"))
+        return rare.unionByName(self._mixed(rows))
+
+    @staticmethod
+    def _mixed(rows: DataFrame) -> DataFrame:
         mixed = rows.groupBy("region").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("region")
         return rows.join(mixed, "region", "left_semi")
 
-    def enough(self, na, nb, common):
-        """Whether two sets of these sizes can be linked if their windows have so many pivots in common.
-
-        Of two windows one ends first; what the sets share up to there is in both windows, and of the set whose
-        window that is at most percent of its size, rounded up, less one, comes after."""
-        p = self.percent
-        beyond = F.greatest(F.floor((p * na + 99) / 100), F.floor((p * nb + 99) / 100)) - 1
-        return ((100 * na >= p * nb) & (100 * nb >= p * na)) & ((100 + p) * (common + beyond) >= p * (na + nb))
+    def leads(self, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b) of a set and a leader of a band of it."""
+        banded = sets.select("id", F.explode("bands").alias("band"))
+        leaders = banded.groupBy("band").agg(F.min("id").alias("x"), F.min_by("id", F.xxhash64("id", "band")).alias("y"), F.count("*").alias("m")).filter("m > 1").select("band", F.explode(F.array("x", "y")).alias("leader"))
+        return banded.join(leaders, "band").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
 
     def screened(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) those whose windows have enough in common."""
-        size = (F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100) + 1).cast("int")
-        windows = sets.select("id", "n", F.slice("pivots", F.lit(1), size).alias("w"))
-        a, b = (windows.select(F.col("id").alias(k), F.col("n").alias("n" + k), F.col("w").alias("w" + k)) for k in "ab")
-        common = F.size(F.array_intersect("wa", "wb"))
-        return pairs.join(a, "a").join(b, "b").filter(self.enough(F.col("na"), F.col("nb"), common)).select("a", "b")
+        """Of the pairs (a, b) those that their sizes and pivot cells do not rule out."""
+        a, b = (sets.select(F.col("id").alias(k), F.col("n").alias("n" + k), F.col("cells").alias("c" + k)) for k in "ab")
+        sized = (100 * F.col("na") >= self.percent * F.col("nb")) & (100 * F.col("nb") >= self.percent * F.col("na"))
+        return pairs.join(a, "a").join(b, "b").filter(sized).select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_apart(self.percent), "a long, b long")
 
     def pairs(self, regions: DataFrame, level: int) -> DataFrame:
         """Candidates (a, b) of different parts that share a region and whose sizes and places leave room for the overlap.
 
-        In the region of their first common pivots two linked sets have at most what follows it in either in common."""
+        In the region of their first common shingles two linked sets have at most what follows it in either in common."""
         x, y, percent = regions.alias("x"), regions.alias("y"), self.percent
         on = (F.col("x.region") == F.col("y.region")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part"))
         on &= (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
@@ -214,24 +253,22 @@ class Join:
         spark, percent = self.spark, self.percent
         small_batches(spark)
         classes = spark.sparkContext.broadcast(frequent(spark, self.docs, self.width))
-        rows = keep(spark, self.docs.mapInArrow(_summaries(self.width, percent, classes), "doc_id long, n long, d1 long, d2 long, bands array<long>, pivots array<long>"))
+        rows = keep(spark, self.docs.mapInArrow(_summaries(self.width, percent, classes), "doc_id long, n long, d1 long, d2 long, bands array<long>, firsts array<long>, rare int, cells binary"))
         light = keep(spark, rows.select("doc_id", "n", "d1", "d2"))
         named = lambda t: t.filter("n > 0 and doc_id is not null")
         # Equal sets are one member.
-        sets = keep(spark, named(rows).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("pivots").alias("pivots")))
+        sets = keep(spark, named(rows).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("bands", "firsts", "rare", "cells")]))
         drop(spark, rows)
         equal = named(light).join(sets.select("id", "n", "d1", "d2"), ["n", "d1", "d2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
         # Leaders.
         release(spark)
-        banded = sets.select("id", F.explode("bands").alias("band"))
-        leaders = banded.groupBy("band").agg(F.min("id").alias("x"), F.min_by("id", F.xxhash64("id", "band")).alias("y"), F.count("*").alias("m")).filter("m > 1").select("band", F.explode(F.array("x", "y")).alias("leader"))
-        near = keep(spark, self.screened(banded.join(leaders, "band").filter("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), sets))
+        near = keep(spark, self.screened(self.leads(sets), sets), narrow=True)
         led = self.verified(near)
         drop(spark, near)
         release(spark)
         parts = components(spark, led).withColumnRenamed("component", "part")
         # Shingles.
-        members = sets.select("id", "n", "pivots").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+        members = sets.select("id", "n", "firsts", "rare").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
         regions, pairs, level = None, [], 1
         while True:
             regions, old = keep(spark, self.regions(members, regions, level)), regions
@@ -240,7 +277,7 @@ class Join:
             large = regions.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > self.split).select("region")
             some = level < depth(percent) and large.limit(1).count() > 0
             small, rest = (regions.join(large, "region", "left_anti"), keep(spark, regions.join(large, "region", "left_semi"))) if some else (regions, None)
-            pairs.append(keep(spark, self.pairs(small, level)))
+            pairs.append(keep(spark, self.pairs(small, level), narrow=True))
             release(spark)
             if not some:
                 break
@@ -250,7 +287,7 @@ class Join:
         candidates = pairs[0]
         for p in pairs[1:]:
             candidates = candidates.unionByName(p)
-        close = keep(spark, self.screened(candidates.distinct() if len(pairs) > 1 else candidates, sets))
+        close = keep(spark, self.screened(candidates.distinct() if len(pairs) > 1 else candidates, sets), narrow=True)
         drop(spark, *pairs)
         release(spark)
         found = self.verified(close)
