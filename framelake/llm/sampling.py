@@ -42,11 +42,16 @@ TOGETHER = 1 << 19
 
 #: What a random number is for.
 ROOT, STEP, SET, PICK, REST = range(5)
+SAMPLES = 31
 
 
 def uniform(key: np.ndarray, what: int, t: int, word, step) -> np.ndarray:
-    """Numbers in (0, 1): the SplitMix64 generator seeded by key, at a counter of purpose, sample, word and step."""
+    """Numbers in (0, 1): the SplitMix64 generator seeded by key, at a counter of purpose, sample, word and step.
+
+    The counter has room for SAMPLES samples; those after take another seed."""
     with np.errstate(over="ignore"):
+        if t >= SAMPLES:
+            key, t = salted(key, t // SAMPLES), t % SAMPLES
         at = (np.asarray(word).astype(np.uint64) << np.uint64(24)) + np.asarray(step).astype(np.uint64) + np.uint64((t * 8 + what + 1) << 56)
         h = mix(key + at * np.uint64(0x9E3779B97F4A7C15))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
@@ -280,25 +285,39 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def encode(spark: SparkSession, docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: int = SEED, path: str = PATH, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: int = SEED, path: str = PATH, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, copies_col: str | None = None) -> DataFrame:
     """doc_id, sample (from 1), n_pieces, log_prob, perturbed, inclusion, ids, ids_md5 and whether the ids decode to the text.
 
-    ids=False leaves the ids themselves null, for callers who need their digest alone."""
+    ids=False leaves the ids themselves null, for callers who need their digest alone. copies_col: how many samples a row
+    gives instead of k, its first ones, over again where it has fewer segmentations; a null text so many nulls."""
     small_batches(spark)
     sent = spark.sparkContext.broadcast(Vocab.read(path))
     names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids", "ids_md5", "decodes"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.string(), pa.bool_()]
 
+    def sampled(encoder: Encoder, texts: list[str | None], keys: np.ndarray, copies: list[int] | None) -> list[list]:
+        texts = [t or "" for t in texts]
+        if copies is None:
+            return encoder.samples(texts, keys, k, seed)
+        out: list[list] = [[] for _ in texts]
+        # A row's samples and scores do not depend on its neighbours': all rows search k, those that need more alone.
+        for most in sorted({max(k, n) for n in copies}):
+            own = [i for i, n in enumerate(copies) if max(k, n) == most]
+            for i, found in zip(own, encoder.samples([texts[i] for i in own], keys[own], most, seed), strict=True):
+                out[i] = [found[r % len(found)] for r in range(copies[i])]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value, alpha)
         for batch in batches:
             texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            copies = batch.column(2).to_pylist() if copies_col else None
             for a, b in _groups(texts):
                 rows = []
                 keys = np.array([(i or 0) & 0xFFFFFFFFFFFFFFFF for i in doc_ids[a:b]], np.uint64)
-                for i, found in enumerate(encoder.samples([t or "" for t in texts[a:b]], keys, k, seed), a):
+                for i, found in zip(range(a, b), sampled(encoder, texts[a:b], keys, None if copies is None else copies[a:b]), strict=True):
                     if texts[i] is None:
-                        rows.append((doc_ids[i], 1, 0, None, None, None, None, None, None))
+                        rows += [(doc_ids[i], r, 0, None, None, None, None, None, None) for r in range(1, 2 if copies is None else copies[i] + 1)]
                         continue
                     want = texts[i].replace(MARK, " ").encode("utf-8", "surrogatepass")
                     for r, (own, logp, g, score) in enumerate(found, 1):
@@ -306,7 +325,8 @@ def encode(spark: SparkSession, docs: DataFrame, k: int = K, alpha: float = ALPH
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=names)
 
     schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids array<int>, ids_md5 string, decodes boolean"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    more = [F.col(copies_col).cast("int")] if copies_col else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more).mapInArrow(run, schema)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str = PATH, ids_col: str = "ids", keep_cols: tuple[str, ...] = ("doc_id", "sample")) -> DataFrame:

@@ -416,6 +416,16 @@ def test_counts_like_plain_viterbi_and_library():
         assert len(own.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids) == counter.of([t])[0][0]
 
 
+def test_count_query_like_plain_viterbi(spark):
+    texts = {r.doc_id: r.text or "" for r in table(spark, "documents").collect()}
+    rows = registry.QUERIES["op2_token_count"](spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        if len(texts[r.doc_id]) < 4000:
+            n, score = plain_viterbi(texts[r.doc_id])
+            assert r.n_tokens == n and r.best_score == pytest.approx(score / 1000)
+
+
 def segmentations(x, known):
     if not x:
         yield (), 0
@@ -538,11 +548,33 @@ def test_pipeline_like_its_parts(spark):
     left = spark.createDataFrame([(i, masked[i], rows[i].source) for i in kept], "doc_id long, text string, source string")
     want = {r.doc_id: r.copies for r in mixing.mix_copies(spark, left).collect() if r.copies}
     assert ids == want
+    samples = Counter((r.doc_id, r.sample) for r in out.collect())
+    assert set(samples.values()) == {1} and {n for _, n in samples} <= {1, 2}
     decoded = {r.doc_id: r.text for r in sampling.decode(spark, out).collect()}
     assert decoded == {i: masked[i] for i in want}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "jaccard", "pii", "mix", "encode"]
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows, and columns with the operators' own names."""
+    import corpus_pipeline
+
+    extra = "score double, kept boolean, n string, component string, cells string, copies int, part string, `odd name` string"
+    words = "der und die das ist nicht ein eine mit für auf dem den von zu im".split()
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(30)), "de", "s") for i in range(30)]
+    rows += [rows[0], (None, rows[1][1], "de", None), (None, "noch ein text ohne nummer und mit worten", None, "s"), (100, None, "de", "s"), (101, "", None, None), (102, "schreib an a.b@c.de und an niemand sonst", "de", "t")]
+    for name, some in (("full", rows), ("none", [])):
+        docs = spark.createDataFrame([(*r, len(r[1] or ""), 1.0, True, "n", "c", "x", 7, "p", "o") for r in some], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+        docs.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs_out = stage(spark, docs, "")
+            assert docs_out.columns == docs.columns
+        out = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").collect()
+        texts = {r.doc_id: r.text for r in sampling.decode(spark, spark.createDataFrame(out, corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").schema)).collect()} if out else {}
+        assert bool(out) == bool(some) and {100, 101}.isdisjoint(texts) and "schreib an [EMAIL] und an niemand sonst" in (texts.get(102) or "schreib an [EMAIL] und an niemand sonst")
+
+
 def test_url_models_keep_rare_contexts(spark):
     """With far more than 16,384 characters, contexts seen once still count: evidence as of whole models in one process."""
     rows = [f"http://x{i:04d}.example.com/en/{i * 7919 % 10007}" for i in range(700)] + [f"http://www.example.com/en/{i * 31 % 5003}?q={i}" for i in range(700)] + [f"http://x{i}.example.org/é{i}" for i in range(50)]
@@ -563,6 +595,19 @@ def test_url_models_keep_rare_contexts(spark):
         assert abs(got[i] - (plain["allow"].of(url) - plain["block"].of(url)) / (len(url) + 1)) < 1e-9
 
 
+def test_many_samples_and_copies(spark):
+    """More samples than the counter has room for; a row's copies take its samples in turn, whatever stands beside it."""
+    found = sampling.Encoder(VOCAB, 0.3).samples(["the cat and the hat"], np.array([5], np.uint64), 40, 1)[0]
+    assert len({tuple(f[0].tolist()) for f in found}) == 40 and [f[2] for f in found] == sorted((f[2] for f in found), reverse=True)
+    rows = [(1, "the cat sat", 2), (2, "a", 3), (3, None, 2), (4, "", 2), (5, "some other words here", 5)]
+    make = lambda r: sorted((x.doc_id, x.sample, x.ids_md5, x.inclusion) for x in sampling.encode(spark, spark.createDataFrame(r, "doc_id long, text string, copies int").coalesce(1), copies_col="copies").collect())
+    got = make(rows)
+    assert Counter(x[0] for x in got) == {1: 2, 2: 3, 3: 2, 4: 2, 5: 5} and got == sorted(x for r in rows for x in make([r]))
+    assert len({x[2] for x in got if x[0] == 1}) == 2 and len({x[2] for x in got if x[0] == 5}) == 5
+    plain = sampling.encode(spark, spark.createDataFrame(rows, "doc_id long, text string, copies int")).filter("doc_id = 1").collect()
+    assert sorted((x.doc_id, x.sample, x.ids_md5, x.inclusion) for x in plain) == [x for x in got if x[0] == 1]
+
+
 def test_sampling_query_returns_ids(spark):
     rows = registry.QUERIES["op6_sampling"](spark, DATA)
     texts = {r.doc_id: r.text for r in table(spark, "documents", DATA).collect()}
