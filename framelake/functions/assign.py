@@ -16,8 +16,14 @@ def assign(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     turned = score.shape[0] > score.shape[1]
     cost = -(score.T if turned else score)
     n, m = cost.shape
-    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for i in range(n):
+    # Every row first takes its best column where that is free; only the others look for a path.
+    u, v, owner, todo = cost.min(1), np.zeros(m), np.full(m, -1), []
+    for i, col in enumerate(cost.argmin(1).tolist()):
+        if owner[col] < 0:
+            owner[col] = i
+        else:
+            todo.append(i)
+    for i in todo:
         dist, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
         row, last = i, -1
         while True:

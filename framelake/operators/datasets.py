@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.numbering import numbered
+
 
 def group_by_image(images: DataFrame, annotations: DataFrame, key: str = "image_id", fields: tuple[str, ...] = ("ann_id", "category_id")) -> DataFrame:
     """Every image with its annotations in order of id; images without any have an empty list."""
@@ -36,13 +38,15 @@ def explode_tracks(tracks: DataFrame) -> DataFrame:
 
 def dense_ids(rows: DataFrame, order: list[str], name: str, partition: list[str] | None = None, start: int = 1) -> DataFrame:
     """rows with ids start, start + 1, ... in order, within each partition."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*(partition or [])).orderBy(*order)) + (start - 1))
+    if not partition:
+        return numbered(rows, order, name, start)
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) + (start - 1))
 
 
 def one_based(rows: DataFrame, column: str, group: str | None = None) -> DataFrame:
     """rows with `column` one higher throughout where it has a 0 anywhere."""
     zero = rows.groupBy(*([group] if group else [])).agg(F.max(F.col(column) == 0).alias("zero"))
-    joined = rows.join(F.broadcast(zero), group) if group else rows.join(F.broadcast(zero))
+    joined = rows.join(zero, group) if group else rows.join(F.broadcast(zero))  # one row
     return joined.withColumn(column, F.col(column) + F.col("zero").cast("int")).drop("zero")
 
 
@@ -50,12 +54,12 @@ def remap_pairs(positives: DataFrame, negatives: DataFrame, keys: tuple[str, str
     """An id for each pair: those of positives in order from 0, then the others."""
     pos = positives.select(*keys).distinct().withColumn("later", F.lit(0))
     neg = negatives.select(*keys).distinct().join(pos, list(keys), "left_anti").withColumn("later", F.lit(1))
-    return pos.unionByName(neg).withColumn("unique_id", F.row_number().over(Window.orderBy("later", *keys)) - 1).drop("later")
+    return numbered(pos.unionByName(neg), ["later", *keys], "unique_id", 0).drop("later")
 
 
 def class_agnostic(rows: DataFrame, order: tuple[str, ...] = ("video_id", "category_id")) -> DataFrame:
     """rows with the id of their (video, category) as video_id and category 1."""
-    ids = rows.select(*order).distinct().withColumn("new_id", F.dense_rank().over(Window.orderBy(*order)) - 1)
+    ids = numbered(rows.select(*order).distinct(), list(order), "new_id", 0).withColumn("new_id", F.col("new_id").cast("int"))
     return rows.join(ids, list(order)).withColumn("video_id", F.col("new_id")).withColumn("category_id", F.lit(1)).drop("new_id")
 
 
@@ -91,7 +95,7 @@ def track_groups(videos: DataFrame, rows: DataFrame, video: str = "video_id", tr
 
 def merged_categories(rows: DataFrame, merges: DataFrame) -> DataFrame:
     """rows with merged categories (from, to) replaced; others stay."""
-    m = F.broadcast(merges.select(F.col("from").alias("category_id"), F.col("to").alias("merged")))
+    m = merges.select(F.col("from").alias("category_id"), F.col("to").alias("merged"))
     return rows.join(m, "category_id", "left").withColumn("category_id", F.coalesce("merged", "category_id")).drop("merged")
 
 

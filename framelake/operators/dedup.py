@@ -7,11 +7,15 @@ component of near hashes, so components are resolved apart, each in order.
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions import pixels
 from framelake.operators.graph import connected
+from framelake.operators.numbering import numbered
 
 
 def bits(hex_col: Column) -> Column:
@@ -32,12 +36,14 @@ def exact(frames: DataFrame, name: str = "filename", hash_col: str = "phash", qu
 def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
     """Pairs a < b of distinct 64-bit hashes (column h) that differ in at most `threshold` bits.
 
-    Of threshold + 1 bands two such hashes share one at least, so pairs come from equal bands and are verified."""
-    n = threshold + 1
+    Of threshold + 2 bands two such hashes share two at least, so pairs come from equal pairs of bands, whose values are
+    some 20 bits for the usual thresholds, and are verified."""
+    n = threshold + 2
     cuts = [64 * i // n for i in range(n + 1)]
-    bands = F.array(*[F.shiftrightunsigned("h", lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < 64 else -1) for lo, hi in zip(cuts, cuts[1:], strict=False)])
-    b = hashes.select("h", F.posexplode(bands).alias("band", "value"))
-    pairs = b.toDF("a", "band", "value").join(b.toDF("b", "band", "value"), ["band", "value"]).filter("a < b")
+    bands = [F.shiftrightunsigned("h", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    keys = [F.xxhash64(F.lit(k), bands[i], bands[j]) for k, (i, j) in enumerate(itertools.combinations(range(n), 2))]
+    b = hashes.select("h", F.explode(F.array(*keys)).alias("key"))
+    pairs = b.toDF("a", "key").join(b.toDF("b", "key"), "key").filter("a < b")
     return pairs.filter(hamming(F.col("a"), F.col("b")) <= threshold).select("a", "b").distinct()
 
 
@@ -84,15 +90,52 @@ def near(frames: DataFrame, threshold: int, name: str = "filename", hash_col: st
 def adjacent(frames: DataFrame, similar: Column, name: str = "filename", quality: str = "quality", partition: str | None = None) -> DataFrame:
     """frames with kept: of two neighbours by name that are alike the worse goes, of equal ones the later.
 
-    similar: whether a row is like the one before it, in terms of frames' columns. Rejected frames still compare."""
-    w = Window.partitionBy(*([partition] if partition else [])).orderBy(name)
-    t = frames.withColumn("like", F.coalesce(similar, F.lit(False)))
-    q = F.coalesce(F.col(quality), F.lit(0.0))
-    t = t.withColumn("q", q).withColumn("before", F.lag("q").over(w)).withColumn("after", F.lead("q").over(w)).withColumn("like_after", F.lead("like").over(w))
+    similar: whether a row is like the one before it, in terms of frames' columns. Rejected frames still compare.
+    Without a partition neighbours meet by their number, so that no task has all frames."""
+    t = frames.withColumn("like", F.coalesce(similar, F.lit(False))).withColumn("q", F.coalesce(F.col(quality), F.lit(0.0)))
+    if partition is None:
+        t = numbered(t, [name], "__n")
+        t = t.join(t.select((F.col("__n") + 1).alias("__n"), F.col("q").alias("before")), "__n", "left")
+        t = t.join(t.select((F.col("__n") - 1).alias("__n"), F.col("q").alias("after"), F.col("like").alias("like_after")), "__n", "left").drop("__n")
+    else:
+        w = Window.partitionBy(partition).orderBy(name)
+        t = t.withColumn("before", F.lag("q").over(w)).withColumn("after", F.lead("q").over(w)).withColumn("like_after", F.lead("like").over(w))
     lost = (F.col("like") & F.col("before").isNotNull() & ~(F.col("q") > F.col("before"))) | (F.coalesce("like_after", F.lit(False)) & (F.col("after") > F.col("q")))
     return t.withColumn("kept", ~F.coalesce(lost, F.lit(False))).drop("like", "q", "before", "after", "like_after")
 
 
+def with_previous(frames: DataFrame, columns: list[str], name: str = "filename") -> DataFrame:
+    """frames with previous_<column> of the frame before, by name."""
+    t = numbered(frames, [name], "__n")
+    return t.join(t.select((F.col("__n") + 1).alias("__n"), *[F.col(c).alias(f"previous_{c}") for c in columns]), "__n", "left").drop("__n")
+
+
+def adjacent_ssim(frames: DataFrame, least: float = 0.95, image: str = "image", name: str = "filename", quality: str = "quality") -> DataFrame:
+    """frames with kept, alike where two neighbours' pictures have a structural similarity of `least`."""
+    t = with_previous(frames, [image], name).withColumn("__ssim", pixels.ssim_udf(F.col(image), F.col(f"previous_{image}")))
+    return adjacent(t, F.col("__ssim") >= least, name, quality).drop("__ssim", f"previous_{image}")
+
+
+#: What finds duplicates, by the names of the choices.
+METHODS = {"Fast (pHash)": "near", "Accurate (LPIPS)": "distance", "Balanced (SSIM)": "ssim", "pHash then LPIPS": "hybrid"}
+
+
+def dispatch(frames: DataFrame, method: str, threshold: int = 5, least: float = 0.95, distance: DataFrame | None = None, most: float = 0.1) -> DataFrame:
+    """frames with kept by the method of that name; any other keeps all."""
+    kind = METHODS.get(method)
+    if kind == "near":
+        return near(frames, threshold)
+    if kind == "ssim":
+        return adjacent_ssim(frames, least)
+    if kind == "hybrid" and distance is not None:
+        return hybrid(frames, threshold, distance, most)
+    if kind == "distance" and distance is not None:
+        # distance: filename and how far its picture is from the one before.
+        own = frames.join(distance.select("filename", "distance"), "filename", "left")
+        return adjacent(own, F.col("distance") <= most).drop("distance")
+    return frames.withColumn("kept", F.lit(True))
+
+
 def _candidates(threshold: int, name: str, hash_col: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(name, kind="stable").reset_index(drop=True)

@@ -10,6 +10,7 @@ reason, and so can reject a frame silently.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -67,6 +68,16 @@ def metric(f: Filter) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, F.lit(-FLOAT_MAX).cast("float")), F.lit(FLOAT_MAX).cast("float")))
 
 
+def fetch(frames: DataFrame, key: str) -> Column:
+    """A metric by its key: where its definition says, else a column of that name, else metrics.<key>_score; null without any."""
+    if key in BY_KEY:
+        return metric(BY_KEY[key])
+    inner = set(frames.schema["metrics"].dataType.names) if "metrics" in frames.columns else set()
+    found = [F.col(f"`{key}`")] if key in frames.columns else []
+    found += [F.col("metrics")[n] for n in (f"{key}_score",) if n in inner]
+    return F.coalesce(*found).cast("float") if found else F.lit(None).cast("float")
+
+
 def _number(x: float) -> Column:
     return F.lit(float(x)).cast("float")
 
@@ -128,6 +139,26 @@ def percentiles(frames: DataFrame, wanted: Mapping[str, float]) -> dict[str, flo
     return row.asDict()
 
 
+def reset(sliders: list[str], defaults: Mapping[str, Mapping[str, float]]) -> dict[str, object]:
+    """Every slider (<metric>_min or <metric>_max) at its default, 0 without one, and the other settings as at first."""
+    side = lambda s: "default_max" if s.endswith("_max") else "default_min"
+    name = lambda s: s.removesuffix("_max") if s.endswith("_max") else s.removesuffix("_min")
+    return {s: defaults.get(name(s), {}).get(side(s), 0) for s in sorted(sliders)} | {"dedup_thresh": 5, "require_face_match": False, "dedup_method": "Fast (pHash)", "smart_filter_enabled": False}
+
+
+def with_defaults(args: Mapping[str, object], config: Mapping[str, object]) -> dict[str, object]:
+    """Parameters that are absent or null from a config's default_<name>, or filter_default_<name>; labels without emoji."""
+    out = dict(args)
+    for key, value in config.items():
+        for prefix in ("filter_default_", "default_"):
+            if key.startswith(prefix):
+                name = key.removeprefix(prefix)
+                if out.get(name) is None:
+                    out[name] = value
+                break
+    return {k: re.sub(r"^[^\w\s]+\s*", "", v).strip() if isinstance(v, str) else v for k, v in out.items()}
+
+
 def smart_thresholds(frames: DataFrame, args: Mapping[str, object]) -> dict[str, object]:
     """Thresholds read as percentiles of their metric; angles and metrics without values stay."""
     out = dict(args)

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.session import keep
+from framelake.operators.numbering import numbered
+from framelake.session import drop, keep
 
 BLOCK = 2048
 
@@ -19,13 +20,16 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round a node takes the least label around it, then its label's label; rounds are written out."""
     both = keep(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    label = keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    label = kept = keep(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")))
     while True:
         around = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
         near = label.join(around, "a").select("a", "c", F.least("c", "m").alias("n"))
         up = label.select(F.col("a").alias("n"), F.col("c").alias("u"))
         new = keep(near.join(up, "n", "left").select("a", F.col("c").alias("old"), F.least("n", F.coalesce("u", "n")).alias("c")))
+        drop(kept)
+        kept = new
         if not new.filter("c <> old").limit(1).count():
+            drop(both)
             return new.select(F.col("a").alias("node"), F.col("c").alias("component"))
         label = new.select("a", "c")
 
@@ -66,6 +70,7 @@ def similar(vectors: DataFrame, least: float, id_col: str, vector_col: str) -> D
     # Every block meets itself and those after it.
     pairs = keep(left.join(right, left["at"] <= right["at2"]).repartition(max(2, spark.sparkContext.defaultParallelism), "at", "at2").mapInArrow(meet, "a long, b long, cosine double"))
     spark.conf.set(batch, before)
+    drop(table)
     return pairs
 
 
@@ -75,8 +80,8 @@ def face_clusters(faces: DataFrame, confidence: float, id_col: str = "face_id",
     Every face with a partner is a core point, so clusters are connected components, numbered by their smallest
     face; faces without one are -1."""
     parts = connected(similar(faces, confidence, id_col, vector_col))
-    roots = parts.select("component").distinct().withColumn("cluster", (F.row_number().over(Window.orderBy("component")) - 1).cast("int"))
-    named = parts.join(F.broadcast(roots), "component").select(F.col("node").alias("id"), "cluster")
+    roots = numbered(parts.select("component").distinct(), ["component"], "cluster", 0).withColumn("cluster", F.col("cluster").cast("int"))
+    named = parts.join(roots, "component").select(F.col("node").alias("id"), "cluster")
     return faces.select(F.col(id_col).alias("id")).join(named, "id", "left").select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 

@@ -57,7 +57,9 @@ def status_history(events: DataFrame, key: str, order: str, status: str) -> Data
 
 def undo(snapshots: DataFrame, version: str, depth: int = 10) -> DataFrame:
     """The latest `depth` snapshots, newest first."""
-    return snapshots.withColumn("back", F.dense_rank().over(Window.orderBy(F.desc(version)))).filter(F.col("back") <= depth)
+    last = snapshots.select(version).distinct().orderBy(F.desc(version)).limit(depth)
+    last = last.withColumn("back", F.row_number().over(Window.orderBy(F.desc(version))))  # `depth` rows
+    return snapshots.join(F.broadcast(last), version)
 
 
 def shots_from_scores(frames: DataFrame, score: str, order: str, video: str, threshold: float = 27.0) -> DataFrame:

@@ -58,6 +58,11 @@ def reworded(text: Column, prefix: str = "", suffix: str = "", replace: dict[str
     return F.concat(F.lit(prefix), text, F.lit(suffix))
 
 
+def visual(text: Column, box: Column, on: Column, dropped: Column) -> tuple[Column, Column]:
+    """A query's text and box: where `on`, the text asks for what the box shows, and the box may be dropped."""
+    return F.when(on, F.lit("visual")).otherwise(text), F.when(~(on & dropped), box)
+
+
 # Boxes under image transforms; a box without area afterwards is to be dropped (see has_size).
 
 

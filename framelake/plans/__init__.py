@@ -1,6 +1,6 @@
 """Queries over the driver's tables, and their SQL."""
 
-from framelake.plans import datasets, frames, quality, subjects, tables, transforms
+from framelake.plans import checked, datasets, frames, functions, masks, quality, subjects, tables, training, transforms
 from framelake.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "datasets", "frames", "quality", "subjects", "tables", "transforms"]
+__all__ = ["QUERIES", "SQL", "checked", "datasets", "frames", "functions", "masks", "quality", "subjects", "tables", "training", "transforms"]

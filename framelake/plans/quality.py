@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import evaluation as E
 from framelake.operators import matching as M
+from framelake.operators import training
 from framelake.plans.adapters import adapted, table, with_
 from framelake.plans.registry import near, near_sql, query
 
@@ -150,13 +151,15 @@ def hota(spark, d):
 
 @query("hota_rollup")
 def hota_rollup(spark, d):
-    """Sequences combined, by class and over classes, weighted by detections."""
+    """Sequences combined, by class, by super-category and over classes, weighted by detections."""
     gt, dt = _truth(spark, d)
     counts = E.track_counts(gt, dt, ["video_id", "category_id"])
     by_class = E.hota(counts, ["category_id"]).select(F.col("category_id").cast("string").alias("level"), "hota", "det_a", "ass_a")
     all_ = E.hota(counts.withColumn("level", F.lit("all")), ["level"]).select("level", "hota", "det_a", "ass_a")
     mean = E.hota_by_class(E.hota(counts, ["category_id"]).withColumn("level", F.lit("class mean")), ["level"]).select("level", "hota", "det_a", "ass_a")
-    out = by_class.unionByName(all_).unionByName(mean)
+    members = spark.createDataFrame([(c, "even" if c % 2 == 0 else "odd") for c in range(4)], "category_id int, super string")
+    above = E.hota(training.by_super(counts, members), ["super"]).select(F.col("super").alias("level"), "hota", "det_a", "ass_a")
+    out = by_class.unionByName(all_).unionByName(mean).unionByName(above)
     return out.select("level", *[near(F.col(c)).alias(c) for c in out.columns[1:]])
 
 

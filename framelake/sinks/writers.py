@@ -101,3 +101,22 @@ def histogram_svg(counts: list[int], width: int = 300, height: int = 100) -> str
 def coco_predictions(detections: DataFrame) -> DataFrame:
     """image_id, category_id, bbox (x, y, w, h) and score: rows of a prediction dump."""
     return detections.select("image_id", "category_id", F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), F.col("conf").alias("score"))
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    """No rows, with all columns: what a table is overwritten with to clear it."""
+    return rows.limit(0)
+
+
+def json_rows(rows: DataFrame) -> DataFrame:
+    """Every row as one JSON text, nested values and binaries (as base64) included."""
+    return rows.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def score_tables(scores: DataFrame, path: str, by: str = "level") -> None:
+    """A folder of one CSV with a header for all scores, and a text summary of a line each, both in order."""
+    names = [c for c in scores.columns if c != by]
+    ordered = scores.orderBy(by).coalesce(1)
+    ordered.select(by, *names).write.mode("overwrite").option("header", True).csv(f"{path}/detailed")
+    line = F.concat_ws(" ", F.rpad(F.col(by).cast("string"), 20, " "), *[F.format_string(f"{c}: %.3f", F.col(c).cast("double")) for c in names])
+    ordered.select(line.alias("value")).write.mode("overwrite").text(f"{path}/summary")
