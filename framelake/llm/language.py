@@ -151,7 +151,8 @@ def fit(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     part = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter("lang is not null and id is not null").withColumn("part", part)
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("ids"))
-    near = rows.join(sizes, "lang").filter(F.col("part") * F.col("ids") <= BOUND * per_lang)
+    # A row a language, of which the profiles hold `top` numbers each anyway; joined where the rows are.
+    near = rows.join(F.broadcast(sizes), "lang").filter(F.col("part") * F.col("ids") <= BOUND * per_lang)
     order = Window.partitionBy("lang").orderBy("part", "id")
     # At most per_lang ids of each language.
     ids = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).select("id", "lang").distinct()
