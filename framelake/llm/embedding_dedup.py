@@ -231,7 +231,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     n, dims = rows.agg(F.count("id"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     dims = max(1, dims)
     hashing = plan(n, dims, threshold)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "2000")
     clean = rows.mapInArrow(_clean(dims, kind), "id long, vector binary")
     some = clean.filter("id is not null and vector is not null")
     # own: the id where it has several rows, so that it shares no class; else null.
@@ -259,6 +261,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
         spark,
         each.select("id", "m", "vector", "keys", "key", "pair", "side").repartition(parts, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_verify(threshold, kind), "id long, n long, low long"),
     )
+    spark.conf.set(batch, before)  # what follows reads written tables
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     parted = components(spark, found.select(F.col("id").alias("a"), F.col("low").alias("b")))
     classes = hashed.select("id", "m", _key(F.col("alone"), F.col("id"), F.md5("vector")).alias("key")).distinct()
