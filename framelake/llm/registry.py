@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, jaccard_join, language, mixing, pii, sampling, token_count, topk_search, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, importance, jaccard_join, language, mixing, pii, sampling, token_count, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_topk_search": topk_search.query,
     "op10_mixing": mixing.query,
+    "op11_exact_dedup": exact_dedup.query,
+    "op12_importance": importance.query,
 }
 SQL = {
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_topk_search": topk_search.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_exact_dedup": exact_dedup.SQL,
+    "op12_importance": importance.SQL,
 }
