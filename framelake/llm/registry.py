@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, importance, jaccard_join, language, mixing, pii, sampling, token_count, topk_search, toxicity, url_filter
+from . import conversation, embedding_dedup, exact_dedup, importance, jaccard_join, language, mixing, pii, sampling, token_count, topk_search, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.query,
     "op11_exact_dedup": exact_dedup.query,
     "op12_importance": importance.query,
+    "op13_conversation_repair": conversation.query,
 }
 SQL = {
     "op8_jaccard_join": jaccard_join.SQL,
