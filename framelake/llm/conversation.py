@@ -421,3 +421,60 @@ def damage(turns: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(spark, damage(read(spark, sf_dir, "conversations")), live_col="live")
+
+
+def _sql() -> str:
+    """The same by plain strings, from each conversation's last turn back to its first; a cost of twelve digits stands before its audit."""
+    add = lambda v, cost, letter: f"lpad(CAST(CAST(left({v}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || '{letter}' || substr({v}, 13)"
+    follow = ["v2", "v2", "v3", "v2"]
+    keeps = [[("s", "v1"), ("u", "v2")], [("u", "v2")], [("a", "v3")], [("u", "v2")]]
+    edits = [", ".join([add(f"v{s}", 3, "D"), *(f"CASE WHEN may AND initial = '{i}' THEN {add(to, 'cut', 'K')} END" for i, to in keeps[s]), f"CASE WHEN may THEN {add(follow[s], '2 + cut', 'R')} END"]) for s in range(4)]
+    plain = ", ".join(f"least({e}) AS p{s}" for s, e in enumerate(edits))
+    return rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name, t FROM conversations, crc_table
+), kinds AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM hashed
+), broken AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0
+), convs AS (
+  SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)
+), placed AS (
+  SELECT conv, turn, role, text, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos
+  FROM broken b JOIN convs c ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+), judged AS (
+  SELECT *, lag(initial) OVER (PARTITION BY conv ORDER BY pos) AS was,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault
+  FROM placed
+), counts AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (was || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv
+), steps AS (
+  SELECT conv, n + 1 AS pos, '000000000000' AS v0, '000000000004II' AS v1, '000000000002I' AS v2, '000000000000' AS v3 FROM counts
+  UNION ALL
+  SELECT conv, pos, least(p0, {add("q2", 2, "I")}), least(p1, {add("q2", 2, "I")}), q2, least(p3, {add("p2", 2, "I")}) FROM (
+    SELECT *, least(p2, {add("p3", 2, "I")}) AS q2 FROM (
+      SELECT conv, pos, {plain} FROM (
+        SELECT s.conv, j.pos, v0, v1, v2, v3, initial, fault NOT IN ('blank', 'duplicate') AS may, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS cut FROM steps s JOIN judged j ON s.conv = j.conv AND j.pos = s.pos - 1)))
+), audits AS (
+  SELECT conv, CAST(left(v0, 12) AS BIGINT) AS cost, substr(v0, 13) AS audit FROM steps WHERE pos = 1
+), letters AS (
+  SELECT conv, audit, unnest(range(1, len(audit) + 1)) AS i FROM audits
+), spelled AS (
+  SELECT conv, i, substr(audit, i, 1) AS letter, len(replace(left(audit, i), 'I', '')) AS pos, len(replace(left(audit, i), 'D', '')) - 1 - len(replace(audit, 'D', '')) % 2 AS emitted FROM letters
+), repaired AS (
+  SELECT conv, string_agg(CASE WHEN letter = 'K' THEN role WHEN emitted % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS text
+  FROM spelled LEFT JOIN judged USING (conv, pos) WHERE letter <> 'D' GROUP BY conv
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM convs LEFT JOIN counts USING (conv) LEFT JOIN audits USING (conv) LEFT JOIN repaired r USING (conv)
+"""
+
+
+SQL = _sql()

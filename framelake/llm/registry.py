@@ -25,4 +25,5 @@ SQL = {
     "op10_mixing": mixing.SQL,
     "op11_exact_dedup": exact_dedup.SQL,
     "op12_importance": importance.SQL,
+    "op13_conversation_repair": conversation.SQL,
 }
