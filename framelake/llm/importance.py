@@ -24,7 +24,8 @@ from framelake.operators.numbering import numbered
 from .common import drop, keep, read
 
 BUCKETS = 10000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEED = 7
 LEAST_WORDS = 20
 PERCENT = 25
@@ -32,22 +33,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
 def bucket(feature: Column) -> Column:
     return (F.crc32(feature.cast("binary")) % BUCKETS).cast("int")
 
 
-def buckets(word_array: Column) -> Column:
-    """The bucket of each word, then of each pair of neighbours."""
-    pairs = F.zip_with(F.slice(word_array, 1, F.greatest(F.size(word_array) - 1, F.lit(0))), F.slice(word_array, 2, F.greatest(F.size(word_array) - 1, F.lit(0))), lambda a, b: bucket(F.concat(a, F.lit(" "), b)))
-    return F.concat(F.transform(word_array, bucket), pairs)
+def buckets(words: str) -> Column:
+    """The bucket of each word of an array column, then of each pair of neighbours. Not of an expression, which would be computed at each use."""
+    but_one = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, but_one), F.slice(words, 2, but_one), lambda a, b: bucket(F.concat(a, F.lit(" "), b)))
+    return F.concat(F.transform(words, bucket), pairs)
 
 
-def bucket_counts(texts: Column | str, rows: DataFrame) -> DataFrame:
-    column = F.col(texts) if isinstance(texts, str) else texts
-    return rows.select(F.explode(buckets(words(column))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+def bucket_counts(rows: DataFrame, text_col: str) -> DataFrame:
+    split = rows.select(words(F.col(text_col)).alias("w"))
+    return split.select(F.explode(buckets("w")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 def gains(corpus: dict[int, int], target: dict[int, int]) -> list[int]:
@@ -59,14 +61,14 @@ def gains(corpus: dict[int, int], target: dict[int, int]) -> list[int]:
 
 def fit(docs: DataFrame, target: DataFrame, text_col: str = "text", target_col: str = "text") -> list[int]:
     """The gains: two results of at most BUCKETS rows each."""
-    corpus, aim = ({r.bucket: r.n for r in bucket_counts(c, t).collect()} for c, t in ((text_col, docs), (target_col, target)))
+    corpus, aim = ({r.bucket: r.n for r in bucket_counts(t, c).collect()} for c, t in ((text_col, docs), (target_col, target)))
     return gains(corpus, aim)
 
 
 def scored(docs: DataFrame, gain: list[int], id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """Columns __words, n_features, weight, score beside those of docs; one projection, nothing is shuffled."""
     table = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<bigint>")
-    rows = docs.withColumn("__w", words(F.col(text_col))).withColumn("__words", F.size("__w")).withColumn("__b", buckets(F.col("__w"))).drop("__w")
+    rows = docs.withColumn("__w", words(F.col(text_col))).withColumn("__words", F.size("__w")).withColumn("__b", buckets("__w")).drop("__w")
     total = F.aggregate("__b", F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(table, b + 1))
     rows = rows.withColumn("n_features", F.size("__b").cast("long")).withColumn("__total", total).drop("__b")
     floored = F.expr("(__total - pmod(__total, n_features)) div n_features")
