@@ -147,39 +147,52 @@ def ssim_udf(image: Column, other: Column) -> Column:
     return run(image, other)
 
 
+def linked(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, eight: bool = True) -> np.ndarray:
+    """The connected part (number of its first run) of each run of one mask. A run is the rows lo..hi-1 of column x; runs come in order of x and lo."""
+    reach = int(eight)
+    wide = int(hi.max(initial=0)) + 4
+    at = x.astype(np.int64) * wide
+    first = np.searchsorted(at + hi, at + wide + lo - reach, "right")
+    last = np.searchsorted(at + lo, at + wide + hi + reach, "left")
+    n = np.maximum(last - first, 0)
+    a = np.repeat(np.arange(len(x)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+    part = np.arange(len(x))
+    while True:
+        low = np.minimum(part[a], part[b])
+        new = part.copy()
+        np.minimum.at(new, part[a], low)
+        np.minimum.at(new, part[b], low)
+        new = new[new]
+        if (new == part).all():
+            return part
+        part = new
+
+
+def column_runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, lo, hi of the runs of a mask, column by column."""
+    step = np.diff(np.pad(on, ((1, 1), (0, 0))).astype(np.int8), axis=0).T
+    x, lo = np.nonzero(step == 1)
+    return x, lo, np.nonzero(step == -1)[1]
+
+
 def components(on: np.ndarray, eight: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Label (from 1, 0 for off) of each pixel's connected part, and the parts' sizes by label."""
-    h, w = on.shape
-    label = np.where(on, np.arange(1, h * w + 1).reshape(h, w), 0)
-    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
-    while True:
-        before = label.copy()
-        for i, j in steps:
-            a = (slice(0, h - i), slice(max(0, -j), w - max(0, j)))
-            b = (slice(i, h), slice(max(0, j), w - max(0, -j)))
-            both = on[a] & on[b]
-            low = np.minimum(label[a], label[b])
-            label[a] = np.where(both, low, label[a])
-            label[b] = np.where(both, low, label[b])
-        flat = label.ravel()
-        flat[on.ravel()] = flat[flat[on.ravel()] - 1]
-        label = flat.reshape(h, w)
-        if (label == before).all():
-            break
-    names, back = np.unique(label, return_inverse=True)
-    shift = 0 if names[0] == 0 else 1
-    label = back.reshape(h, w) + shift
-    return label, np.bincount(label.ravel(), minlength=len(names) + shift)
+    x, lo, hi = column_runs(on)
+    names, part = np.unique(linked(x, lo, hi, eight), return_inverse=True)
+    label = np.zeros((on.shape[1], on.shape[0]), np.int64)
+    label[on.T] = np.repeat(part + 1, hi - lo)
+    return label.T, np.bincount(label.ravel(), minlength=len(names) + 1)
 
 
 def _shifted(on: np.ndarray, radius: int, grow: bool) -> np.ndarray:
-    """Dilation or erosion by a disc."""
+    """Dilation or erosion by an ellipse whose rows' half widths are rounded."""
     p = np.pad(on, radius, constant_values=not grow)
     h, w = on.shape
     out = np.zeros_like(on) if grow else np.ones_like(on)
     for i in range(-radius, radius + 1):
         for j in range(-radius, radius + 1):
-            if i * i + j * j <= radius * radius:
+            if abs(j) <= round(radius * ((radius * radius - i * i) / max(1, radius * radius)) ** 0.5):
                 part = p[radius + i : radius + i + h, radius + j : radius + j + w]
                 out = out | part if grow else out & part
     return out
@@ -222,17 +235,21 @@ def mask_iom(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def boundary(on: np.ndarray) -> np.ndarray:
-    return on & ~_shifted(on, 1, False)
+    """Pixels that differ from the one to the east, south or south-east; in the last column or row only along it."""
+    out = np.zeros_like(on)
+    out[:, :-1] |= on[:, :-1] ^ on[:, 1:]
+    out[:-1] |= on[:-1] ^ on[1:]
+    out[:-1, :-1] |= on[:-1, :-1] ^ on[1:, 1:]
+    return out
 
 
 def boundary_f(a: np.ndarray, b: np.ndarray, radius: int = 1) -> float:
-    """F-measure of two masks' boundaries, near by a radius."""
+    """F-measure of two masks' boundaries, near by a square of a radius."""
     x, y = boundary(a), boundary(b)
-    if not x.any() and not y.any():
-        return 1.0
     if not x.any() or not y.any():
-        return 0.0
-    p, r = (x & _shifted(y, radius, True)).sum() / x.sum(), (y & _shifted(x, radius, True)).sum() / y.sum()
+        return float(x.any() == y.any())
+    wide = lambda m: np.lib.stride_tricks.sliding_window_view(np.pad(m, radius), (2 * radius + 1, 2 * radius + 1)).any((2, 3))
+    p, r = (y & wide(x)).sum() / y.sum(), (x & wide(y)).sum() / x.sum()
     return float(2 * p * r / (p + r)) if p + r else 0.0
 
 

@@ -15,9 +15,14 @@ WAITS = (1, 5, 15)
 
 
 def required(left: DataFrame, right: DataFrame, keys: list[str], must: str, message: str) -> DataFrame:
-    """left with right's columns; a row that finds none raises an error when it is computed."""
+    """left with right's columns; a row that finds none is an error, whatever is computed of the result."""
     out = left.join(right, keys, "left")
-    return out.withColumn(must, F.when(F.col(must).isNull(), F.raise_error(F.concat_ws(" ", F.lit(message), *[F.col(k).cast("string") for k in keys]))).otherwise(F.col(must)))
+    return _must(out, F.col(must).isNotNull(), F.concat_ws(" ", F.lit(message), *[F.col(k).cast("string") for k in keys]))
+
+
+def _must(rows: DataFrame, holds: Column, message: Column) -> DataFrame:
+    """rows; one that does not hold is an error. A filter says so, as an expression on a column goes with the column."""
+    return rows.filter(F.when(F.coalesce(holds, F.lit(False)), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def predictions_to_images(predictions: DataFrame, images: DataFrame) -> DataFrame:
@@ -67,8 +72,7 @@ def video_phrases(videos: DataFrame, pairs: DataFrame, categories: DataFrame) ->
 
     pairs: video_id, category_id, noun_phrase; a phrase that is not its category's name is an error."""
     named = pairs.join(categories.select("category_id", F.col("name").alias("text")), "category_id", "left")
-    wrong = F.raise_error(F.concat(F.lit("category name does not match: "), F.col("noun_phrase")))
-    named = named.withColumn("text", F.when(F.coalesce(F.col("text") != F.col("noun_phrase"), F.lit(True)), wrong).otherwise(F.col("text")))
+    named = _must(named, F.col("text") == F.col("noun_phrase"), F.concat_ws(" ", F.lit("category name does not match:"), "noun_phrase"))
     frames = videos.select("video_id", F.posexplode("file_names").alias("frame", "file_name"))
     return named.select("video_id", "category_id", "text").join(frames, "video_id")
 

@@ -45,10 +45,18 @@ SQL = {
     "tracks": """SELECT CAST(user_id % 10 AS INT) AS video_id, CAST(user_id AS INT) AS track_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS frame,
         CAST(user_id * 13 % 300 AS DOUBLE) + CAST(event_id % 17 AS DOUBLE) AS x, CAST(user_id * 29 % 200 AS DOUBLE) + CAST(event_id % 13 AS DOUBLE) AS y, CAST(60 + user_id % 5 * 10 AS DOUBLE) AS w, CAST(50 + user_id % 7 * 10 AS DOUBLE) AS h,
         CAST(event_id * 7 % 100 AS DOUBLE) / 100 AS score, CAST(user_id % 4 AS INT) AS category_id FROM events""",
+    "mask_runs": """SELECT mask_id, CAST(floor(CAST(mask_id AS DOUBLE) / 4) AS BIGINT) AS image_id, CAST(cx + u AS INT) AS x, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi FROM (
+        SELECT *, CASE WHEN side = 2 THEN cy - 1 WHEN side = 0 THEN cy - h ELSE cy + k + 1 END AS lo, CASE WHEN side = 2 THEN cy + 2 WHEN side = 0 AND k >= 0 THEN cy - k ELSE cy + h + 1 END AS hi FROM (
+        SELECT *, floor(ry * sqrt(1 - CAST(u * u AS DOUBLE) / (rx * rx))) AS h, CASE WHEN hx > 0 AND abs(u) <= hx THEN floor(hy * sqrt(1 - CAST(u * u AS DOUBLE) / (hx * hx))) ELSE -1 END AS k FROM (
+        SELECT *, i - rx AS u FROM (SELECT *, CASE mask_id % 3 WHEN 0 THEN CAST(floor(CAST(rx AS DOUBLE) / 2) AS BIGINT) WHEN 1 THEN 2 ELSE 0 END AS hx, CASE mask_id % 3 WHEN 0 THEN CAST(floor(CAST(ry AS DOUBLE) / 2) AS BIGINT) WHEN 1 THEN 2 ELSE 0 END AS hy FROM (
+        SELECT s_suppkey AS mask_id, 20 + s_suppkey * 37 % 100 AS rx, 20 + s_suppkey * 53 % 80 AS ry, 130 + s_suppkey * 71 % 380 AS cx, 110 + s_suppkey * 91 % 260 AS cy FROM supplier) shapes) holed, range(250) AS r(i), range(3) AS t(side)
+        WHERE i <= 2 * rx + 6) spread
+        WHERE CASE WHEN abs(u) <= rx THEN side < 2 ELSE side = 2 AND mask_id % 2 = 0 AND u >= rx + 4 END) halves) cut
+        WHERE side <> 1 OR k >= 0""",
 }
 
 #: The driver's table that an adapter reads.
-BASE = {"frames": "events", "scenes": "orders", "detections": "lineitem", "faces": "embeddings", "hashes": "documents", "tracks": "events"}
+BASE = {"mask_runs": "supplier", "frames": "events", "scenes": "orders", "detections": "lineitem", "faces": "embeddings", "hashes": "documents", "tracks": "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

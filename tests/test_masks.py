@@ -114,6 +114,9 @@ def test_missing_partners_are_errors(spark):
     assert sorted((r.image_id, r.area) for r in checked.predictions_to_images(tracks, images).collect()) == [(10, 12.0), (13, 4.0)]
     with pytest.raises(Exception, match="prediction without an image"):
         checked.predictions_to_images(tracks, images.filter("frame_index < 3")).collect()
+    for use in (lambda t: t.count(), lambda t: t.select("track_id").collect(), lambda t: t.groupBy("video_id").count().collect()):
+        with pytest.raises(Exception, match="prediction without an image"):
+            use(checked.predictions_to_images(tracks, images.filter("frame_index < 3")))
     videos = spark.createDataFrame([(1,), (2,)], "video_id int")
     mixed = spark.createDataFrame([(1, ["a"]), (1, ["b"]), (2, ["b"])], "video_id int, tags array<string>")
     assert [r.video_id for r in checked.tagged(videos, mixed.filter("video_id = 2"), "b").collect()] == [2]
@@ -125,6 +128,9 @@ def test_missing_partners_are_errors(spark):
     assert checked.video_phrases(files, pairs, names).count() == 2
     with pytest.raises(Exception, match="category name does not match"):
         checked.video_phrases(files, pairs.withColumn("noun_phrase", F.lit("dog")), names).collect()
+    for wrong in (pairs.withColumn("noun_phrase", F.lit("dog")), pairs.withColumn("category_id", F.lit(5)), pairs.withColumn("noun_phrase", F.lit(None).cast("string"))):
+        with pytest.raises(Exception, match="category name does not match"):
+            checked.video_phrases(files, wrong, names).count()
 
 
 def test_retries():
