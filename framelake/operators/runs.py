@@ -139,13 +139,13 @@ def boundary_scores(pairs: DataFrame, truth: DataFrame, found: DataFrame, radius
     return out.withColumn("f", f).drop("pair", "gt_n", "dt_n", "gt_met", "dt_met")
 
 
-def overlaps(masks: DataFrame, runs: DataFrame, least: float = 0.0, group: str = "image_id") -> DataFrame:
-    """group, a, b, iou of pairs of masks (group, mask_id) of a group that overlap by more than least.
+def overlaps(masks: DataFrame, runs: DataFrame, least: float = 0.0, group: str = "image_id", side: str | None = None) -> DataFrame:
+    """group, a, b, iou of pairs of masks (group, mask_id) of a group that overlap by more than least; with a side (column), only pairs of a lower and a higher one.
 
     Boxes and areas, a row a mask, decide which pairs could; only those bring their runs together, column by column."""
-    box = masks.select(group, "mask_id").join(measured(runs), "mask_id")
-    side = lambda n: box.select(group, *[F.col(c).alias(f"{n}_{c}") for c in ("mask_id", "area", "x1", "y1", "x2", "y2")])
-    pairs = side("a").join(side("b"), group).filter("a_mask_id < b_mask_id")
+    box = masks.select(group, "mask_id", F.col(side or "mask_id").alias("side")).join(measured(runs), "mask_id")
+    one = lambda n: box.select(group, *[F.col(c).alias(f"{n}_{c}") for c in ("mask_id", "side", "area", "x1", "y1", "x2", "y2")])
+    pairs = one("a").join(one("b"), group).filter("a_side < b_side")
     inner = lambda u, v: F.greatest(F.lit(0), F.least(f"a_{v}", f"b_{v}") - F.greatest(f"a_{u}", f"b_{u}")).cast("long")
     most = F.least(inner("x1", "x2") * inner("y1", "y2"), F.least("a_area", "b_area"))
     pairs = pairs.filter((most > 0) & (most > least * (F.col("a_area") + F.col("b_area") - most)))
