@@ -113,12 +113,46 @@ def queue_status(spark, d):
     return state.queue_status(table(spark, d, "events").select(F.col("user_id").alias("item"), status.alias("status"), F.col("event_id").alias("at")))
 
 
-@query("probation")
+def _probation_sql(sign: int, empties: bool) -> str:
+    status = "CASE WHEN track_id % 7 = 0 AND frame % 5 = 0 THEN 'empty' WHEN track_id % 7 = 0 AND frame % 3 <> 0 THEN 'unmatched' ELSE 'matched' END"
+    down = "IN ('unmatched', 'empty')" if empties else "= 'unmatched'"
+    return f"""{with_("tracks").replace("WITH ", "WITH RECURSIVE ", 1)}, r AS MATERIALIZED (SELECT video_id, {sign} * frame AS turn, track_id AS object_id, {status} AS status, track_id % 30 AS detection FROM tracks),
+f AS (SELECT video_id, object_id, min(turn) AS first FROM r GROUP BY ALL), m AS (SELECT video_id, object_id, turn, row_number() OVER (PARTITION BY video_id, object_id ORDER BY turn) AS n FROM r WHERE status = 'unmatched'),
+s AS (SELECT video_id, object_id, turn, detection, first, first_value(object_id) OVER (PARTITION BY video_id, turn, detection ORDER BY first, object_id) AS oldest FROM r JOIN f USING (video_id, object_id) WHERE status = 'matched'),
+p AS (SELECT *, row_number() OVER (PARTITION BY video_id, oldest, object_id ORDER BY turn, detection) AS n FROM s WHERE oldest <> object_id),
+g AS (SELECT video_id, object_id, min(turn) AS gone FROM (SELECT video_id, object_id, turn FROM m JOIN f USING (video_id, object_id) WHERE n = 8 AND first > turn - 15 UNION ALL SELECT video_id, object_id, turn FROM p WHERE n = 8 AND first > turn - 15) GROUP BY ALL),
+w AS MATERIALIZED (SELECT video_id, object_id, turn, CASE WHEN status = 'matched' THEN 1 WHEN status {down} THEN -1 ELSE 0 END AS up, row_number() OVER (PARTITION BY video_id, object_id ORDER BY turn) AS k FROM r),
+a AS (SELECT video_id, object_id, turn, k, up AS alive FROM w WHERE k = 1 UNION ALL SELECT w.video_id, w.object_id, w.turn, w.k, CASE WHEN up = 0 THEN alive ELSE least(8, greatest(-4, alive + up)) END FROM a JOIN w ON w.video_id = a.video_id AND w.object_id = a.object_id AND w.k = a.k + 1),
+h AS (SELECT *, lead(turn) OVER (PARTITION BY video_id, object_id ORDER BY turn) AS next FROM a), d AS (SELECT DISTINCT video_id, turn FROM r)
+SELECT video_id, CAST({sign} * d.turn AS INT) AS frame, object_id, 'suppressed' AS event, CAST(alive AS INT) AS keep_alive FROM h JOIN (SELECT video_id, object_id, turn AS since FROM m WHERE n = 1) USING (video_id, object_id) LEFT JOIN g USING (video_id, object_id) JOIN d USING (video_id)
+WHERE alive <= 0 AND d.turn >= h.turn AND (next IS NULL OR d.turn < next) AND d.turn >= since AND (gone IS NULL OR d.turn < gone)
+UNION ALL SELECT video_id, CAST({sign} * gone AS INT), object_id, 'removed', CAST(alive AS INT) FROM g JOIN h USING (video_id, object_id) WHERE gone >= turn AND (next IS NULL OR gone < next)"""
+
+
+def _statuses(spark, d):
+    t = adapted(spark, d, "tracks").select("video_id", "frame", F.col("track_id").alias("object_id"))
+    odd = F.col("object_id") % 7 == 0
+    status = F.when(odd & (F.col("frame") % 5 == 0), "empty").when(odd & (F.col("frame") % 3 != 0), "unmatched").otherwise("matched")
+    return t.withColumn("status", status).withColumn("detection", F.when(F.col("status") == "matched", F.col("object_id") % 30).cast("int"))
+
+
+@query("probation", _probation_sql(1, False))
 def probation(spark, d):
-    t = adapted(spark, d, "tracks").select("video_id", "frame", F.col("track_id").alias("object_id"), "score")
-    status = F.when((F.col("object_id") % 7 == 0) & (F.col("frame") % 3 != 0), "unmatched").otherwise("matched")
-    detection = F.when(status == "matched", F.col("object_id") % 30)
-    return state.probation_table(t.select("video_id", "frame", "object_id", status.alias("status"), detection.cast("int").alias("detection")))
+    return state.probation_table(_statuses(spark, d))
+
+
+@query("probation_reverse", _probation_sql(-1, True))
+def probation_reverse(spark, d):
+    """From the last frame to the first, empty masks counting against an object."""
+    return state.probation_table(_statuses(spark, d), reverse=True, empties=True)
+
+
+_OCCLUDED = "SELECT event_id % 60 AS frame, user_id % 40 AS a, user_id % 40 + 1 + event_id % 3 AS b, event_id % 13 - 1 AS a_last, event_id % 7 - 1 AS b_last FROM events"
+
+
+@query("occlusion_suppressed", f"WITH p AS ({_OCCLUDED}) SELECT DISTINCT frame, CASE WHEN a_last > b_last THEN a ELSE b END AS suppressed FROM p WHERE a_last > b_last AND b_last > -1 OR b_last > a_last AND a_last > -1")
+def occlusion_suppressed(spark, d):
+    return state.suppress_recent(spark.sql(_OCCLUDED.replace("FROM events", "FROM {events}"), events=table(spark, d, "events")))
 
 
 _PIX = "SELECT p_partkey, (p_partkey * 7 + r * 13 + c * 29 + r * c) % 256 AS v FROM part, range(16) a(r), range(16) b(c)"

@@ -4,60 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from framelake.functions.groups import Arrays, per_group
+
 # How long an object is on probation, and after how many frames it goes.
 DELAY, UNMATCHED, DUPLICATE = 15, 8, 8
 KEEP_ALIVE, KEEP_MIN, KEEP_MAX = 0, -4, 8
 SMOOTHING = 0.2
+#: Later than any frame.
+REMOVED = 100000
 
 STATE = "first map<int,int>, missed map<int,int>, alive map<int,int>, pairs map<string,int>, removed array<int>"
 EVENTS = "video_id int, frame int, object_id int, event string, keep_alive int"
 
 
 class Probation:
-    """Objects of one video. A frame's rows tell which objects are new, matched (and to which detection) or unmatched."""
+    """Objects of one video. A frame's rows tell which objects are new, matched (and to which detection), unmatched, or empty.
+
+    reverse: frames come from the last to the first. empties: an empty mask counts against an object as a missing match does."""
 
-    def __init__(self, state=None, delay: int = DELAY, unmatched: int = UNMATCHED, duplicate: int = DUPLICATE):
+    def __init__(self, state=None, delay: int = DELAY, unmatched: int = UNMATCHED, duplicate: int = DUPLICATE, reverse: bool = False, empties: bool = False):
         self.first, self.missed, self.alive, self.pairs, self.removed = {}, {}, {}, {}, set()
         if state is not None:
             self.first, self.missed, self.alive, self.pairs = (dict(x) for x in state[:4])
             self.removed = set(state[4])
-        self.delay, self.unmatched, self.duplicate = delay, unmatched, duplicate
+        self.delay, self.unmatched, self.duplicate, self.sign, self.empties = delay, unmatched, duplicate, -1 if reverse else 1, empties
 
     def state(self) -> tuple:
         return self.first, self.missed, self.alive, self.pairs, sorted(self.removed)
 
     def step(self, frame: int, rows: list[tuple[int, str, int | None]]) -> list[tuple[int, str, int]]:
         """Events (object, removed or suppressed, keep-alive) of a frame with rows (object, status, detection)."""
-        groups: dict[int, list[int]] = {}
-        for o, status, detection in sorted(rows, key=lambda r: (r[0], r[1])):
-            if status == "new" or o not in self.first:
-                self.first.setdefault(o, frame)
-                self.alive.setdefault(o, KEEP_ALIVE)
+        turn = self.sign * frame
+        groups: dict[int, set[int]] = {}
+        for o, status in sorted({(o, status) for o, status, _ in rows}):
+            self.first.setdefault(o, turn)
+            self.alive.setdefault(o, KEEP_ALIVE)
             if status == "matched":
                 self.alive[o] = min(KEEP_MAX, self.alive[o] + 1)
-                groups.setdefault(detection, []).append(o)
-            elif status == "unmatched":
-                self.missed[o] = self.missed.get(o, 0) + 1
+            elif status == "unmatched" or status == "empty" and self.empties:
+                self.missed[o] = self.missed.get(o, 0) + (status == "unmatched")
                 self.alive[o] = max(KEEP_MIN, self.alive[o] - 1)
-        gone, out, young = set(), [], frame - self.delay
+        for o, status, detection in rows:
+            if status == "matched":
+                groups.setdefault(detection, set()).add(o)
+        gone, out, young = set(), [], turn - self.delay
         for o, n in self.missed.items():
-            if o in self.removed:
+            if o in self.removed or n == 0:
                 continue
             if n >= self.unmatched and self.first[o] > young:
                 gone.add(o)
             elif self.alive[o] <= 0:
                 out.append((o, "suppressed", self.alive[o]))
         for objects in groups.values():
-            if len(objects) > 1:
-                oldest = min(objects, key=lambda o: (self.first[o], o))
-                for o in objects:
-                    if o != oldest:
-                        self.pairs[f"{oldest}:{o}"] = self.pairs.get(f"{oldest}:{o}", 0) + 1
+            oldest = min(objects, key=lambda o: (self.first[o], o))
+            for o in objects - {oldest}:
+                self.pairs[f"{oldest}:{o}"] = self.pairs.get(f"{oldest}:{o}", 0) + 1
         for pair, n in self.pairs.items():
             o = int(pair.split(":")[1])
             if n >= self.duplicate and o not in self.removed and self.first[o] > young:
@@ -66,32 +73,68 @@ class Probation:
         return sorted([x for x in out if x[0] not in gone] + [(o, "removed", self.alive[o]) for o in gone])
 
 
-def _rows(pdf: pd.DataFrame) -> Iterator[tuple[int, list]]:
-    for frame, g in pdf.sort_values(["frame", "object_id"]).groupby("frame"):
-        yield int(frame), [(int(o), s, None if pd.isna(x) else int(x)) for o, s, x in zip(g["object_id"], g["status"], g["detection"], strict=True)]
-
-
-def probation_stream(rows: DataFrame) -> DataFrame:
-    """Events of a stream of (video_id, frame, object_id, status, detection); a video's frames must come in order."""
+def probation_stream(rows: DataFrame, reverse: bool = False, empties: bool = False) -> DataFrame:
+    """Events of a stream of (video_id, frame, object_id, status, detection); a video's frames must come in order, or from the last to the first."""
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p = Probation(state.get if state.exists else None)
-        out = [(key[0], frame, *e) for frame, r in _rows(pd.concat(list(batches))) for e in p.step(frame, r)]
+        p, out = Probation(state.get if state.exists else None, reverse=reverse, empties=empties), []
+        pdf = pd.concat(list(batches))
+        for frame, g in sorted(pdf.groupby("frame"), reverse=reverse):
+            r = [(int(o), s, None if pd.isna(x) else int(x)) for o, s, x in zip(g["object_id"], g["status"], g["detection"], strict=True)]
+            out += [(key[0], int(frame), *e) for e in p.step(int(frame), r)]
         state.update(p.state())
         yield pd.DataFrame(out, columns=["video_id", "frame", "object_id", "event", "keep_alive"])
 
     return rows.groupBy("video_id").applyInPandasWithState(run, EVENTS, STATE, "append", "NoTimeout")
 
 
-def probation_table(rows: DataFrame) -> DataFrame:
-    """The same events for a whole table."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = Probation()
-        out = [(int(pdf["video_id"].iloc[0]), frame, *e) for frame, r in _rows(pdf) for e in p.step(frame, r)]
-        return pd.DataFrame(out, columns=["video_id", "frame", "object_id", "event", "keep_alive"])
-
-    return rows.groupBy("video_id").applyInPandas(run, EVENTS)
+def keep_alive(steps: DataFrame) -> DataFrame:
+    """Of steps (video_id, object_id, turn, rank, up) the count after each frame: up or down by one a step, within its limits. A group is one object's steps."""
+
+    def run(a: Arrays) -> Arrays:
+        n, out = KEEP_ALIVE, []
+        for up in a["up"].tolist():
+            n = min(KEEP_MAX, max(KEEP_MIN, n + up)) if up else n
+            out.append(n)
+        last = np.append(a["turn"][1:] != a["turn"][:-1], True)
+        return {c: a[c][last] for c in ("video_id", "object_id", "turn")} | {"alive": np.array(out)[last]}
+
+    return per_group(steps, ["video_id", "object_id"], ["turn", "rank"], "video_id int, object_id int, turn int, alive int", run)
+
+
+def probation_table(rows: DataFrame, reverse: bool = False, empties: bool = False, delay: int = DELAY, unmatched: int = UNMATCHED, duplicate: int = DUPLICATE) -> DataFrame:
+    """The same events for a whole table, as windows and joins: a task holds an object's steps, not a video.
+
+    An object goes at the frame of its unmatched-th miss, or of its duplicate-th shared detection with one older object, if it
+    is young then; it is suppressed at every frame after its first miss where its count is down to nothing, until it goes."""
+    rows = rows.withColumn("turn", F.col("frame") * (-1 if reverse else 1))
+    states = rows.select("video_id", "object_id", "turn", "status").distinct()
+    first = states.groupBy("video_id", "object_id").agg(F.min("turn").alias("first"))
+    counts = Window.partitionBy("video_id", "object_id", "status").orderBy("turn")
+    missed = states.filter("status = 'unmatched'").withColumn("n", F.row_number().over(counts))
+    young = F.col("turn") - delay < F.col("first")
+    gone = missed.filter(F.col("n") == unmatched).join(first, ["video_id", "object_id"]).filter(young)
+    shared = rows.filter("status = 'matched'").select("video_id", "turn", "detection", "object_id").distinct().join(first, ["video_id", "object_id"])
+    of = Window.partitionBy("video_id", "turn", "detection")
+    shared = shared.withColumn("oldest", F.min(F.struct("first", "object_id")).over(of)["object_id"]).filter("oldest <> object_id")
+    pair = Window.partitionBy("video_id", "oldest", "object_id").orderBy("turn", "detection")
+    copies = shared.withColumn("n", F.row_number().over(pair)).groupBy("video_id", "turn", "oldest", "object_id", "first").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    copies = copies.filter((F.col("low") <= duplicate) & (F.col("high") >= duplicate) & young)
+    gone = gone.select("video_id", "object_id", "turn").unionByName(copies.select("video_id", "object_id", "turn")).groupBy("video_id", "object_id").agg(F.min("turn").alias("gone"))
+    down = F.col("status").isin("unmatched", "empty") if empties else F.col("status") == "unmatched"
+    steps = states.select("video_id", "object_id", "turn", F.when(F.col("status") == "matched", 1).when(down, -1).otherwise(0).alias("up"), F.col("status").alias("rank"))
+    frames = rows.select("video_id", "turn").distinct()
+    last = frames.groupBy("video_id").agg(F.max("turn").alias("last"))
+    # A count holds until the next frame with a step.
+    spans = keep_alive(steps).withColumn("next", F.lead("turn").over(Window.partitionBy("video_id", "object_id").orderBy("turn")))
+    since = missed.filter("n = 1").select("video_id", "object_id", F.col("turn").alias("since"))
+    held = spans.join(since, ["video_id", "object_id"]).join(last, "video_id").join(gone, ["video_id", "object_id"], "left")
+    low, high = F.greatest("turn", "since"), F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.coalesce(F.col("gone") - 1, F.col("last")))
+    idle = held.filter((F.col("alive") <= 0) & (low <= high)).select("video_id", "object_id", "alive", F.explode(F.sequence(low, high)).alias("turn"))
+    idle = idle.join(frames, ["video_id", "turn"], "left_semi").select("video_id", "turn", "object_id", F.lit("suppressed").alias("event"), "alive")
+    ended = gone.join(spans, ["video_id", "object_id"]).filter("gone >= turn and (next is null or gone < next)")
+    out = idle.unionByName(ended.select("video_id", F.col("gone").alias("turn"), "object_id", F.lit("removed").alias("event"), "alive"))
+    return out.select("video_id", (F.col("turn") * (-1 if reverse else 1)).alias("frame"), "object_id", "event", F.col("alive").alias("keep_alive"))
 
 
 def last_occluded(rows: DataFrame, keys: list[str], frame: str = "frame", occluded: str = "occluded") -> DataFrame:
@@ -100,9 +143,15 @@ def last_occluded(rows: DataFrame, keys: list[str], frame: str = "frame", occlud
     return rows.withColumn("last_occluded", F.coalesce(F.last(F.when(F.col(occluded), F.col(frame)), ignorenulls=True).over(w), F.lit(-1)))
 
 
-def suppress_recent(pairs: DataFrame) -> DataFrame:
-    """Of overlapping pairs (a, b with their last_occluded) the objects to suppress: the one occluded later, none if equal."""
-    later = F.when(F.col("a_last") > F.col("b_last"), F.col("a")).when(F.col("b_last") > F.col("a_last"), F.col("b"))
+def suppress_recent(pairs: DataFrame, reverse: bool = False) -> DataFrame:
+    """frame, suppressed: of overlapping pairs (frame, a, b and their last frames of occlusion, -1 for never) the objects to suppress.
+
+    It is the one that was occluded later (in reverse order earlier), if the other was ever occluded; none if equal. An object
+    that was removed counts as occluded at REMOVED."""
+    a, b = F.col("a_last"), F.col("b_last")
+    first = (a < b) if reverse else (a > b)
+    second = (b < a) if reverse else (b > a)
+    later = F.when(first & (b > -1), F.col("a")).when(second & (a > -1), F.col("b"))
     return pairs.withColumn("suppressed", later).filter("suppressed is not null").select("frame", "suppressed").distinct()
 
 

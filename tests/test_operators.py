@@ -212,17 +212,34 @@ def test_readers(spark, tmp_path):
     assert rows.count() == 1 and ignored.count() == 1
 
 
-def test_probation_as_stream_and_table(spark, tmp_path):
+@pytest.mark.parametrize("reverse, empties", [(False, False), (True, True)])
+def test_probation_as_stream_and_table(spark, tmp_path, reverse, empties):
+    """As a stream, as a table, and by one pass over each video, forwards and backwards; ids can share a frame and its detection twice."""
     rnd = random.Random(6)
-    rows = [(v, f, o, rnd.choice(["matched", "matched", "unmatched"]), rnd.randrange(4)) for v in range(3) for f in range(30) for o in range(6)]
+    rows = [(v, f, o, rnd.choice(["matched", "matched", "unmatched", "empty", "new"]), rnd.randrange(3)) for v in range(3) for f in range(30) for o in range(7) if rnd.random() < 0.9]
+    rows += [(0, f, o, "matched", 9) for f in range(30) for o in (5, 6)]
+    rows = [(*r[:4], r[4] if r[3] == "matched" else None) for r in rows]
     schema = "video_id int, frame int, object_id int, status string, detection int"
-    for k in range(3):
+    for k in (2, 1, 0) if reverse else (0, 1, 2):
         spark.createDataFrame([r for r in rows if r[1] // 10 == k], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = state.probation_stream(stream).writeStream.format("memory").queryName("probation").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    name = f"probation_{reverse}"
+    q = state.probation_stream(stream, reverse, empties).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    got = sorted(map(tuple, spark.table("probation").collect()))
-    assert got and got == sorted(map(tuple, state.probation_table(spark.createDataFrame(rows, schema)).collect()))
+    want = []
+    for v in range(3):
+        p = state.Probation(reverse=reverse, empties=empties)
+        for f in sorted(range(30), reverse=reverse):
+            want += [(v, f, *e) for e in p.step(f, [(r[2], r[3], r[4]) for r in rows if r[:2] == (v, f)])]
+    assert {e[3] for e in want} == {"removed", "suppressed"}
+    assert sorted(map(tuple, spark.table(name).collect())) == sorted(want)
+    assert sorted(map(tuple, state.probation_table(spark.createDataFrame(rows, schema), reverse, empties).collect())) == sorted(want)
+
+
+def test_recent_occlusion_suppresses(spark):
+    pairs = spark.createDataFrame([(0, 1, 2, 5, 3), (1, 1, 2, 5, -1), (2, 1, 2, 3, 5), (3, 1, 2, 4, 4), (4, 1, 2, -1, 7), (5, 1, 2, state.REMOVED, 0)], "frame int, a int, b int, a_last int, b_last int")
+    assert sorted(map(tuple, state.suppress_recent(pairs).collect())) == [(0, 1), (2, 2), (5, 1)]
+    assert sorted(map(tuple, state.suppress_recent(pairs, reverse=True).collect())) == [(0, 2), (2, 1), (5, 2)]
 
 
 def test_windows_over_a_stream(spark, tmp_path):
