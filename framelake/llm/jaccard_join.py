@@ -254,10 +254,10 @@ class Join:
         small_batches(spark)
         classes = spark.sparkContext.broadcast(frequent(spark, self.docs, self.width))
         rows = keep(spark, self.docs.mapInArrow(_summaries(self.width, percent, classes), "doc_id long, n long, d1 long, d2 long, bands array<long>, firsts array<long>, rare int, cells binary"))
-        light = keep(spark, rows.select("doc_id", "n", "d1", "d2"))
+        light = keep(spark, rows.select("doc_id", "n", "d1", "d2"), narrow=True)
         named = lambda t: t.filter("n > 0 and doc_id is not null")
         # Equal sets are one member.
-        sets = keep(spark, named(rows).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("bands", "firsts", "rare", "cells")]))
+        sets = keep(spark, named(rows).groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("bands", "firsts", "rare", "cells")]), narrow=True)
         drop(spark, rows)
         equal = named(light).join(sets.select("id", "n", "d1", "d2"), ["n", "d1", "d2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
         # Leaders.
@@ -271,12 +271,12 @@ class Join:
         members = sets.select("id", "n", "firsts", "rare").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
         regions, pairs, level = None, [], 1
         while True:
-            regions, old = keep(spark, self.regions(members, regions, level)), regions
+            regions, old = keep(spark, self.regions(members, regions, level), narrow=True), regions
             if old is not None:
                 drop(spark, old)
             large = regions.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > self.split).select("region")
             some = level < depth(percent) and large.limit(1).count() > 0
-            small, rest = (regions.join(large, "region", "left_anti"), keep(spark, regions.join(large, "region", "left_semi"))) if some else (regions, None)
+            small, rest = (regions.join(large, "region", "left_anti"), keep(spark, regions.join(large, "region", "left_semi"), narrow=True)) if some else (regions, None)
             pairs.append(keep(spark, self.pairs(small, level), narrow=True))
             release(spark)
             if not some:
