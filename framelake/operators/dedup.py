@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import pixels
 from framelake.operators.graph import connected
+from framelake.operators.neighbours import scores
 from framelake.operators.numbering import numbered
 
 
@@ -104,16 +105,11 @@ def adjacent(frames: DataFrame, similar: Column, name: str = "filename", quality
     return t.withColumn("kept", ~F.coalesce(lost, F.lit(False))).drop("like", "q", "before", "after", "like_after")
 
 
-def with_previous(frames: DataFrame, columns: list[str], name: str = "filename") -> DataFrame:
-    """frames with previous_<column> of the frame before, by name."""
-    t = numbered(frames, [name], "__n")
-    return t.join(t.select((F.col("__n") + 1).alias("__n"), *[F.col(c).alias(f"previous_{c}") for c in columns]), "__n", "left").drop("__n")
-
-
 def adjacent_ssim(frames: DataFrame, least: float = 0.95, image: str = "image", name: str = "filename", quality: str = "quality") -> DataFrame:
-    """frames with kept, alike where two neighbours' pictures have a structural similarity of `least`."""
-    t = with_previous(frames, [image], name).withColumn("__ssim", pixels.ssim_udf(F.col(image), F.col(f"previous_{image}")))
-    return adjacent(t, F.col("__ssim") >= least, name, quality).drop("__ssim", f"previous_{image}")
+    """frames with kept, alike where two neighbours' pictures have a structural similarity of `least`. Pictures are moved once, then only their scores."""
+    near = scores(frames, [name], pixels.likeness, image).withColumnRenamed("score", "__ssim")
+    kept = adjacent(frames.select(name, quality).join(near, name), F.col("__ssim") >= least, name, quality)
+    return frames.join(kept.select(name, "kept"), name)
 
 
 #: What finds duplicates, by the names of the choices.

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions.pixels import content_change
+from framelake.operators import neighbours
+
 VIEWS = {"All": ("included", "excluded", "pending"), "Kept": ("included",), "Rejected": ("excluded",)}
 
 
@@ -69,6 +72,23 @@ def shots_from_scores(frames: DataFrame, score: str, order: str, video: str, thr
     return frames.withColumn("cut", cut).withColumn("shot_id", F.sum("cut").over(w).cast("int")).drop("cut")
 
 
+def content_scores(frames: DataFrame, order: str, video: str, image: str = "image") -> DataFrame:
+    """video, order, content: how far the colours of each frame are from those of the frame before, from 0 to 255; 0 for the first."""
+    return neighbours.scores(frames, [order], content_change, image, video).select(video, order, F.coalesce("score", F.lit(0.0)).alias("content"))
+
+
+def cuts(contents: DataFrame, order: str, video: str, threshold: float = 27.0, least: int = 15) -> DataFrame:
+    """video, start, end (one beyond the last frame) of the shots of each video.
+
+    A frame whose content score reaches the threshold opens a shot, unless the shot before would have fewer than `least`
+    frames. Only the frames over the threshold are gathered, a list a video."""
+    over = F.array_sort(F.collect_list(F.when(F.col("content") >= threshold, F.col(order).cast("long"))))
+    t = contents.groupBy(video).agg(F.min(order).cast("long").alias("first"), (F.max(order) + 1).cast("long").alias("end"), over.alias("over"))
+    opened = F.aggregate("over", F.array("first"), lambda acc, n: F.when(n - F.element_at(acc, -1) >= least, F.concat(acc, F.array(n))).otherwise(acc))
+    t = t.withColumn("opened", opened)
+    return t.select(video, F.posexplode("opened").alias("shot_id", "start"), "opened", F.col("end").alias("last")).select(video, "shot_id", "start", F.coalesce(F.get("opened", F.col("shot_id") + 1), F.col("last")).alias("end"))
+
+
 def best_frames(frames: DataFrame, every: int = 1, count: int = 3) -> DataFrame:
     """Of each scene the best frame and up to `count` seeds by score, each a gap of max(1, frames // 8) apart.
 

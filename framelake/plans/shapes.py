@@ -1,4 +1,4 @@
-"""Queries of masks as runs: ellipses in frames of 640 by 480, some with holes or a speck. Their SQL counts pixels."""
+"""Queries of masks as runs: ellipses in frames of 640 by 480, some with holes or a speck; and of scenes in drawn frames. Their SQL counts pixels."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from framelake.functions import mask_text
 from framelake.operators import contours as C
 from framelake.operators import runs as R
+from framelake.operators import scenes
 from framelake.operators.seeds import aspect_ratios
 from framelake.plans.adapters import adapted, table, with_
 from framelake.plans.registry import near, near_sql, query
@@ -169,3 +170,40 @@ def crop_apply(spark, d):
         return pd.Series([int(np.frombuffer(x, np.uint8).sum(dtype=np.int64)) for x in data])
 
     return t.select("mask_id", "ratio", "crop.width", "crop.height", total("crop.data").alias("total"))
+
+
+_FILM = f"""WITH RECURSIVE q AS (SELECT p_partkey % 3 AS video, CAST(floor(p_partkey / 3.0) AS BIGINT) AS n, (CAST(floor(p_partkey / 3.0) AS BIGINT) // 6 * 83 + r * 3 + c * 5) % 256 AS b, (CAST(floor(p_partkey / 3.0) AS BIGINT) // 6 * 29 + r * 7 + c) % 256 AS g, (p_partkey + r + c * 2) % 256 AS d FROM part, range(6) s(r), range(8) t(c)),
+m AS (SELECT *, greatest(b, g, d) AS v, greatest(b, g, d) - least(b, g, d) AS w FROM q), h AS (SELECT video, n, v, (w * CAST(round(1044480.0 / greatest(v, 1)) AS BIGINT) + 2048) >> 12 AS s, CASE WHEN v = d THEN g - b WHEN v = g THEN b - d + 2 * w ELSE d - g + 4 * w END * CAST(round(122880.0 / greatest(w, 1)) AS BIGINT) + 2048 AS hue, row_number() OVER (PARTITION BY video, n ORDER BY 0) AS i FROM m),
+k AS (SELECT video, n, i, v, s, CAST(floor(hue / 4096.0) AS BIGINT) + CASE WHEN hue < 0 THEN 180 ELSE 0 END AS hue FROM h)"""
+
+
+def _film(spark, d):
+    """Frames of three videos, 8 by 6 pixels in colour; the colours jump every six frames."""
+
+    @F.pandas_udf("binary")
+    def draw(key: pd.Series) -> pd.Series:
+        r, c = np.mgrid[0:6, 0:8]
+        out = []
+        for p in key.tolist():
+            shot = p // 3 // 6
+            out.append(np.stack([shot * 83 + r * 3 + c * 5, shot * 29 + r * 7 + c, p + r + c * 2], 2).__mod__(256).astype(np.uint8).tobytes())
+        return pd.Series(out)
+
+    pic = F.struct(F.lit(6).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), draw("p_partkey").alias("data"))
+    return table(spark, d, "part").select((F.col("p_partkey") % 3).alias("video"), F.floor(F.col("p_partkey") / 3).alias("n"), pic.alias("image"))
+
+
+_CONTENT = _FILM.replace("row_number() OVER (PARTITION BY video, n ORDER BY 0) AS i", "i").replace("AS b, (CAST", "AS b, r * 8 + c AS i, (CAST", 1) + """, z AS (SELECT a.video, a.n, (avg(abs(a.hue - b.hue)) + avg(abs(a.s - b.s)) + avg(abs(a.v - b.v))) / 3 AS content FROM k a JOIN k b ON a.video = b.video AND b.n = a.n - 1 AND a.i = b.i GROUP BY ALL),
+y AS MATERIALIZED (SELECT DISTINCT q.video, q.n, coalesce(content, 0.0) AS content FROM q LEFT JOIN z USING (video, n))"""
+
+
+@query("content_scores", f"{_CONTENT} SELECT video, n, {near_sql('content')} AS content FROM y")
+def content_scores(spark, d):
+    return scenes.content_scores(_film(spark, d), "n", "video").withColumn("content", near(F.col("content")))
+
+
+@query("shots_from_pixels", f"""{_CONTENT}, e AS (SELECT video, min(n) AS first, max(n) + 1 AS last FROM y GROUP BY 1), o AS (SELECT video, 0 AS shot_id, first AS start FROM e UNION ALL
+SELECT o.video, o.shot_id + 1, (SELECT min(y.n) FROM y WHERE y.video = o.video AND content >= 20 AND y.n >= o.start + 10) FROM o WHERE EXISTS (SELECT 1 FROM y WHERE y.video = o.video AND content >= 20 AND y.n >= o.start + 10))
+SELECT video, shot_id, start, coalesce(lead(start) OVER (PARTITION BY video ORDER BY shot_id), last) AS "end" FROM o JOIN e USING (video)""")
+def shots_from_pixels(spark, d):
+    return scenes.cuts(scenes.content_scores(_film(spark, d), "n", "video"), "n", "video", 20.0, 10)
