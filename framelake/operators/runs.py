@@ -80,6 +80,23 @@ def clipped(runs: DataFrame, width: int, height: int) -> DataFrame:
     return runs.filter((F.col("x") >= 0) & (F.col("x") < width) & (F.col("lo") < F.col("hi")))
 
 
+def flipped(runs: DataFrame, width: int, height: int, across: bool = True) -> DataFrame:
+    """Runs mirrored in their frame: left and right change places, or else top and bottom."""
+    if across:
+        return runs.withColumn("x", F.lit(width - 1) - F.col("x"))
+    return runs.withColumns({"lo": F.lit(height) - F.col("hi"), "hi": F.lit(height) - F.col("lo")})
+
+
+def cropped(runs: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
+    """What a part of the frame has of the runs, in the part's own columns and rows. A part may reach beyond the frame, which pads it."""
+    return clipped(shifted(runs, -x, -y), width, height)
+
+
+def semantic(runs: DataFrame, group: DataFrame, key: str = "mask_id", by: str = "category_id") -> DataFrame:
+    """Runs (by, x, lo, hi) of all masks of a group (key, by) together."""
+    return swept([runs.join(group.select(key, by), key)], lambda on, x: on[0], by)
+
+
 def _grown(runs: DataFrame, element: Element) -> DataFrame:
     offsets = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(h).alias("h")) for x, h in element.items()])
     t = runs.withColumn("__o", F.explode(offsets))
