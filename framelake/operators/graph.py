@@ -45,8 +45,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([int(ids.min())]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["at", "ids", "x"])
 
 
-def similar(vectors: DataFrame, least: float, id_col: str, vector_col: str) -> DataFrame:
-    """Pairs a < b of vectors with a cosine of at least `least`, block by block.
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (i, j) between n nodes to keep, so that what they connect stays connected: at most n - 1."""
+    label, kept = np.arange(n), np.zeros(len(i), bool)
+    while True:
+        a, b = label[i], label[j]
+        open_ = np.flatnonzero(a != b)
+        if not len(open_):
+            return kept
+        # Each part takes its link to the least other part; a link between two parts joins them.
+        high, low = np.maximum(a[open_], b[open_]), np.minimum(a[open_], b[open_])
+        order = np.lexsort((low, high))
+        first = order[np.concatenate([[True], np.diff(high[order]) != 0])]
+        kept[open_[first]] = True
+        label_of = np.arange(n)
+        label_of[high[first]] = low[first]
+        while not (label_of[label_of] == label_of).all():
+            label_of = label_of[label_of]
+        label = label_of[label]
+
+
+def similar(vectors: DataFrame, least: float, id_col: str, vector_col: str, forest: bool = False) -> DataFrame:
+    """Pairs a < b of vectors with a cosine of at least `least`, block by block; of a pair of blocks, with `forest`, only so many
+    as keep connected what is (fewer than it has vectors).
 
     A row of the block table holds thousands of vectors, so pairs of blocks, not of vectors, are what is shuffled."""
     spark = vectors.sparkSession
@@ -63,6 +84,9 @@ def similar(vectors: DataFrame, least: float, id_col: str, vector_col: str) -> D
                 cos = np.frombuffer(r["x"]).reshape(len(a), -1) @ np.frombuffer(r["x2"]).reshape(len(b), -1).T
                 i, j = np.nonzero(cos >= least)
                 on = a[i] < b[j] if r["at"] == r["at2"] else a[i] != b[j]
+                if forest:
+                    names, ends = np.unique(np.concatenate([a[i[on]], b[j[on]]]), return_inverse=True)
+                    on = np.flatnonzero(on)[_forest(ends[: len(ends) // 2], ends[len(ends) // 2 :], len(names))]
                 low, high = np.minimum(a[i[on]], b[j[on]]), np.maximum(a[i[on]], b[j[on]])
                 yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(cos[i[on], j[on]])], names=["a", "b", "cosine"])
 
@@ -78,8 +102,15 @@ def face_clusters(faces: DataFrame, confidence: float, id_col: str = "face_id",
     """face_id, cluster: density clustering with a least size of 2 and eps = 1 - confidence.
 
     Every face with a partner is a core point, so clusters are connected components, numbered by their smallest
-    face; faces without one are -1."""
-    parts = connected(similar(faces, confidence, id_col, vector_col))
+    face; faces without one are -1. Equal vectors meet the others once, as the first of them; blocks still meet all blocks."""
+    same = faces.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).dropna()
+    leaders = keep(same.groupBy("v").agg(F.min("id").alias("leader"), F.count("*").alias("m")))
+    some = leaders.select(F.col("leader").alias(id_col), F.col("v").alias(vector_col))
+    # A vector without a direction is near nothing, not even its equal.
+    many = leaders.filter(F.col("m") > 1).filter(F.exists("v", lambda x: x != 0)).select("v", "leader")
+    equal = same.join(many, "v").filter("id <> leader")
+    links = similar(some, confidence, id_col, vector_col, forest=True).select("a", "b").unionByName(equal.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    parts = connected(links)
     roots = numbered(parts.select("component").distinct(), ["component"], "cluster", 0).withColumn("cluster", F.col("cluster").cast("int"))
     named = parts.join(roots, "component").select(F.col("node").alias("id"), "cluster")
     return faces.select(F.col(id_col).alias("id")).join(named, "id", "left").select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators.numbering import numbered
+
 #: Frames that one bucket of the range join spans.
 SPAN = 256
 
@@ -49,10 +51,12 @@ def checkpoint_ids(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def frame_map(frames: DataFrame, suffix: str = ".png", video: str | None = None) -> DataFrame:
-    """frame_num, position (from 1) and file name of the sorted distinct frame numbers."""
-    keys = [video] if video else []
-    w = Window.partitionBy(*keys).orderBy("frame_num")
-    return frames.select(*keys, "frame_num").distinct().withColumn("position", F.row_number().over(w)).withColumn("filename", F.format_string(f"frame_%06d{suffix}", "position"))
+    """frame_num, position (from 1) and file name of the sorted distinct frame numbers, of each video or of all frames."""
+    if video:
+        t = frames.select(video, "frame_num").distinct().withColumn("position", F.row_number().over(Window.partitionBy(video).orderBy("frame_num")))
+    else:
+        t = numbered(frames.select("frame_num").distinct(), ["frame_num"], "position")
+    return t.withColumn("filename", F.format_string(f"frame_%06d{suffix}", "position"))
 
 
 def export_files(kept: DataFrame, source_map: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,11 +76,11 @@ def select_expression(frames: DataFrame) -> DataFrame:
     return frames.agg(F.array_join(F.transform(F.array_sort(F.collect_set("frame_num")), lambda n: F.format_string("eq(n\\,%d)", n)), "+").alias("expression"))
 
 
-def nearest_conditioning(frames: DataFrame, most: int = 4, key: str = "video_id", time: str = "frame", marked: str = "conditioning") -> DataFrame:
+def nearest_conditioning(frames: DataFrame, most: int = 4, key: str = "video_id", time: str = "frame", marked: str = "conditioning", keep_first: bool = False) -> DataFrame:
     """For each frame that conditions nothing the conditioning frames to use, a row each, ranked from 1.
 
     First the closest one before, then the closest at or after, then the others by distance in time, the earlier
-    first, up to `most`."""
+    first, up to `most`. keep_first: before all of these the first of those before it, or, where there is none, the last of those after it."""
     # Each frame's number of conditioning frames before it; those to use are among the `most` on either side of that.
     each = frames.groupBy(key, time).agg(F.max(marked).alias("c"), F.max(~F.col(marked)).alias("todo"))
     earlier = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
@@ -84,6 +88,13 @@ def nearest_conditioning(frames: DataFrame, most: int = 4, key: str = "video_id"
     cond = each.filter("c").select(key, (F.col("n") + 1).alias("number"), F.col(time).alias("cond"))
     near = F.sequence(F.col("n") - (most - 1), F.col("n") + most)
     pairs = each.filter("todo").select(key, time, "n", F.explode(near).alias("number")).join(cond, [key, "number"])
-    first = F.when(F.col("number") == F.col("n"), 0).when(F.col("number") == F.col("n") + 1, 1).otherwise(2)
+    if keep_first:
+        ends = cond.groupBy(key).agg(F.min("number").alias("one"), F.max("number").alias("all"))
+        far = each.filter("todo").select(key, time, "n").join(ends, key).withColumn("number", F.when(F.col("n") > 0, F.col("one")).otherwise(F.col("all")))
+        pairs = pairs.unionByName(far.select(key, time, "n", "number").join(cond, [key, "number"])).distinct()
+        pairs = pairs.join(ends, key).withColumn("kept", F.col("number") == F.when(F.col("n") > 0, F.col("one")).otherwise(F.col("all")))
+    else:
+        pairs = pairs.withColumn("kept", F.lit(False))
+    first = F.when(F.col("kept"), -1).when(F.col("number") == F.col("n"), 0).when(F.col("number") == F.col("n") + 1, 1).otherwise(2)
     order = Window.partitionBy(key, time).orderBy(first, F.abs(F.col("cond") - F.col(time)), "cond")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(key, time, "cond", "rank")

@@ -37,18 +37,35 @@ def greedy_pairs(rows: DataFrame, near: DataFrame, group: str, item: str, score:
     return rows.join(kept, [group, item])
 
 
+def _reach(rows: DataFrame, names: list[str], mask: str) -> DataFrame:
+    """names, n, low, high: a mask's area and its first and last word with a pixel that is on; no row for an empty mask."""
+    at = F.filter(F.transform(mask, lambda w, i: F.when(w != 0, i)), lambda i: i.isNotNull())
+    return rows.select(*names, M.area(F.col(mask)).alias("n"), F.array_min(at).alias("low"), F.array_max(at).alias("high")).filter("n > 0")
+
+
+def could_overlap(a: DataFrame, b: DataFrame, group: str, i: str, j: str, least: float) -> DataFrame:
+    """Pairs (group, i, j) of two sides' masks (as of _reach) whose areas and words leave room for an overlap over `least`; no mask is moved."""
+    x, y = (t.select(group, k, *[F.col(c).alias(f"{s}_{c}") for c in ("n", "low", "high")]) for t, k, s in ((a, i, "a"), (b, j, "b")))
+    words = F.least("a_high", "b_high") - F.greatest("a_low", "b_low") + 1
+    most = F.least(F.col("a_n"), F.col("b_n"), 64 * words.cast("long"))
+    return x.join(y, group).filter((words > 0) & (most > least * (F.col("a_n") + F.col("b_n") - most))).select(group, i, j)
+
+
 def suppress(rows: DataFrame, least_score: float, threshold: float, group: str = "image_id", item: str = "idx", score: str = "conf", mask: str = "mask") -> DataFrame:
     """Masks over a score with kept: one goes if it overlaps a kept one by more than the threshold."""
     some = rows.filter(F.col(score) > least_score)
     a, b = some.select(group, F.col(item).alias("a"), F.col(mask).alias("ma")), some.select(group, F.col(item).alias("b"), F.col(mask).alias("mb"))
-    near = a.join(b, group).filter((F.col("a") < F.col("b")) & (M.iou(F.col("ma"), F.col("mb")) > threshold)).select(group, "a", "b")
+    pairs = could_overlap(_reach(a, [group, "a"], "ma"), _reach(b, [group, "b"], "mb"), group, "a", "b", threshold).filter("a < b")
+    near = pairs.join(a, [group, "a"]).join(b, [group, "b"]).filter(M.iou(F.col("ma"), F.col("mb")) > threshold).select(group, "a", "b")
     return greedy_pairs(some, near, group, item, score)
 
 
 def overlaps(dets: DataFrame, tracks: DataFrame, key: str = "image_id") -> DataFrame:
-    """key, idx, conf, track_id, iou: every detection with every track of its image."""
-    d, t = dets.select(key, "idx", "conf", F.col("mask").alias("md")), tracks.select(key, "track_id", F.col("mask").alias("mt"))
-    return d.join(t, key).select(key, "idx", "conf", "track_id", M.iou(F.col("md"), F.col("mt")).alias("iou"))
+    """key, idx, conf, track_id, iou: every detection with every track of its image; masks meet only where they could overlap."""
+    d, t = dets.select(key, "idx", F.col("mask").alias("md")), tracks.select(key, "track_id", F.col("mask").alias("mt"))
+    pairs = could_overlap(_reach(d, [key, "idx"], "md"), _reach(t, [key, "track_id"], "mt"), key, "idx", "track_id", 0.0)
+    met = pairs.join(d, [key, "idx"]).join(t, [key, "track_id"]).select(key, "idx", "track_id", M.iou(F.col("md"), F.col("mt")).alias("iou"))
+    return dets.select(key, "idx", "conf").join(tracks.select(key, "track_id"), key).join(met, [key, "idx", "track_id"], "left").fillna({"iou": 0.0})
 
 
 def new_detections(dets: DataFrame, tracks: DataFrame, key: str = "image_id", match: float = MATCH, new: float = NEW) -> DataFrame:

@@ -252,16 +252,16 @@ def face_prominence(spark, d):
     return _faces(spark, d).select("image_id", F.round(B.prominence(B.box("f"), W, H), 6).alias("prominence"))
 
 
-_CROP = f"""{_D}, s AS (SELECT image_id, 640::DOUBLE AS fw, 480::DOUBLE AS fh, x1 AS x, y1 AS y, least(x2, 640.0) - x1 AS w, least(y2, 480.0) - y1 AS h FROM detections WHERE idx = 1),
+_CROP = f"""{_D}, s AS (SELECT image_id, 640::DOUBLE AS fw, 480::DOUBLE AS fh, x1 AS x, y1 AS y, least(x2, 640.0) - x1 AS w, least(y2, 480.0) - y1 AS h, idx FROM detections),
 r AS (SELECT * FROM (VALUES ('16:9', 16::DOUBLE / 9, 0), ('1:1', 1::DOUBLE, 1), ('9:16', 9::DOUBLE / 16, 2)) t(ratio, r, i)),
 g AS (SELECT *, least(greatest(least(greatest(w, h * r) * 1.2::DOUBLE, least(fw, fh * r)), greatest(w, h * r)), least(fw, fh * r)) AS gw, least(greatest(least(greatest(h, w / r) * 1.2::DOUBLE, least(fh, fw / r)), greatest(h, w / r)), least(fh, fw / r)) AS gh FROM s, r WHERE w > 0 AND h > 0),
 p AS (SELECT *, greatest(0.0, least(x + w / 2 - gw / 2, fw - gw)) AS cx, greatest(0.0, least(y + h / 2 - gh / 2, fh - gh)) AS cy FROM g),
-k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gw * gh, abs(trunc(gw) / trunc(gh) - w / h), i) AS k FROM p WHERE cx <= x AND cy <= y AND cx + gw >= x + w AND cy + gh >= y + h)
-SELECT image_id, 640 AS frame_w, 480 AS frame_h, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h, ratio, CAST(trunc(cx) AS INT) AS crop_x, CAST(trunc(cy) AS INT) AS crop_y, CAST(trunc(gw) AS INT) AS crop_w, CAST(trunc(gh) AS INT) AS crop_h FROM k WHERE k = 1"""
+k AS (SELECT *, row_number() OVER (PARTITION BY image_id, idx ORDER BY gw * gh, abs(trunc(gw) / trunc(gh) - w / h), i) AS k FROM p WHERE cx <= x AND cy <= y AND cx + gw >= x + w AND cy + gh >= y + h)
+SELECT image_id, idx, 640 AS frame_w, 480 AS frame_h, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h, ratio, CAST(trunc(cx) AS INT) AS crop_x, CAST(trunc(cy) AS INT) AS crop_y, CAST(trunc(gw) AS INT) AS crop_w, CAST(trunc(gh) AS INT) AS crop_h FROM k WHERE k = 1"""
 
 
 @query("crop_plan", _CROP)
 def crop_plan(spark, d):
-    t = adapted(spark, d, "detections").filter("idx = 1")
-    s = t.select("image_id", F.lit(640).alias("frame_w"), F.lit(480).alias("frame_h"), F.col("x1").cast("int").alias("x"), F.col("y1").cast("int").alias("y"), (F.least("x2", F.lit(W)) - F.col("x1")).cast("int").alias("w"), (F.least("y2", F.lit(H)) - F.col("y1")).cast("int").alias("h"))
+    t = adapted(spark, d, "detections")
+    s = t.select("image_id", "idx", F.lit(640).alias("frame_w"), F.lit(480).alias("frame_h"), F.col("x1").cast("int").alias("x"), F.col("y1").cast("int").alias("y"), (F.least("x2", F.lit(W)) - F.col("x1")).cast("int").alias("w"), (F.least("y2", F.lit(H)) - F.col("y1")).cast("int").alias("h"))
     return seeds.crop_plan(s, seeds.aspect_ratios(RATIOS), 1.2)

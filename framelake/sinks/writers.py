@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,23 @@ def score_tables(scores: DataFrame, path: str, by: str = "level") -> None:
     ordered.select(by, *names).write.mode("overwrite").option("header", True).csv(f"{path}/detailed")
     line = F.concat_ws(" ", F.rpad(F.col(by).cast("string"), 20, " "), *[F.format_string(f"{c}: %.3f", F.col(c).cast("double")) for c in names])
     ordered.select(line.alias("value")).write.mode("overwrite").text(f"{path}/summary")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole or not at all: beside its place first, then moved there. A file of that name is replaced."""
+    jvm = spark._jvm
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else jvm.java.net.URI("file:///"), hadoop)
+    fs = target.getFileSystem(hadoop)
+    try:
+        out = fs.create(beside)
+        out.write(bytearray(text.encode()))
+        out.close()
+        # One step for readers: they see the old file or the new one.
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files.rename(fs.makeQualified(beside), fs.makeQualified(target), options)
+    finally:
+        fs.delete(beside, False)

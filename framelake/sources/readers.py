@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -41,6 +41,33 @@ def coco(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {k: whole.select(F.explode(k).alias("r")).select("r.*") for k in ("images", "annotations", "categories")}
 
 
+def annotation_lists(spark: SparkSession, path: str) -> DataFrame:
+    """path, name, n: the lists at the top of each annotation file. Files are parsed where they are read, as variants."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("v"))
+    found = whole.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("path", F.col("key").alias("name"), F.col("value").alias("v"))
+    return found.filter(F.schema_of_variant("v").startswith("ARRAY")).select("path", "name", F.size(F.variant_get("v", "$", "array<variant>")).alias("n"))
+
+
+def annotation_rows(spark: SparkSession, path: str, name: str, fields: dict[str, str]) -> DataFrame:
+    """path and the fields (name: type) of the entries of one top-level list of all annotation files of a path.
+
+    A field may be a path of names with dots; one that is missing, or of another type, is null. Entries that are a plain
+    value, as in a list of names, are the field "value". A file without the list gives no row."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("v"))
+    rows = whole.select("path", F.explode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("r"))
+    return rows.select("path", *[F.try_variant_get("r", "$" if f == "value" else f"$.{f}", t).alias(f.replace(".", "_")) for f, t in fields.items()])
+
+
+def session_config(spark: SparkSession, folder: str, name: str = "run_config.json") -> DataFrame:
+    """One row: config (a map of texts) of a session's folder, or the error that says why there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return spark.range(1).select(F.lit(None).cast("map<string,string>").alias("config"), F.lit(f"{name} is not in {folder}").alias("error"))
+    read = spark.read.text(f"{folder.rstrip('/')}/{name}", wholetext=True).withColumn("config", F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}))
+    fine = F.try_parse_json("value").isNotNull() & F.col("config").isNotNull()
+    return read.select(F.when(fine, F.col("config")).alias("config"), F.when(~fine, f"{name} is invalid").alias("error"))
+
+
 def scenes(spark: SparkSession, path: str) -> DataFrame:
     """shot_id, start_frame, end_frame of a JSON list of pairs."""
     text = spark.read.text(path, wholetext=True)
@@ -81,6 +108,19 @@ def selected_frames(frames_: DataFrame, method: str, every: int = 1) -> DataFram
     return frames_.filter(F.col("n") % every == 0) if method == "every_nth_frame" else frames_
 
 
+def at_rate(frames_: DataFrame, fps: float, video: str | None = None) -> DataFrame:
+    """Frames (n, t in seconds) at a constant rate: slot and n, a row a slot from each video's first to its last.
+
+    A frame stands in the slot nearest its time. Of several in one slot the last is taken; a slot without any repeats the frame before."""
+    keys = [video] if video else []
+    t = frames_.withColumn("slot", F.floor(F.col("t") * fps + 0.5))
+    t = t.groupBy(*keys, "slot").agg(F.max_by("n", F.struct("t", "n")).alias("n"))
+    if not video:
+        t = t.withColumn("__all", F.lit(0))
+    after = F.lead("slot").over(Window.partitionBy(video or "__all").orderBy("slot"))
+    return t.withColumn("after", after).select(*keys, F.explode(F.sequence("slot", F.coalesce(F.col("after") - 1, F.col("slot")))).alias("slot"), "n")
+
+
 def progress_lines(lines: DataFrame, total_us: int) -> DataFrame:
     """The share done and whether it ended, from key=value lines in order of `at`."""
     kv = lines.select("at", F.split("value", "=", 2).alias("kv")).select("at", F.col("kv")[0].alias("k"), F.col("kv")[1].alias("v"))

@@ -5,6 +5,7 @@ import math
 import random
 from queue import Queue
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,8 +51,10 @@ def test_targets_like_trying_all(spark):
 
 def test_turned_boxes():
     rnd = random.Random(2)
-    assert R.intersection((0, 0, 2, 2, 0), (0, 0, 2, 2, 45)) == pytest.approx(8 * (math.sqrt(2) - 1))
-    assert R.intersection((0, 0, 2, 2, 0), (9, 0, 2, 2, 30)) == 0
+    shared = lambda a, b: float(R.intersections(np.array([a], float), np.array([b], float))[0])
+    assert shared((0, 0, 2, 2, 0), (0, 0, 2, 2, 45)) == pytest.approx(8 * (math.sqrt(2) - 1))
+    assert shared((0, 0, 2, 2, 0), (9, 0, 2, 2, 30)) == 0 and shared((0, 0, 2, 2, 0), (0, 0, 2, 2, 0)) == pytest.approx(4)
+    assert shared((0, 0, 2, 2, 0), (1, 0, 2, 2, 0)) == pytest.approx(2) and shared((0, 0, 2, 2, 30), (0, 0, 1, 1, 77)) == pytest.approx(1) and shared((0, 0, 0, 5, 0), (0, 0, 2, 2, 10)) == 0
     for _ in range(40):
         a, b = ((rnd.uniform(0, 4), rnd.uniform(0, 4), rnd.uniform(1, 4), rnd.uniform(1, 4), rnd.uniform(-180, 180)) for _ in range(2))
 
@@ -62,7 +65,7 @@ def test_turned_boxes():
 
         n = 240
         cells = sum(holds(a, 12 * (i + 0.5) / n - 4, 12 * (j + 0.5) / n - 4) and holds(b, 12 * (i + 0.5) / n - 4, 12 * (j + 0.5) / n - 4) for i in range(n) for j in range(n))
-        assert R.intersection(a, b) == pytest.approx(cells * (12 / n) ** 2, abs=0.12) and R.intersection(a, b) == pytest.approx(R.intersection(b, a), abs=1e-9)
+        assert shared(a, b) == pytest.approx(cells * (12 / n) ** 2, abs=0.12) and shared(a, b) == pytest.approx(shared(b, a), abs=1e-9)
 
 
 def test_tracks_made_ready(spark):
