@@ -10,6 +10,7 @@ from framelake.operators import joins, plugins
 from framelake.plans.adapters import adapted, table, with_
 from framelake.plans.registry import near, near_sql, query
 from framelake.sources import readers
+from framelake.streaming import state
 
 _TIMED = "f AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, CAST(event_id % 50 AS DOUBLE) / 50 AS part FROM events), t AS (SELECT video, n, (n + part) / 6 AS t FROM f)"
 
@@ -75,3 +76,32 @@ def rotated_scaled(spark, d):
     box = ((F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), (F.col("idx") * 37 % 180 - 90).cast("double"))
     _, _, w, h, angle = rotated.scaled(*box, 2.0, 0.5)
     return t.select("image_id", "idx", near(w, 4).alias("w"), near(h, 4).alias("h"), near(angle, 4).alias("angle"), rotated.inside(*box, 1e9, 1e9, 0.37).alias("fits"))
+
+
+_EVENTS = """SELECT user_id AS item, CAST(event_id AS DOUBLE) / 4 AS moment, CASE event_id * 7 % 11 WHEN 0 THEN 'added' WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' WHEN 3 THEN 'failed' WHEN 4 THEN 'completed' WHEN 5 THEN 'cancelled' WHEN 6 THEN 'progress' WHEN 7 THEN 'progress' ELSE 'started' END AS event,
+CASE WHEN event_id * 7 % 11 IN (6, 7) THEN CAST(event_id % 100 AS DOUBLE) / 100 END AS fraction, CASE WHEN event_id * 7 % 11 = 7 THEN concat('step ', event_id % 9) END AS message FROM events"""
+_LOG = f"""WITH e AS ({_EVENTS}), l AS (SELECT *, sum(CASE WHEN event = 'added' THEN 1 ELSE 0 END) OVER (PARTITION BY item ORDER BY moment, event) AS life FROM e),
+f AS (SELECT *, sum(CASE WHEN event = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY item, life ORDER BY moment, event) AS failures FROM l),
+o AS (SELECT *, coalesce(bool_or(event IN ('completed', 'cancelled') OR failures >= 3) OVER (PARTITION BY item, life ORDER BY moment, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM f),
+t AS (SELECT *, CASE WHEN event = 'failed' AND failures >= 3 THEN 'failed' WHEN event = 'added' THEN 'pending' WHEN event IN ('completed', 'cancelled') THEN event ELSE 'processing' END AS status,
+ CASE WHEN event = 'failed' AND failures < 3 THEN moment + 1.5 END AS retry_at, CASE WHEN event = 'failed' AND failures < 3 THEN concat('Retrying... (', failures, '/3)') WHEN event = 'started' THEN coalesce(message, 'Starting...') ELSE message END AS own FROM o WHERE NOT over),
+u AS (SELECT *, coalesce(last_value(fraction IGNORE NULLS) OVER w, 0.0) AS progress, coalesce(last_value(own IGNORE NULLS) OVER w, 'Waiting...') AS text,
+ CASE WHEN status = 'processing' THEN 1 ELSE 0 END - coalesce(lag(CASE WHEN status = 'processing' THEN 1 ELSE 0 END) OVER (PARTITION BY item ORDER BY moment, event), 0) AS step FROM t WINDOW w AS (PARTITION BY item, life ORDER BY moment, event ROWS UNBOUNDED PRECEDING)),
+log AS MATERIALIZED (SELECT *, sum(step) OVER (ORDER BY moment RANGE UNBOUNDED PRECEDING) AS running FROM u)"""
+
+
+def _log(spark, d):
+    events = spark.sql(_EVENTS.replace("FROM events", "FROM {events}"), events=table(spark, d, "events")).withColumnRenamed("moment", "at")
+    return state.queue_log(events, delay=1.5)
+
+
+@query("queue_log", f'{_LOG} SELECT item, moment AS "at", event, status, CAST(failures AS BIGINT) AS failures, retry_at, progress, text, CAST(running AS BIGINT) AS running FROM log')
+def queue_log(spark, d):
+    return _log(spark, d).select("item", "at", "event", "status", "failures", "retry_at", "progress", "text", "running")
+
+
+@query("queue_snapshots", f"""{_LOG}, s AS (SELECT *, lead(moment) OVER (PARTITION BY item ORDER BY moment, event) AS until FROM log)
+SELECT CAST(i * 200 AS DOUBLE) AS snapshot, item, status, progress, text FROM s JOIN range(1, 8) r(i) ON moment <= i * 200 AND (until IS NULL OR until > i * 200)""")
+def queue_snapshots(spark, d):
+    times = spark.range(1, 8).select((F.col("id") * 200).cast("double").alias("snapshot"))
+    return state.queue_snapshots(_log(spark, d), times)

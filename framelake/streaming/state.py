@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from framelake.functions.groups import Arrays, per_group
+from framelake.operators.numbering import numbered
 
 # How long an object is on probation, and after how many frames it goes.
 DELAY, UNMATCHED, DUPLICATE = 15, 8, 8
@@ -18,6 +19,10 @@ KEEP_ALIVE, KEEP_MIN, KEEP_MAX = 0, -4, 8
 SMOOTHING = 0.2
 #: Later than any frame.
 REMOVED = 100000
+# Tries of a queued item, and seconds before the next.
+ATTEMPTS, RETRY_DELAY = 3, 1.0
+#: Times of a log that are summed together.
+STRETCH = 100000
 
 STATE = "first map<int,int>, missed map<int,int>, alive map<int,int>, pairs map<string,int>, removed array<int>"
 EVENTS = "video_id int, frame int, object_id int, event string, keep_alive int"
@@ -190,3 +195,56 @@ def queue_status(events: DataFrame, attempts: int = 3) -> DataFrame:
     """Of each queued item the last status, its attempts, and whether it may be tried again."""
     t = events.groupBy("item").agg(F.max_by("status", "at").alias("status"), F.count_if(F.col("status") == "failed").alias("failures"))
     return t.withColumn("retry", (F.col("status") == "failed") & (F.col("failures") < attempts))
+
+
+def queue_log(events: DataFrame, attempts: int = ATTEMPTS, delay: float = RETRY_DELAY) -> DataFrame:
+    """events of queued items (item, at in seconds, event: added, started, progress, failed, completed or cancelled, fraction,
+    message) with what an item is after each: status, failures, retry_at, progress, text; and running, the items at work then.
+
+    An item that fails stays at work, waits `delay` seconds and is tried again, `attempts` times in all; then it has failed.
+    What comes after an item has ended is ignored, until it is added again."""
+    order = Window.partitionBy("item").orderBy("at", "event")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.col("event").isin("completed", "cancelled")
+    t = events.withColumn("life", F.sum(F.when(F.col("event") == "added", 1).otherwise(0)).over(upto))
+    life = Window.partitionBy("item", "life").orderBy("at", "event")
+    past, before = life.rowsBetween(Window.unboundedPreceding, 0), life.rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("failures", F.sum(F.when(F.col("event") == "failed", 1).otherwise(0)).over(past))
+    over = F.coalesce(F.max(ends | (F.col("failures") >= attempts)).over(before), F.lit(False))
+    t = t.withColumn("over", over).filter("not over")
+    failed = F.col("event") == "failed"
+    status = F.when(failed & (F.col("failures") >= attempts), "failed").when(F.col("event") == "added", "pending").when(ends, F.col("event")).otherwise("processing")
+    t = t.withColumn("status", status).withColumn("retry_at", F.when(failed & (F.col("failures") < attempts), F.col("at") + delay))
+    own = F.when(failed & (F.col("failures") < attempts), F.concat(F.lit("Retrying... ("), F.col("failures").cast("string"), F.lit(f"/{attempts})"))).when(F.col("event") == "started", F.coalesce("message", F.lit("Starting..."))).otherwise(F.col("message"))
+    t = t.withColumn("progress", F.coalesce(F.last("fraction", ignorenulls=True).over(past), F.lit(0.0))).withColumn("text", F.coalesce(F.last(own, ignorenulls=True).over(past), F.lit("Waiting...")))
+    # An item that begins or ends its work changes how many are at work from then on.
+    work = F.when(F.col("status") == "processing", 1).otherwise(0)
+    t = t.withColumn("step", work - F.coalesce(F.lag(work).over(order), F.lit(0)))
+    steps = t.groupBy("at").agg(F.sum("step").alias("step"))
+    marks = numbered(steps, ["at"], "mark")
+    return t.drop("over", "life").join(_running(marks), "at")
+
+
+def _running(marks: DataFrame) -> DataFrame:
+    """at, running: the sum of the steps up to each time. Times are summed a stretch at a time, then the stretches."""
+    marks = marks.withColumn("stretch", F.floor(F.col("mark") / STRETCH))
+    whole = marks.groupBy("stretch").agg(F.sum("step").alias("all"))
+    before = whole.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a stretch
+    inner = F.sum("step").over(Window.partitionBy("stretch").orderBy("mark").rowsBetween(Window.unboundedPreceding, 0))
+    return marks.join(before.select("stretch", "before"), "stretch").select("at", (inner + F.col("before")).alias("running"))
+
+
+def queue_snapshots(log: DataFrame, times: DataFrame, width: float = 60.0) -> DataFrame:
+    """snapshot, item, status, progress, text: every item that is queued at each time (snapshot) as it is then; ended items stay until they are added again.
+
+    Spans and snapshots meet in stretches of `width` seconds."""
+    at = Window.partitionBy("item").orderBy("at", "event")
+    last = times.agg(F.max("snapshot")).first()[0]
+    if last is None:
+        return log.limit(0).select(F.col("at").alias("snapshot"), "item", "status", "progress", "text")
+    spans = log.withColumn("until", F.lead("at").over(at)).filter(F.col("at") <= last)
+    to = F.least(F.coalesce("until", F.lit(last)), F.lit(last))
+    spans = spans.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("at") / width), F.floor(to / width))))
+    times = times.select("snapshot", F.floor(F.col("snapshot") / width).alias("stretch"))
+    met = spans.join(times, "stretch").filter((F.col("at") <= F.col("snapshot")) & (F.col("until").isNull() | (F.col("snapshot") < F.col("until"))))
+    return met.select("snapshot", "item", "status", "progress", "text")

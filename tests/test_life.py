@@ -180,3 +180,28 @@ def test_turned_boxes_scale_and_stay_inside(spark):
         assert np.allclose(rotated.corners(np.array([[r.s[f] for f in rotated.FIELDS]]))[0], 2 * p)
     wide = t.filter("abs(angle) < 90").select(F.struct(*[v.alias(n) for n, v in zip(rotated.FIELDS, rotated.scaled(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.lit(90.0), 3.0, 1.0))]).alias("s"), "w", "h").collect()
     assert all(r.s.w == pytest.approx(r.w) and r.s.h == pytest.approx(3 * r.h) for r in wide)
+
+
+def test_queue_log_and_snapshots(spark):
+    """An item that is retried and completes, one that fails for good and is added again, one that waits; events after an end are ignored."""
+    from framelake.streaming import state
+
+    rows = [
+        ("a", 0.0, "added", None, None), ("a", 1.0, "started", None, None), ("a", 2.0, "progress", 0.5, "half"), ("a", 3.0, "failed", None, "boom"),
+        ("a", 4.0, "started", None, None), ("a", 9.0, "completed", 1.0, "Completed"), ("a", 9.5, "failed", None, None),
+        ("b", 0.0, "added", None, None), ("b", 2.0, "failed", None, "x"), ("b", 3.0, "failed", None, "y"), ("b", 5.0, "failed", None, "z"), ("b", 5.5, "progress", 0.9, None), ("b", 7.0, "added", None, None),
+        ("c", 6.0, "added", None, None),
+    ]
+    log = state.queue_log(spark.createDataFrame(rows, "item string, at double, event string, fraction double, message string"), delay=1.0)
+    got = {(r.item, r["at"]): (r.status, r.failures, r.retry_at, r.progress, r.text, r.running) for r in log.collect()}
+    assert got == {
+        ("a", 0.0): ("pending", 0, None, 0.0, "Waiting...", 0), ("b", 0.0): ("pending", 0, None, 0.0, "Waiting...", 0), ("a", 1.0): ("processing", 0, None, 0.0, "Starting...", 1),
+        ("a", 2.0): ("processing", 0, None, 0.5, "half", 2), ("b", 2.0): ("processing", 1, 3.0, 0.0, "Retrying... (1/3)", 2), ("a", 3.0): ("processing", 1, 4.0, 0.5, "Retrying... (1/3)", 2),
+        ("b", 3.0): ("processing", 2, 4.0, 0.0, "Retrying... (2/3)", 2), ("a", 4.0): ("processing", 1, None, 0.5, "Starting...", 2), ("b", 5.0): ("failed", 3, None, 0.0, "z", 1),
+        ("c", 6.0): ("pending", 0, None, 0.0, "Waiting...", 1), ("b", 7.0): ("pending", 0, None, 0.0, "Waiting...", 1), ("a", 9.0): ("completed", 1, None, 1.0, "Completed", 0),
+    }
+    times = spark.createDataFrame([(t,) for t in (-1.0, 2.5, 5.0, 8.0, 100.0)], "snapshot double")
+    for width in (60.0, 2.0):
+        shown = {(r.snapshot, r.item): r.status for r in state.queue_snapshots(log, times, width).collect()}
+        assert shown == {(2.5, "a"): "processing", (2.5, "b"): "processing", (5.0, "a"): "processing", (5.0, "b"): "failed", (8.0, "a"): "processing", (8.0, "b"): "pending", (8.0, "c"): "pending", (100.0, "a"): "completed", (100.0, "b"): "pending", (100.0, "c"): "pending"}
+    assert state.queue_snapshots(log, times.limit(0)).collect() == []
