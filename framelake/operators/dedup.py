@@ -8,6 +8,7 @@ component of near hashes, so components are resolved apart, each in order.
 from __future__ import annotations
 
 import itertools
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from framelake.functions import pixels
 from framelake.operators.graph import connected
 from framelake.operators.neighbours import scores
 from framelake.operators.numbering import numbered
+from framelake.session import keep
 
 
 def bits(hex_col: Column) -> Column:
@@ -34,15 +36,28 @@ def exact(frames: DataFrame, name: str = "filename", hash_col: str = "phash", qu
     return frames.withColumn("kept", F.col(hash_col).isNull() | (rank == 1))
 
 
-def near_hashes(hashes: DataFrame, threshold: int) -> DataFrame:
+def shared_bands(threshold: int, count: int) -> int:
+    """How many equal bands to ask of two hashes, of threshold + that many bands: the number with the fewest keys and chance meetings."""
+
+    def cost(m: int) -> float:
+        return math.comb(threshold + m, m) * (1 + count / 2 ** (64 * m // (threshold + m)))
+
+    return min(range(1, 7), key=cost)
+
+
+def near_hashes(hashes: DataFrame, threshold: int, shared: int | None = None) -> DataFrame:
     """Pairs a < b of distinct 64-bit hashes (column h) that differ in at most `threshold` bits.
 
-    Of threshold + 2 bands two such hashes share two at least, so pairs come from equal pairs of bands, whose values are
-    some 20 bits for the usual thresholds, and are verified."""
-    n = threshold + 2
+    Of threshold + m bands two such hashes share m at least, so pairs come from equal sets of m bands, and are verified. More
+    hashes take a larger m, whose keys have more bits: with a threshold of 4 two of six bands (21 bits) for a hundred thousand
+    hashes, three of seven (27) for some millions, four of eight (32) for a billion."""
+    if shared is None:
+        hashes = keep(hashes.select("h"))
+        shared = shared_bands(threshold, hashes.count())
+    n = threshold + shared
     cuts = [64 * i // n for i in range(n + 1)]
     bands = [F.shiftrightunsigned("h", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    keys = [F.xxhash64(F.lit(k), bands[i], bands[j]) for k, (i, j) in enumerate(itertools.combinations(range(n), 2))]
+    keys = [F.xxhash64(F.lit(k), *[bands[i] for i in some]) for k, some in enumerate(itertools.combinations(range(n), shared))]
     b = hashes.select("h", F.explode(F.array(*keys)).alias("key"))
     pairs = b.toDF("a", "key").join(b.toDF("b", "key"), "key").filter("a < b")
     return pairs.filter(hamming(F.col("a"), F.col("b")) <= threshold).select("a", "b").distinct()

@@ -81,3 +81,19 @@ def test_ssim_neighbours(spark):
             lost.add(f"f{i - 1 if quality[i] > quality[i - 1] else i:03}")
     got = {r.filename for r in dedup.adjacent_ssim(t).filter("kept").select("filename").collect()}
     assert got == {f"f{i:03}" for i in range(20)} - lost and lost
+
+
+def test_near_hashes_for_any_bands(spark):
+    rng = np.random.default_rng(7)
+    base = rng.integers(-(1 << 63), 1 << 63, 40, dtype=np.int64)
+    hashes = {int(h) for h in base}
+    for h in base:
+        for k in range(1, 7):
+            hashes.add(int(h ^ np.bitwise_or.reduce(np.int64(1) << rng.choice(63, k, replace=False).astype(np.int64))))
+    hashes = sorted(hashes)
+    want = {(a, b) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    t = spark.createDataFrame([(h,) for h in hashes], "h long")
+    for shared in (None, 1, 2, 3, 4):
+        assert {(r.a, r.b) for r in dedup.near_hashes(t, 4, shared).collect()} == want
+    found = [dedup.shared_bands(4, 10**k) for k in (2, 5, 7, 9)]
+    assert found == sorted(found) and found[0] < found[-1]
