@@ -110,6 +110,25 @@ def known_unknown(rows: DataFrame, known: list[int], distractors: list[int]) ->
     return rows.withColumn("split", F.when(c.isin(*known), "known").when(c.isin(*distractors), "distractor").otherwise("unknown"))
 
 
+def subset(gt: DataFrame, detections: DataFrame, keys: list[str], name: str, known: list[int], distractors: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Truths of one split (known, distractor, unknown, or all), and the detections of images (keys) that have any of them."""
+    left = gt if name == "all" else known_unknown(gt, known, distractors).filter(F.col("split") == name).drop("split")
+    return left, detections.join(left.select(*keys).distinct(), keys, "left_semi")
+
+
+def most_a_frame(queries: DataFrame, most: int, positives: bool = False, seed: int = 0) -> DataFrame:
+    """Queries (datapoint, frame, query, objects) of videos whose frames all have the same ones in the same order: the same `most` of each frame.
+
+    They are chosen in frame 0 by a hash, with `positives` those with objects first. A video without a frame of more than `most` keeps all."""
+    t = queries.withColumn("__place", F.row_number().over(Window.partitionBy("datapoint", "frame").orderBy("query")))
+    large = t.withColumn("__large", F.max("__place").over(Window.partitionBy("datapoint")) > most)
+    mark = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("datapoint").cast("string"), F.col("__place").cast("string")))
+    order = [F.desc(F.size("objects") > 0), mark] if positives else [mark]
+    first = large.filter("frame = 0").withColumn("__k", F.row_number().over(Window.partitionBy("datapoint").orderBy(*order))).filter(F.col("__k") <= most)
+    chosen = first.select("datapoint", "__place", F.lit(True).alias("__chosen"))
+    return large.join(chosen, ["datapoint", "__place"], "left").filter("not __large or __chosen").drop("__place", "__large", "__chosen")
+
+
 def filter_queries(queries: DataFrame, keep: Column) -> DataFrame:
     """Queries (datapoint, stage, query, objects) that pass, renumbered without gaps, and their objects too.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelake.functions import rotated
-from framelake.operators import joins, plugins
+from framelake.operators import datasets, joins, plugins, training
 from framelake.plans.adapters import adapted, table, with_
 from framelake.plans.registry import near, near_sql, query
 from framelake.sources import readers
@@ -105,3 +105,31 @@ SELECT CAST(i * 200 AS DOUBLE) AS snapshot, item, status, progress, text FROM s
 def queue_snapshots(spark, d):
     times = spark.range(1, 8).select((F.col("id") * 200).cast("double").alias("snapshot"))
     return state.queue_snapshots(_log(spark, d), times)
+
+
+@query("prepared_tracks", f"""{_T}, t AS (SELECT video_id, track_id, category_id, max(score) AS score, coalesce(avg(CASE WHEN frame % 3 <> 0 AND track_id % 2 = 0 AND w > 70 THEN w + h END), avg(CASE WHEN frame % 3 <> 0 THEN w * h END), 0.0) AS area FROM tracks GROUP BY ALL)
+SELECT video_id, category_id, track_id, {near_sql('area')} AS area, score, CAST(row_number() OVER (PARTITION BY video_id, category_id ORDER BY score DESC, track_id) - 1 AS INT) AS place FROM t""")
+def prepared_tracks(spark, d):
+    there = F.col("frame") % 3 != 0
+    t = adapted(spark, d, "tracks")
+    t = t.withColumns({"area": F.when(there & (F.col("track_id") % 2 == 0), F.when(F.col("w") > 70, F.col("w") + F.col("h")).otherwise(0.0)), "w": F.when(there, F.col("w")), "h": F.when(there, F.col("h"))})
+    return training.prepared_tracks(t).withColumn("area", near(F.col("area")))
+
+
+@query("open_world_subset", f"{_T}, g AS (SELECT video_id, frame FROM tracks WHERE track_id % 2 = 0 AND category_id = 3 GROUP BY ALL) SELECT video_id, frame, track_id FROM tracks JOIN g USING (video_id, frame) WHERE track_id % 2 = 1")
+def open_world_subset(spark, d):
+    """Tracks of frames that hold a truth of an unknown class."""
+    t = adapted(spark, d, "tracks")
+    _, left = datasets.subset(t.filter("track_id % 2 = 0"), t.filter("track_id % 2 = 1"), ["video_id", "frame"], "unknown", [0, 1], [2])
+    return left.select("video_id", "frame", "track_id")
+
+
+@query("most_a_frame", f"""{with_('detections')}, q AS (SELECT image_id AS datapoint, f AS frame, idx * 10 + f AS query, conf > 0.6 AS positive FROM detections, range(2) r(f)),
+p AS (SELECT *, row_number() OVER (PARTITION BY datapoint, frame ORDER BY query) AS place FROM q), n AS (SELECT *, max(place) OVER (PARTITION BY datapoint) > 3 AS large FROM p),
+k AS (SELECT datapoint, place, row_number() OVER (PARTITION BY datapoint ORDER BY positive DESC, md5('4:' || datapoint || ':' || place)) AS k FROM n WHERE frame = 0)
+SELECT datapoint, CAST(frame AS INT) AS frame, query FROM n JOIN k USING (datapoint, place) WHERE NOT large OR k <= 3""")
+def most_a_frame(spark, d):
+    t = adapted(spark, d, "detections").withColumn("frame", F.explode(F.array(F.lit(0), F.lit(1))))
+    objects = F.when(F.col("conf") > 0.6, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    t = t.select(F.col("image_id").alias("datapoint"), "frame", (F.col("idx") * 10 + F.col("frame")).cast("long").alias("query"), objects.alias("objects"))
+    return datasets.most_a_frame(t, 3, positives=True, seed=4).select("datapoint", "frame", "query")
