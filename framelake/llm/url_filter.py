@@ -2,8 +2,8 @@
 
 Two smoothed variable-order Markov models over the characters of a URL, one for accepted and one for rejected
 URLs, are counted over every URL that a rule decides. Every context that was seen stays, so the models grow with
-the input; they are one table in the shared folder, a row a context, and are never gathered. To score, URLs are
-dealt into chunks of about CHUNK, the contexts that a chunk needs are joined from the table, and the chunk's task
+the input; they are one table in the shared folder, a row a context, and are never gathered. To score, rows are
+dealt into chunks of about CHUNK, whatever their URLs, the contexts that a chunk needs are joined from the table, and the chunk's task
 works with those alone. Longer contexts are smoothed by shorter ones (Witten-Bell).
 A URL's evidence is its log-likelihood difference a character; the cut is set where held-out labelled URLs
 (one in HOLD by hash) have the least balanced error.
@@ -209,8 +209,9 @@ def _scored(pages: DataFrame, judge: Judge) -> DataFrame:
         evidence = [(accepted.of(u) - rejected.of(u)) / (len(u) + 1) if u else 0.0 for u in low]
         return pa.Table.from_arrays(rows(own.column("page_id"), urls, evidence), names=names)
 
-    n = pages.count() // CHUNK + 1
-    dealt = pages.withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.lit(n))).repartition(n, "chunk")
+    # A row's number is in its chunk's hash, so rows alike are spread as all others; written, so that both readers see the same chunks.
+    chunks = F.lit(pages.count() // CHUNK + 1)
+    dealt = keep(pages.sparkSession, pages.withColumn("chunk", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), chunks))).repartition("chunk")
     met = dealt.mapInArrow(_contexts(order), "chunk long, context string").distinct()
     near = met.join(judge.contexts, "context").select("chunk", "context", "after")
     return dealt.groupBy("chunk").cogroup(near.groupBy("chunk")).applyInArrow(run, schema)

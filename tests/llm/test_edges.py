@@ -120,3 +120,19 @@ def test_urls(spark):
             assert (got[4].host, got[4].path, got[4].rule, got[4].verdict) == ("x.example.com", "/en/a", "example.com/en/", "block")
             assert got[5].rule == "www.example.com/en/" and got[6].verdict == "block" and got[7].rule is None and got[8].rule == "com/"
             assert (got[1].host, got[1].path, got[3].host) == ("", "", "") and got[9].rule == "com/"
+
+
+def test_urls_alike_are_spread(spark):
+    """A page table of one URL, mostly: chunks stay small, and all its rows are judged alike."""
+    rows = [(1, "http://shop.example.org/a/b")] * 30000 + [(None, None)] * 9000 + [(i, f"http://h{i % 50}.com/p{i}") for i in range(2, 3000)] + [(i, f"http://h{i % 50}.net/es/p{i}") for i in range(3000, 6000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    sizes = []
+    kept, url_filter.keep = url_filter.keep, lambda s, df, *a, **k: (sizes.append(t := kept(s, df, *a, **k)), t)[1]
+    try:
+        got = url_filter.judge_urls(spark, pages, url_filter.fit(spark, pages)).groupBy("page_id", "verdict", "evidence").count().collect()
+    finally:
+        url_filter.keep = kept
+    assert sum(r["count"] for r in got) == len(rows)
+    assert [r["count"] for r in got if r.page_id == 1] == [30000] and [r["count"] for r in got if r.page_id is None] == [9000]
+    dealt = [t for t in sizes if "chunk" in t.columns]
+    assert dealt and all(t.groupBy("chunk").count().agg(F.max("count")).first()[0] < 1.3 * url_filter.CHUNK for t in dealt)
