@@ -16,16 +16,21 @@ def session(cores: str = "*", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/framelake-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/framelake-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share, and read back."""
+    spark = df.sparkSession
+    path = folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._framelake_path = path

@@ -68,10 +68,11 @@ def session_config(spark: SparkSession, folder: str, name: str = "run_config.jso
     return read.select(F.when(fine, F.col("config")).alias("config"), F.when(~fine, f"{name} is invalid").alias("error"))
 
 
-def scenes(spark: SparkSession, path: str) -> DataFrame:
-    """shot_id, start_frame, end_frame of a JSON list of pairs."""
+def scenes(spark: SparkSession, path: str, of: tuple[str, ...] = ()) -> DataFrame:
+    """shot_id, start_frame, end_frame of a JSON list of pairs, a file a video. of: columns that the folders' names give, as video=7."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", "array<array<int>>")).alias("shot_id", "p")).select("shot_id", F.col("p")[0].alias("start_frame"), F.col("p")[1].alias("end_frame"))
+    pairs = text.select(*of, F.posexplode(F.from_json("value", "array<array<int>>")).alias("shot_id", "p"))
+    return pairs.select(*of, "shot_id", F.col("p")[0].alias("start_frame"), F.col("p")[1].alias("end_frame"))
 
 
 def image_folder(spark: SparkSession, path: str, recursive: bool = False, content: bool = False) -> DataFrame:
