@@ -8,6 +8,7 @@ from framelake.functions import masks as M
 from framelake.operators import dedup
 from framelake.operators import masks as O
 from framelake.plans.adapters import adapted, table, with_
+from framelake.plans.quality import _best_sql
 from framelake.plans.registry import near, near_sql, query
 from framelake.plans.tables import _pictures
 
@@ -57,7 +58,10 @@ def mask_tracks(spark, d):
     return O.matched_tracks(*_sides(spark, d), match=0.3).select("image_id", "idx", F.array_join("tracks", ",").alias("tracks"))
 
 
-@query("mask_assigned")
+_ASSIGNED = _RC + ", g AS MATERIALIZED" + _best_sql(0.0, _IOU).split(", g AS MATERIALIZED", 1)[1].replace("FROM detections", "FROM c")
+
+
+@query("mask_assigned", f"{_ASSIGNED} SELECT image_id, least(n_gt, n_dt) AS pairs, {near_sql('total')} AS total FROM n JOIN m USING (image_id)")
 def mask_assigned(spark, d):
     """Which detection an image's best assignment gives each track; of equal assignments any, so the query gives their worth."""
     t = O.assigned(*_sides(spark, d))
@@ -90,7 +94,16 @@ def polygon_areas(spark, d):
     return adapted(spark, d, "detections").select("image_id", "idx", M.polygon_area(F.array(p(x1, y1), p(x2, y1), p(x2 + 5, y2), p(x2, y2 + 9), p(x1, y2))).alias("area"))
 
 
-@query("dedup_ssim")
+_SSIM = f"""WITH p AS MATERIALIZED (SELECT p_partkey AS k, r, c, (p_partkey * 7 + r * 13 + c * 29 + r * c) % 256 AS v FROM part, range(16) a(r), range(16) b(c)), n AS (SELECT k, lag(k) OVER (ORDER BY k) AS k0 FROM (SELECT DISTINCT k FROM p)),
+x AS MATERIALIZED (SELECT n.k, a.r, a.c, a.v, b.v AS u FROM n JOIN p a ON a.k = n.k JOIN p b ON b.k = n.k0 AND b.r = a.r AND b.c = a.c),
+h AS MATERIALIZED (SELECT k, r, s, sum(v) AS v, sum(u) AS u, sum(v * v) AS vv, sum(u * u) AS uu, sum(v * u) AS vu FROM x JOIN range(10) t(s) ON c >= s AND c < s + 7 GROUP BY ALL),
+w AS (SELECT k, q, s, sum(v) / 49.0::DOUBLE AS v, sum(u) / 49.0::DOUBLE AS u, sum(vv) / 49.0::DOUBLE AS vv, sum(uu) / 49.0::DOUBLE AS uu, sum(vu) / 49.0::DOUBLE AS vu FROM h JOIN range(10) t(q) ON r >= q AND r < q + 7 GROUP BY ALL),
+y AS (SELECT k, avg((2 * v * u + 6.5025::DOUBLE) * (2 * (vu - v * u) * 49 / 48 + 58.5225::DOUBLE) / ((v * v + u * u + 6.5025::DOUBLE) * ((vv - v * v + uu - u * u) * 49 / 48 + 58.5225::DOUBLE))) AS ssim FROM w GROUP BY 1),
+z AS (SELECT n.k, n.k * 7 % 101 AS q, coalesce(ssim, 0) >= 0.6 AS alike, lag(n.k * 7 % 101) OVER o AS before, lead(n.k * 7 % 101) OVER o AS after, lead(coalesce(ssim, 0) >= 0.6) OVER o AS next FROM n LEFT JOIN y USING (k) WINDOW o AS (ORDER BY n.k))
+SELECT printf('frame_%09d', k) AS filename, NOT ((alike AND q <= before) OR (coalesce(next, false) AND after > q)) AS kept FROM z"""
+
+
+@query("dedup_ssim", _SSIM)
 def dedup_ssim(spark, d):
     t = _pictures(spark, d).select(F.format_string("frame_%09d", "p_partkey").alias("filename"), "image", (F.col("p_partkey") * 7 % 101).cast("double").alias("quality"))
     return dedup.dispatch(t, "Balanced (SSIM)", least=0.6).select("filename", "kept")

@@ -100,7 +100,20 @@ def global_track_ids(spark, d):
     return M.global_track_ids(adapted(spark, d, "tracks")).select("video_id", "track_id", "global_id").distinct()
 
 
-@query("match_counts")
+def _best_sql(least: float, score: str) -> str:
+    """Every way to give an image's truths detections of their own, and the one with the greatest total."""
+    return f"""{_D.replace("WITH ", "WITH RECURSIVE ", 1)}, g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY idx) AS i FROM detections WHERE is_gt), e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY idx) AS j FROM detections WHERE NOT is_gt AND conf >= {least}),
+n AS MATERIALIZED (SELECT image_id, count(*) FILTER (is_gt) AS n_gt, count(*) FILTER (NOT is_gt AND conf >= {least}) AS n_dt FROM detections GROUP BY 1),
+o AS MATERIALIZED (SELECT * FROM (SELECT image_id, a.i, b.j, {score} AS iou FROM g a JOIN e b USING (image_id)) WHERE iou > 0 UNION ALL SELECT image_id, i, 0, 0.0 FROM g),
+r AS (SELECT image_id, 0::BIGINT AS i, []::BIGINT[] AS used, 0.0::DOUBLE AS total, []::DOUBLE[] AS ious FROM n WHERE n_gt > 0 AND n_dt > 0
+UNION ALL SELECT r.image_id, o.i, list_append(r.used, o.j), r.total + o.iou, list_append(r.ious, o.iou) FROM r JOIN o ON o.image_id = r.image_id AND o.i = r.i + 1 AND (o.j = 0 OR NOT list_contains(r.used, o.j))),
+m AS (SELECT r.image_id, arg_max(ious, total) AS ious, max(total) AS total FROM r JOIN n ON r.image_id = n.image_id AND r.i = n.n_gt GROUP BY 1)"""
+
+
+_COUNTS = f"""{_best_sql(0.5, f"{_I} / ({_A} + {_B} - {_I})")}, k AS (SELECT image_id, round(0.5::DOUBLE + 0.05::DOUBLE * t, 2) AS threshold, n_gt, n_dt, len(list_filter(coalesce(ious, []), lambda x: x >= round(0.5::DOUBLE + 0.05::DOUBLE * t, 2))) AS tp FROM n LEFT JOIN m USING (image_id), range(10) r(t) WHERE n_gt + n_dt > 0)"""
+
+
+@query("match_counts", f"{_COUNTS} SELECT threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(n_dt - tp) AS BIGINT) AS fp, CAST(sum(n_gt - tp) AS BIGINT) AS fn FROM k GROUP BY 1")
 def match_counts(spark, d):
     gt, dt = _sides(spark, d)
     return E.match_counts(gt, dt).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
@@ -117,7 +130,18 @@ def image_mcc(spark, d):
     return out.select(*[near(F.col(c)).alias(c) for c in out.columns])
 
 
-@query("cgf1")
+def _f1_sql(p: str, r: str) -> str:
+    return f"2 * {p} * {r} / ({p} + {r} + 1e-4::DOUBLE)"
+
+
+@query("cgf1", f"""{_COUNTS}, i AS (SELECT *, CASE WHEN n_gt > 0 AND n_dt > 0 THEN {_f1_sql('(tp / (n_dt + 1e-4::DOUBLE))', '(tp / (n_gt + 1e-4::DOUBLE))')} ELSE 0.0 END AS own FROM k),
+c AS (SELECT CAST(count(*) FILTER (n_gt > 0 AND n_dt > 0) AS DOUBLE) AS tp, CAST(count(*) FILTER (n_gt = 0 AND n_dt > 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (n_gt = 0 AND n_dt = 0) AS DOUBLE) AS tn, CAST(count(*) FILTER (n_gt > 0 AND n_dt = 0) AS DOUBLE) AS fn FROM n),
+l AS (SELECT (tp * tn - fp * fn) / (sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) + 1e-6::DOUBLE) AS mcc FROM c),
+s AS (SELECT threshold, sum(tp) AS tp, sum(n_dt - tp) AS fp, sum(n_gt - tp) AS fn, sum(CASE WHEN n_gt > 0 THEN n_dt - tp ELSE 0 END) AS pfp, sum(own) AS own, count(*) FILTER (n_gt > 0 AND n_dt > 0) AS valid, count(*) FILTER (n_gt > 0) AS positives FROM i GROUP BY 1),
+f AS (SELECT threshold, tp / (tp + fp + 1e-4::DOUBLE) AS precision, tp / (tp + fn + 1e-4::DOUBLE) AS recall, tp / (tp + pfp + 1e-4::DOUBLE) AS pp, own / valid AS macro, own / positives AS w0 FROM s),
+q AS (SELECT *, {_f1_sql('precision', 'recall')} AS f1, {_f1_sql('pp', 'recall')} AS micro FROM f)
+SELECT threshold, {near_sql('precision')} AS precision, {near_sql('recall')} AS recall, {near_sql('f1')} AS f1, {near_sql('micro')} AS positive_micro_f1, {near_sql('macro')} AS positive_macro_f1, {near_sql('w0')} AS positive_w0dt_macro_f1,
+{near_sql('micro * mcc')} AS cgf1, {near_sql('macro * mcc')} AS cgf1_macro, {near_sql('w0 * mcc')} AS cgf1_w0dt FROM q, l""")
 def cgf1(spark, d):
     gt, dt = _sides(spark, d)
     out = E.cgf1(adapted(spark, d, "detections").select("image_id"), gt, dt)

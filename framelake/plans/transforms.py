@@ -8,6 +8,7 @@ from framelake.functions import boxes as B
 from framelake.operators import evaluation
 from framelake.operators import transforms as T
 from framelake.plans.adapters import adapted, table, with_
+from framelake.plans.quality import _COUNTS
 from framelake.plans.registry import near, near_sql, query
 
 _D = with_("detections")
@@ -100,7 +101,8 @@ def worker_reduce(spark, d):
     return T.reduced(parts, ["event_type"], "max", "value")
 
 
-@query("perfect_rates")
+@query("perfect_rates", f"""{_COUNTS}, b AS (SELECT threshold, n_gt > 0 AS pos, CAST(n_dt = tp AND n_gt = tp AS INT) AS good FROM k)
+SELECT threshold, avg(good) FILTER (pos) AS perfect_pos, avg(good) FILTER (NOT pos) AS perfect_neg FROM b GROUP BY 1""")
 def perfect_rates(spark, d):
     t = adapted(spark, d, "detections")
     return T.perfect_rates(evaluation.match_counts(t.filter("is_gt"), t.filter("not is_gt")))
