@@ -153,6 +153,29 @@ def segment_scores(rows: DataFrame, key: str = "category_id") -> DataFrame:
     return t.select(key, F.try_divide(2 * F.col("i"), F.col("p") + F.col("t")).alias("dice"), F.try_divide(F.col("i"), F.col("p") + F.col("t") - F.col("i")).alias("iou"))
 
 
+def mask_losses(rows: DataFrame, logits: str, truth: str, told: str | None = None) -> DataFrame:
+    """rows with dice and, with `told` (the overlap that a model claims), iou_loss: of predicted logits and truths of 0 and 1, arrays of one length.
+
+    dice: one less the softened overlap of the logistic of the logits with the truth, one added to both sides. iou_loss: the
+    squared error of the claim against the overlap of what is over 0."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    p = F.transform(logits, lambda x: 1 / (1 + F.exp(-x)))
+    out = rows.withColumn("__p", p)
+    hit = total(F.zip_with("__p", truth, lambda a, b: a * b))
+    out = out.withColumn("dice", 1 - (2 * hit + 1) / (total("__p") + total(F.transform(truth, lambda x: x.cast("double"))) + 1)).drop("__p")
+    if told is None:
+        return out
+    both = total(F.zip_with(logits, truth, lambda a, b: ((a > 0) & (b > 0)).cast("double")))
+    any_ = total(F.zip_with(logits, truth, lambda a, b: ((a > 0) | (b > 0)).cast("double")))
+    return out.withColumn("iou_loss", F.pow(F.col(told) - both / F.greatest(any_, F.lit(1.0)), 2))
+
+
+def mean_iou(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """group, miou: of pixel counts of pairs of masks (met, either, true) the sum of overlaps over the number of truths that have any pixel; 1 without such."""
+    some = F.count_if(F.col("true") > 0)
+    return pairs.groupBy(*group).agg(F.when(some == 0, 1.0).otherwise(F.sum(F.col("met") / (F.col("either") + 1e-8)) / some).alias("miou"))
+
+
 def reduced(rows: DataFrame, keys: list[str], how: str, value: str) -> DataFrame:
     """Values of many workers as one: mean, sum, min or max."""
     return rows.groupBy(*keys).agg({"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[how](value).alias(value))

@@ -106,3 +106,20 @@ SELECT threshold, avg(good) FILTER (pos) AS perfect_pos, avg(good) FILTER (NOT p
 def perfect_rates(spark, d):
     t = adapted(spark, d, "detections")
     return T.perfect_rates(evaluation.match_counts(t.filter("is_gt"), t.filter("not is_gt")))
+
+
+_LOGITS = "s AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i, vec_id % 100 / 100.0::DOUBLE AS told FROM embeddings), x AS (SELECT *, CASE WHEN (i * 5 + vec_id) % 7 < 3 THEN 1.0::DOUBLE ELSE 0.0 END AS t, 1 / (1 + exp(-v)) AS p FROM s)"
+
+
+@query("mask_losses", f"""WITH {_LOGITS} SELECT vec_id, {near_sql('1 - (2 * sum(p * t) + 1) / (sum(p) + sum(t) + 1)')} AS dice, {near_sql('pow(any_value(told) - count(*) FILTER (v > 0 AND t > 0) / greatest(1.0::DOUBLE, count(*) FILTER (v > 0 OR t > 0)), 2)')} AS iou_loss FROM x GROUP BY 1""")
+def mask_losses(spark, d):
+    truth = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: ((i * 5 + F.col("vec_id")) % 7 < 3).cast("int"))
+    t = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("logits"), truth.alias("truth"), ((F.col("vec_id") % 100).cast("double") / 100).alias("told"))
+    return T.mask_losses(t, "logits", "truth", "told").select("vec_id", near(F.col("dice")).alias("dice"), near(F.col("iou_loss")).alias("iou_loss"))
+
+
+@query("mean_iou", f"{_D}, p AS (SELECT image_id, category_id, floor(conf * 10) AS met, floor(conf * 10) + idx AS either, CASE WHEN idx % 3 = 0 THEN 0 ELSE idx END AS n FROM detections) SELECT category_id, {near_sql('CASE WHEN count(*) FILTER (n > 0) = 0 THEN 1.0::DOUBLE ELSE sum(met / (either + 1e-8::DOUBLE)) / count(*) FILTER (n > 0) END')} AS miou FROM p GROUP BY 1")
+def mean_iou(spark, d):
+    t = adapted(spark, d, "detections")
+    t = t.select("category_id", F.floor(F.col("conf") * 10).alias("met"), (F.floor(F.col("conf") * 10) + F.col("idx")).alias("either"), F.when(F.col("idx") % 3 == 0, 0).otherwise(F.col("idx")).alias("true"))
+    return T.mean_iou(t, ["category_id"]).withColumn("miou", near(F.col("miou")))
