@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions.groups import Arrays, per_group
 from framelake.functions.pixels import linked
+from framelake.session import keep
 
 Element = dict[int, int]
 
@@ -143,7 +144,8 @@ def boundary_scores(pairs: DataFrame, truth: DataFrame, found: DataFrame, radius
     sides = []
     for name, t in (("gt_id", truth), ("dt_id", found)):
         b = boundary(t, width, height)
-        mine = pairs.select("gt_id", "dt_id").join(b.withColumnRenamed("mask_id", name), name).withColumn("pair", F.struct("gt_id", "dt_id")).drop("gt_id", "dt_id")
+        # Each boundary is swept once; its pairs read what was written.
+        mine = keep(pairs.select("gt_id", "dt_id").join(b.withColumnRenamed("mask_id", name), name).select(F.struct("gt_id", "dt_id").alias("pair"), "x", "lo", "hi"))
         sides.append((mine, dilated(mine, square(radius), width, height, "pair")))
     out = pairs.withColumn("pair", F.struct("gt_id", "dt_id"))
     for name, (own, _), (_, wide) in (("gt", *sides), ("dt", *reversed(sides))):

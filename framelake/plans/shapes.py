@@ -13,6 +13,7 @@ from framelake.operators import scenes
 from framelake.operators.seeds import aspect_ratios
 from framelake.plans.adapters import adapted, table, with_
 from framelake.plans.registry import near, near_sql, query
+from framelake.session import keep
 
 W, H = 640, 480
 _RUNS = with_("mask_runs")
@@ -105,11 +106,11 @@ def mask_boundaries(spark, d):
     return R.boundary_scores(pairs, t, t, 2, W, H).withColumn("f", near(F.col("f")))
 
 
-@query("mask_contours", f"""{_P}, s AS (SELECT mask_id, count(*) AS area FROM p GROUP BY 1), n AS (SELECT a.mask_id, count(*) AS near FROM p a JOIN p b ON a.mask_id = b.mask_id AND (b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1) GROUP BY 1)
+@query("mask_contours", f"""{_P}, s AS (SELECT mask_id, count(*) AS area FROM p GROUP BY 1), n AS (SELECT mask_id, count(*) AS near FROM (SELECT a.mask_id FROM p a JOIN p b ON a.mask_id = b.mask_id AND b.x = a.x + 1 AND b.y = a.y UNION ALL SELECT a.mask_id FROM p a JOIN p b ON a.mask_id = b.mask_id AND b.x = a.x AND b.y = a.y + 1) GROUP BY 1)
 SELECT mask_id, CASE WHEN mask_id % 2 = 0 THEN 2 ELSE 1 END AS outer_borders, CASE WHEN mask_id % 3 < 2 THEN 1 ELSE 0 END AS holes, area::DOUBLE AS area, 4 * area - 2 * near AS edges, area AS again FROM s JOIN n USING (mask_id)""")
 def mask_contours(spark, d):
     """Borders of each mask, what they enclose, and the area of the mask that their corners give back."""
-    b = C.contours(_runs(spark, d))
+    b = keep(C.contours(_runs(spark, d)))
     t = b.groupBy("mask_id").agg(F.count_if(~F.col("hole")).cast("int").alias("outer_borders"), F.count_if("hole").cast("int").alias("holes"), F.sum("area").alias("area"), F.sum("edges").alias("edges"))
     return t.join(R.measured(C.from_corners(b)).select("mask_id", F.col("area").alias("again")), "mask_id")
 
