@@ -210,8 +210,11 @@ def _scored(pages: DataFrame, judge: Judge) -> DataFrame:
         return pa.Table.from_arrays(rows(own.column("page_id"), urls, evidence), names=names)
 
     # A row's number is in its chunk's hash, so rows alike are spread as all others; written, so that both readers see the same chunks.
+    spark = pages.sparkSession
     chunks = F.lit(pages.count() // CHUNK + 1)
-    dealt = keep(pages.sparkSession, pages.withColumn("chunk", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), chunks))).repartition("chunk")
+    # A chunk is little data and much work: partitions by number, not by size.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = keep(spark, pages.withColumn("chunk", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), chunks))).repartition(parts, "chunk")
     met = dealt.mapInArrow(_contexts(order), "chunk long, context string").distinct()
     near = met.join(judge.contexts, "context").select("chunk", "context", "after")
     return dealt.groupBy("chunk").cogroup(near.groupBy("chunk")).applyInArrow(run, schema)
