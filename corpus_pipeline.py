@@ -33,8 +33,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and their scores: a sampled segmentation of each row, of a document's copies another for each."""
-    return sampling.encode(spark, docs.groupBy("doc_id", "text").agg(F.count("*").alias("copies")), copies_col="copies")
+    """doc_id, ids and their scores: a sampled segmentation of each row, of a document's copies another for each.
+
+    Rows without an id are no copies of each other, however many are alike; each takes the first segmentation of its text."""
+    named = docs.filter("doc_id is not null").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    others = docs.filter("doc_id is null").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    return sampling.encode(spark, named.unionByName(others), copies_col="copies")
 
 
 STAGES = [("language", by_language), ("jaccard", near_duplicates), ("pii", without_pii), ("mix", mixed), ("encode", encoded)]
