@@ -136,3 +136,12 @@ def test_urls_alike_are_spread(spark):
     assert [r["count"] for r in got if r.page_id == 1] == [30000] and [r["count"] for r in got if r.page_id is None] == [9000]
     dealt = [t for t in sizes if "chunk" in t.columns]
     assert dealt and all(t.groupBy("chunk").count().agg(F.max("count")).first()[0] < 1.3 * url_filter.CHUNK for t in dealt)
+
+
+def test_pipeline_encodes_many_rows_without_id(spark):
+    """Thousands of rows alike that have no id: each is a row of the result, and none waits for the others' samples."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(None, "eins zwei drei", "x")] * 4000 + [(None, None, "x")] * 3 + [(1, "eins zwei drei", "x")] * 2, "doc_id long, text string, source string").repartition(4)
+    got = corpus_pipeline.encoded(spark, docs, "").groupBy("doc_id", "sample", "decodes").count().collect()
+    assert sorted((str(r.doc_id), r["sample"], str(r.decodes), r["count"]) for r in got) == [("1", 1, "True", 1), ("1", 2, "True", 1), ("None", 1, "None", 3), ("None", 1, "True", 4000)]
