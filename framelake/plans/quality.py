@@ -9,6 +9,7 @@ from framelake.operators import matching as M
 from framelake.operators import training
 from framelake.plans.adapters import adapted, table, with_
 from framelake.plans.registry import near, near_sql, query
+from framelake.session import keep
 
 _D, _T = with_("detections"), with_("tracks")
 
@@ -177,7 +178,7 @@ def hota(spark, d):
 def hota_rollup(spark, d):
     """Sequences combined, by class, by super-category and over classes, weighted by detections."""
     gt, dt = _truth(spark, d)
-    counts = E.track_counts(gt, dt, ["video_id", "category_id"])
+    counts = keep(E.track_counts(gt, dt, ["video_id", "category_id"]))
     by_class = E.hota(counts, ["category_id"]).select(F.col("category_id").cast("string").alias("level"), "hota", "det_a", "ass_a")
     all_ = E.hota(counts.withColumn("level", F.lit("all")), ["level"]).select("level", "hota", "det_a", "ass_a")
     mean = E.hota_by_class(E.hota(counts, ["category_id"]).withColumn("level", F.lit("class mean")), ["level"]).select("level", "hota", "det_a", "ass_a")
