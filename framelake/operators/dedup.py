@@ -103,8 +103,8 @@ def near(frames: DataFrame, threshold: int, name: str = "filename", hash_col: st
     return frames.join(out.select(name, F.lit(False).alias("lost")), name, "left").withColumn("kept", F.col("lost").isNull()).drop("lost")
 
 
-def adjacent(frames: DataFrame, similar: Column, name: str = "filename", quality: str = "quality", partition: str | None = None) -> DataFrame:
-    """frames with kept: of two neighbours by name that are alike the worse goes, of equal ones the later.
+def adjacent(frames: DataFrame, similar: Column, name: str = "filename", quality: str = "quality", partition: str | None = None, then: tuple[str, ...] = ()) -> DataFrame:
+    """frames with kept: of two neighbours by name (equal names by `then`, in a partition) that are alike the worse goes, of equal ones the later.
 
     similar: whether a row is like the one before it, in terms of frames' columns. Rejected frames still compare.
     Without a partition neighbours meet by their number, so that no task has all frames."""
@@ -114,7 +114,7 @@ def adjacent(frames: DataFrame, similar: Column, name: str = "filename", quality
         t = t.join(t.select((F.col("__n") + 1).alias("__n"), F.col("q").alias("before")), "__n", "left")
         t = t.join(t.select((F.col("__n") - 1).alias("__n"), F.col("q").alias("after"), F.col("like").alias("like_after")), "__n", "left").drop("__n")
     else:
-        w = Window.partitionBy(partition).orderBy(name)
+        w = Window.partitionBy(partition).orderBy(name, *then)
         t = t.withColumn("before", F.lag("q").over(w)).withColumn("after", F.lead("q").over(w)).withColumn("like_after", F.lead("like").over(w))
     lost = (F.col("like") & F.col("before").isNotNull() & ~(F.col("q") > F.col("before"))) | (F.coalesce("like_after", F.lit(False)) & (F.col("after") > F.col("q")))
     return t.withColumn("kept", ~F.coalesce(lost, F.lit(False))).drop("like", "q", "before", "after", "like_after")

@@ -69,9 +69,9 @@ SELECT filename, NOT ((s AND NOT q > bq) OR (t AND coalesce(aq > q, false))) AS
 def dedup_adjacent(spark, d):
     from pyspark.sql import Window
 
-    frames = adapted(spark, d, "frames").select("filename", "shot_id", F.col("metrics.quality_score").alias("quality"), F.col("metrics.brightness_score").alias("b"))
-    like = F.abs(F.col("b") - F.lag("b").over(Window.partitionBy("shot_id").orderBy("filename"))) <= 20
-    return dedup.adjacent(frames, like, partition="shot_id").select("filename", "kept")
+    frames = adapted(spark, d, "frames").select("filename", "frame_num", "shot_id", F.col("metrics.quality_score").alias("quality"), F.col("metrics.brightness_score").alias("b"))
+    like = F.abs(F.col("b") - F.lag("b").over(Window.partitionBy("shot_id").orderBy("filename", "frame_num"))) <= 20
+    return dedup.adjacent(frames, like, partition="shot_id", then=("frame_num",)).select("filename", "kept")
 
 
 @query("dedup_hybrid", f"""WITH RECURSIVE {_ROWS}, r AS (SELECT 0::BIGINT AS k, []::UBIGINT[] AS hs, []::BIGINT[] AS slots, []::STRUCT(slot BIGINT, k BIGINT)[] AS pairs UNION ALL
