@@ -6,6 +6,7 @@ from 0 to 1 and a score from 0 to 100. A mask counts where a pixel is over 128,
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -108,6 +109,7 @@ def coloured(image: np.ndarray) -> int:
     return int((image.reshape(image.shape[0], image.shape[1], -1) > 0).any(2).sum())
 
 
+@functools.cache
 def _lanczos(n: int, size: int) -> np.ndarray:
     """Weights (size, n) of a three-lobed Lanczos filter that is widened where it shrinks, in whole 2**-22ths."""
     scale = n / size
@@ -123,20 +125,26 @@ def _lanczos(n: int, size: int) -> np.ndarray:
 
 
 def _shrunk(g: np.ndarray, size: int) -> np.ndarray:
-    """A gray picture of size by size, as common imaging libraries resize: rows first, then columns, each rounded to bytes."""
-    half = 1 << 21
-    rows = np.clip((g.astype(np.int64) @ _lanczos(g.shape[1], size).T + half) >> 22, 0, 255)
-    return np.clip((_lanczos(g.shape[0], size) @ rows + half) >> 22, 0, 255).astype(np.float64)
+    """Gray pictures of size by size, as common imaging libraries resize: rows first, then columns, each rounded to bytes.
 
+    Sums are whole numbers below 2**53, so doubles hold them exactly."""
+    half, one = float(1 << 21), float(1 << 22)
+    rows = np.clip(np.floor((g.astype(np.float64) @ _lanczos(g.shape[-1], size).T.astype(np.float64) + half) / one), 0, 255)
+    return np.clip(np.floor((_lanczos(g.shape[-2], size).astype(np.float64) @ rows + half) / one), 0, 255)
 
-def phash(g: np.ndarray, side: int = 8, factor: int = 4) -> str:
-    """64-bit perceptual hash: low frequencies of a cosine transform against their median, as hex."""
+
+def _hashes(g: np.ndarray, side: int = 8, factor: int = 4) -> list[str]:
+    """phash() of each of many gray pictures of one size."""
     n = side * factor
     k = np.arange(n)
     basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
-    low = (basis @ _shrunk(g, n) @ basis.T)[:side, :side]
-    bits = (low > np.median(low)).ravel()
-    return f"{int(''.join('1' if b else '0' for b in bits), 2):0{side * side // 4}x}"
+    low = (basis @ _shrunk(g, n) @ basis.T)[:, :side, :side].reshape(len(g), -1)
+    return [b.tobytes().hex() for b in np.packbits(low > np.median(low, axis=1)[:, None], axis=1)]
+
+
+def phash(g: np.ndarray, side: int = 8, factor: int = 4) -> str:
+    """64-bit perceptual hash: low frequencies of a cosine transform against their median, as hex."""
+    return _hashes(g[None], side, factor)[0]
 
 
 def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
@@ -293,28 +301,89 @@ def polygon_mask(points: np.ndarray, height: int, width: int) -> np.ndarray:
 METRICS = {"sharpness": sharpness, "edge_strength": lambda g, m=None: edge_strength(g), "contrast": contrast, "brightness": brightness, "entropy": entropy}
 
 
-def measure(images: DataFrame, image: str = "image", mask: str | None = None) -> DataFrame:
-    """images with a struct of all metrics and the hash; a picture that can't be read has nulls and an error."""
-    names = [*METRICS, *(f"{k}_score" for k in METRICS)]
-    schema = ", ".join([*(f"{n}: double" for n in names), "phash: string", "mask_area_pct: double", "error: string"])
+#: Pixels of pictures of one size that are measured at once.
+AT_ONCE = 1 << 18
+
+
+def _measured(g: np.ndarray, mask: np.ndarray | None, only: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """What METRICS and phash() say of each of many gray pictures of one size (number, height, width); a mask for each, or none."""
+    n, size = len(g), g.shape[1] * g.shape[2]
+    x, out, use = g.reshape(n, size), {}, None
+    if mask is not None:
+        use = (mask > MASK_OVER).reshape(n, size)
+        use = use | (use.sum(1) < MASK_LEAST)[:, None]
+    count = np.full(n, size) if use is None else use.sum(1)
+
+    def spread(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = (v if use is None else v * use).sum(1) / count
+        away = v - mean[:, None]
+        return mean, (away * away if use is None else away * away * use).sum(1) / count
+
+    if {"sharpness", "edge_strength"} & set(only):
+        p = np.pad(g.astype(np.float64), ((0, 0), (1, 1), (1, 1)), mode="reflect" if min(g.shape[1:]) > 1 else "edge")
+        v = lambda i, j: p[:, 1 + i : 1 + i + g.shape[1], 1 + j : 1 + j + g.shape[2]]
+        if "sharpness" in only:
+            laplace = v(-1, 0) + v(1, 0) + v(0, -1) + v(0, 1) - 4 * v(0, 0)
+            out["sharpness"] = np.minimum(spread(laplace.reshape(n, size))[1] / SHARPNESS_SCALE, 1.0)
+        if "edge_strength" in only:
+            across = v(-1, 1) + 2 * v(0, 1) + v(1, 1) - v(-1, -1) - 2 * v(0, -1) - v(1, -1)
+            down = v(1, -1) + 2 * v(1, 0) + v(1, 1) - v(-1, -1) - 2 * v(-1, 0) - v(-1, 1)
+            out["edge_strength"] = np.minimum(np.hypot(across, down).reshape(n, size).mean(1) / EDGE_SCALE, 1.0)
+    if {"contrast", "brightness"} & set(only):
+        mean, var = spread(x.astype(np.float64))
+        out["brightness"] = mean / 255.0
+        out["contrast"] = np.clip(np.sqrt(var) / (mean + 1e-7), 0.0, MAX_CONTRAST) / MAX_CONTRAST
+    if "entropy" in only:
+        at = x + 256 * np.arange(n)[:, None]
+        levels = np.bincount(at.ravel() if use is None else at[use], minlength=256 * n).reshape(n, 256) / count[:, None]
+        out["entropy"] = np.clip(-(levels * np.log2(np.where(levels > 0, levels, 1.0))).sum(1) / 8.0, 0.0, 1.0)
+    if "phash" in only:
+        out["phash"] = _hashes(g)
+    if "mask_area_pct" in only and mask is not None:
+        out["mask_area_pct"] = 100.0 * (mask > MASK_OVER).reshape(n, size).sum(1) / size
+    return out
+
+
+def measure(images: DataFrame, image: str = "image", mask: str | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """images with a struct of all metrics and the hash, or those asked for; a picture that can't be read has nulls and an error.
+
+    Pictures of one size are measured together."""
+    only = (*METRICS, "phash", "mask_area_pct") if only is None else only
+    scored = [k for k in METRICS if k in only]
+    kinds = {k: "double" for k in scored} | {f"{k}_score": "double" for k in scored} | {k: t for k, t in (("phash", "string"), ("mask_area_pct", "double")) if k in only} | {"error": "string"}
 
-    @F.pandas_udf(f"struct<{schema}>")
+    @F.pandas_udf("struct<" + ", ".join(f"{k}: {t}" for k, t in kinds.items()) + ">")
     def run(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series, m: pd.Series) -> pd.DataFrame:
-        rows = []
-        for d, hh, ww, cc, mm in zip(data, h, w, c, m, strict=True):
-            row = dict.fromkeys([*names, "phash", "mask_area_pct", "error"])
+        out = {k: np.full(len(data), None, object) for k in kinds}
+        groups: dict[tuple, list[tuple[int, np.ndarray, np.ndarray | None]]] = {}
+
+        def work(rows: list[tuple[int, np.ndarray, np.ndarray | None]]) -> None:
+            at = [i for i, _, _ in rows]
+            masks = None if rows[0][2] is None else np.stack([x for _, _, x in rows])
+            for k, v in _measured(np.stack([g for _, g, _ in rows]), masks, only).items():
+                if k in out:
+                    out[k][at] = v
+                if k in scored:
+                    out[f"{k}_score"][at] = 100 * v
+            rows.clear()
+
+        for i, (d, hh, ww, cc, mm) in enumerate(zip(data, h, w, c, m, strict=True)):
             try:
                 g = gray(pixels(d, int(hh), int(ww), int(cc)))
+                if not g.size:
+                    raise ValueError("a picture without pixels")
                 own = None if mm is None else np.frombuffer(mm, np.uint8).reshape(g.shape)
-                for k, f in METRICS.items():
-                    row[k] = f(g, own)
-                    row[f"{k}_score"] = 100 * row[k]
-                row["phash"] = phash(g)
-                row["mask_area_pct"] = None if own is None else mask_area(own)
             except (ValueError, TypeError) as e:
-                row["error"] = str(e)
-            rows.append(row)
-        return pd.DataFrame(rows, columns=[*names, "phash", "mask_area_pct", "error"])
+                out["error"][i] = str(e)
+                continue
+            rows = groups.setdefault((g.shape, own is None), [])
+            rows.append((i, g, own))
+            if len(rows) * g.size >= AT_ONCE:
+                work(rows)
+        for rows in groups.values():
+            if rows:
+                work(rows)
+        return pd.DataFrame({k: v if kinds[k] == "string" else v.astype(float) for k, v in out.items()})
 
     own = F.col(mask) if mask else F.lit(None).cast("binary")
     return images.withColumn("measured", run(F.col(f"{image}.data"), F.col(f"{image}.height"), F.col(f"{image}.width"), F.col(f"{image}.nChannels"), own))

@@ -119,5 +119,5 @@ _MASKED = "SELECT p_partkey, (p_partkey * 7 + r * 13 + c * 29 + r * c) % 256 AS
 @query("mask_area_pct", f"WITH p AS ({_MASKED}) SELECT p_partkey, {near_sql('100.0::DOUBLE * count(*) FILTER (v > 128) / count(*)')} AS pct FROM p GROUP BY 1")
 def mask_area_pct(spark, d):
     """Percent of each picture's pixels that its mask (here the picture itself) covers."""
-    t = pixels.measure(_pictures(spark, d).withColumn("mask", F.col("image.data")), mask="mask")
+    t = pixels.measure(_pictures(spark, d).withColumn("mask", F.col("image.data")), mask="mask", only=("mask_area_pct",))
     return t.select("p_partkey", near(F.col("measured.mask_area_pct")).alias("pct"))

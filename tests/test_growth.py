@@ -1,10 +1,12 @@
 """What larger tables showed: file names that repeat, and work that grew faster than the tables."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
-from framelake.plans import QUERIES, SQL
+from framelake.functions import pixels as P
+from framelake.plans import QUERIES, SQL, tables
 from framelake.plans.adapters import adapted
 from oracle import DATA, TABLES, same
 
@@ -41,3 +43,28 @@ def test_equal_names_stand_by_number(spark, repeated_names):
         like = [False] + [None not in p and abs(p[0] - p[1]) <= 20 for p in zip(b, b[1:])] + [False]
         kept += [str(Row(filename=r.filename, kept=not (like[i] and not q[i] > q[i - 1] or like[i + 1] and q[i + 1] > q[i]))) for i, r in enumerate(rows)]
     assert want == sorted(kept)
+
+
+def test_pictures_measured_together_as_one_by_one(spark):
+    rng, rows = np.random.default_rng(5), []
+    for i, (h, w, c) in enumerate([(16, 16, 1), (9, 20, 3), (1, 7, 1), (16, 16, 1), (9, 20, 3), (40, 33, 1)] * 6):
+        data = rng.integers(0, 256, h * w * c, dtype=np.uint8).tobytes()
+        mask = [None, rng.integers(0, 256, h * w, dtype=np.uint8).tobytes(), bytes(h * w), b"short"][i % 4]
+        rows.append((i, (h, w, c, data), mask))
+    schema = "i int, image struct<height: int, width: int, nChannels: int, data: binary>, mask binary"
+    t = spark.createDataFrame([*rows, (99, (16, 16, 1, b"few"), None), (100, (0, 4, 1, b""), None)], schema)
+    got = {r.i: r.measured for r in P.measure(t, mask="mask").collect()}
+    assert all(got[i].error and got[i].sharpness is None and got[i].phash is None for i in (99, 100))
+    for i, (h, w, c, data), mask in rows:
+        if mask == b"short":
+            assert got[i].error and got[i].brightness is None
+            continue
+        g, m = P.gray(P.pixels(data, h, w, c)), None if mask is None else np.frombuffer(mask, np.uint8).reshape(h, w)
+        for k, f in P.METRICS.items():
+            assert got[i][k] == pytest.approx(f(g, m), abs=1e-12) and got[i][f"{k}_score"] == 100 * got[i][k]
+        assert got[i].phash == P.phash(g) and got[i].mask_area_pct == (None if m is None else P.mask_area(m)) and got[i].error is None
+    assert P.measure(t, only=("phash",)).select("measured.*").columns == ["phash", "error"]
+
+
+def test_few_bytes_of_keys_are_many_tasks(spark):
+    assert tables._pictures(spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
