@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import Row
 
 from framelake.functions import pixels as P
+from framelake.operators import evaluation as E
+from framelake.operators import matching as M
 from framelake.plans import QUERIES, SQL, tables
 from framelake.plans.adapters import adapted
 from oracle import DATA, TABLES, same
@@ -68,3 +70,38 @@ def test_pictures_measured_together_as_one_by_one(spark):
 
 def test_few_bytes_of_keys_are_many_tasks(spark):
     assert tables._pictures(spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_precision_in_bounded_cuts(spark, monkeypatch):
+    want = sorted(map(str, QUERIES["average_precision"](spark, DATA).collect()))
+    sizes, keep = [], E.keep
+
+    def seen(t):
+        out = keep(t)
+        if "cut" in out.columns:
+            sizes.append(max(r["count"] for r in out.groupBy("cut").count().collect()))
+        return out
+
+    monkeypatch.setattr(E, "CUT", 200)
+    monkeypatch.setattr(E, "keep", seen)
+    assert sorted(map(str, QUERIES["average_precision"](spark, DATA).collect())) == want
+    assert sizes and max(sizes) <= 2 * 200
+
+
+def test_overlap_of_tracks_in_blocks(spark, monkeypatch):
+    """Many blocks, a task for two of them; a track twice in a frame and boxes with gaps count as in a join of rows."""
+    monkeypatch.setattr(M, "BLOCK", 4)
+    same(QUERIES["track_overlap"](spark, DATA), SQL["track_overlap"])
+    rows = [(1, 0, 5, 0.0, 0.0, 4.0, 4.0), (1, 0, 5, 1.0, 0.0, 4.0, 4.0), (1, 0, 6, 2.0, 1.0, 4.0, 4.0), (1, 1, 6, None, 0.0, 2.0, 2.0), (1, 1, 7, 1.0, 1.0, 2.0, None), (1, 1, 8, 0.0, 1.0, 0.0, 0.0), (1, 1, 9, 5.0, 5.0, 0.0, 0.0), (1, 2, 6, 0.0, 0.0, 2.0, 2.0)]
+    t = spark.createDataFrame(rows, "video_id int, frame int, track_id int, x double, y double, w double, h double")
+    t.createOrReplaceTempView("gappy")
+    want = spark.sql("""SELECT video_id, a, b, coalesce(try_divide(sum(i), sum(s - i)), 0.0) AS iou FROM (SELECT a.video_id, a.track_id AS a, b.track_id AS b, a.w * a.h + b.w * b.h AS s,
+        greatest(0.0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0.0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i
+        FROM gappy a JOIN gappy b ON a.video_id = b.video_id AND a.frame = b.frame AND a.track_id < b.track_id) GROUP BY ALL""")
+    assert sorted(M.overlap_over_time(t).collect()) == sorted(want.collect())
+
+
+def test_tracks_suppressed_in_rounds(spark):
+    t = adapted(spark, "/root/testdata/sf0.01", "tracks")
+    one, some = (sorted(map(tuple, M.suppress_tracks(t, 0.1, most=n).select("video_id", "track_id", "kept").collect())) for n in (1000, 2))
+    assert one == some and {k for _, _, k in one} == {True, False}
