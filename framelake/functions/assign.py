@@ -17,8 +17,13 @@ def assign(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cost = -(score.T if turned else score)
     n, m = cost.shape
     # Every row first takes its best column where that is free; only the others look for a path.
+    best = cost.argmin(1)
+    if len(set(best.tolist())) == n:
+        rows = np.arange(n)
+        order = np.argsort(best)
+        return (best[order], rows[order]) if turned else (rows, best)
     u, v, owner, todo = cost.min(1), np.zeros(m), np.full(m, -1), []
-    for i, col in enumerate(cost.argmin(1).tolist()):
+    for i, col in enumerate(best.tolist()):
         if owner[col] < 0:
             owner[col] = i
         else:

@@ -105,3 +105,12 @@ def test_tracks_suppressed_in_rounds(spark):
     t = adapted(spark, "/root/testdata/sf0.01", "tracks")
     one, some = (sorted(map(tuple, M.suppress_tracks(t, 0.1, most=n).select("video_id", "track_id", "kept").collect())) for n in (1000, 2))
     assert one == some and {k for _, _, k in one} == {True, False}
+
+
+def test_an_image_leaves_its_matching_as_one_row(spark, monkeypatch):
+    """And cgf1 matches once."""
+    calls, per_group = [], E.per_group
+    monkeypatch.setattr(E, "per_group", lambda *a: calls.append(a) or per_group(*a))
+    df = QUERIES["cgf1"](spark, DATA)
+    assert len(calls) == 1 and "ious" in calls[0][3]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
