@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import Row
 
 from framelake.functions import pixels as P
+from framelake.functions.assign import assign, iou_matrix
 from framelake.operators import evaluation as E
+from framelake.operators import frames as FR
 from framelake.operators import matching as M
+from framelake.operators import training
 from framelake.plans import QUERIES, SQL, tables
 from framelake.plans.adapters import adapted
 from oracle import DATA, TABLES, same
@@ -114,3 +117,80 @@ def test_an_image_leaves_its_matching_as_one_row(spark, monkeypatch):
     df = QUERIES["cgf1"](spark, DATA)
     assert len(calls) == 1 and "ious" in calls[0][3]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def crowded(seed, n=40, frames=5):
+    """Boxes that all overlap, most of them more than one other well; and some of which there is only one side."""
+    rng = np.random.default_rng(seed)
+    rows = lambda t, i, at: (int(seed), int(t), int(i), int(i) % 3, *map(float, at), float(at[0]) + 40, float(at[1]) + 30)
+    at = rng.integers(0, 25, (n, 2)) + 0.0
+    gt = [rows(t, i, at[i] + rng.random(2) * 9) for t in range(frames) for i in range(n) if rng.random() < 0.8]
+    dt = [rows(t, i, at[i] + rng.random(2) * 9) for t in range(frames) for i in range(n + 10 * (t % 2)) if i < n and rng.random() < (0.6, 0.95)[t % 2]]
+    return gt, dt
+
+
+def crowds(spark):
+    sides = [crowded(s) for s in (0, 1)]
+    make = lambda k, name: spark.createDataFrame([r for s in sides for r in s[k]], f"video_id int, t int, {name} int, category_id int, x1 double, y1 double, x2 double, y2 double")
+    return sides, make(0, "gt_id"), make(1, "trk_id")
+
+
+@pytest.mark.parametrize("top", [1, 3, 1000])
+def test_crowded_frames_like_whole_matrices(spark, monkeypatch, top):
+    """However few partners a box hands on at first, and in however many blocks, each frame's assignment is the best of all."""
+    sides, gt, dt = crowds(spark)
+    monkeypatch.setattr(FR, "TOP", top)
+    monkeypatch.setattr(FR, "CELLS", 300)
+    got = {}
+    for r in FR.matches(gt, dt, ["video_id"]).collect():
+        got.setdefault((r.video_id, r.t), {})[r.gt_id, r.trk_id] = (r.sim, r.n_g, r.n_d)
+    for v, (g, d) in enumerate(sides):
+        n = 40
+        both, n_g, n_d, sims = np.zeros((n, n)), *(np.bincount([r[2] for r in x], minlength=n) for x in (g, d)), {}
+        for t in range(5):
+            a, b = ([r for r in x if r[1] == t] for x in (g, d))
+            sim = iou_matrix(*(np.array([r[4:] for r in x]) for x in (a, b)))
+            i, j = ([r[2] for r in x] for x in (a, b))
+            both[np.ix_(i, j)] += sim / (sim.sum(1)[:, None] + sim.sum(0) - sim)
+            sims[t] = i, j, sim
+        for t, (i, j, sim) in sims.items():
+            score = (both / (n_g[:, None] + n_d - both))[np.ix_(i, j)] * sim
+            mine = got[v, t]
+            total = sum(score[i.index(x), j.index(y)] for x, y in mine)
+            assert total == pytest.approx(score[assign(score)].sum()) and len({x for x, _ in mine}) == len({y for _, y in mine}) == len(mine)
+            assert all(m == (pytest.approx(sim[i.index(x), j.index(y)]), n_g[x], n_d[y]) for (x, y), m in mine.items())
+
+
+def test_nearest_of_crowded_frames_like_whole_matrices(spark):
+    sides, gt, dt = crowds(spark)
+    got = {}
+    for r in FR.nearest_matches(gt, dt, ["video_id"], 0.5).collect():
+        got.setdefault((r.video_id, r.t), []).append((r.gt_id, r.trk_id))
+    for v, (g, d) in enumerate(sides):
+        for t in range(5):
+            a, b = ({r[2]: r[4:] for r in x if r[1] == t} for x in (g, d))
+            sim = iou_matrix(*(np.array(list(x.values())) for x in (a, b)))
+            worth = np.where(sim >= 0.5, sim, 0)
+            i, j = list(a), list(b)
+            assert sum(worth[i.index(x), j.index(y)] for x, y in got[v, t]) == pytest.approx(worth[assign(worth)].sum())
+            assert all(worth[i.index(x), j.index(y)] > 0 for x, y in got[v, t]) and len({x for x, _ in got[v, t]}) == len({y for _, y in got[v, t]}) == len(got[v, t])
+
+
+@pytest.mark.parametrize("score", [E.track_counts, E.teta_counts, lambda gt, dt, keys: training.scored_tracks(gt, dt, gt.limit(0), gt.limit(0))])
+def test_no_row_a_pair_of_boxes(spark, monkeypatch, score):
+    """Of crowded frames neither what is written nor what leaves or reaches Python grows as their pairs."""
+    n, rng, schema = 150, np.random.default_rng(3), "video_id int, t int, category_id int, x1 double, y1 double, x2 double, y2 double"
+    at = rng.random((n, 2)) * 20
+    box = lambda t, i, d: (0, t, i, i % 2, *map(float, at[i] + t + d), *map(float, at[i] + t + d + 30))
+    gt, dt = (spark.createDataFrame([box(t, i, d) for t in range(3) for i in range(n)], schema.replace("t int", f"t int, {name} int")) for name, d in (("gt_id", 0.0), ("trk_id", 0.05)))
+    pairs, sizes = 3 * n * n, []
+    for module in (E, FR, training):
+        for name in ("keep", "per_group"):
+            if hasattr(module, name):
+                def seen(t, *a, f=getattr(module, name), **k):
+                    sizes.append(t.count())
+                    return f(t, *a, **k)
+
+                monkeypatch.setattr(module, name, seen)
+    score(gt, dt, ["video_id"]).collect()
+    assert sizes and max(sizes) < pairs / 10
