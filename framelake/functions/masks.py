@@ -46,7 +46,8 @@ def runs(on: Column) -> Column:
     cuts = F.when(F.size(on) > 1, cuts).otherwise(F.array().cast("array<int>"))
     first = F.when(F.get(on, F.lit(0)) == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
     ends = F.concat(first, cuts, F.array(F.size(on)))
-    return F.transform(ends, lambda e, i: F.when(i == 0, e).otherwise(e - F.get(ends, i - 1)))
+    # Side by side with the ends before; a lambda that reads `ends` would make it again for each of them.
+    return F.zip_with(ends, F.slice(F.concat(F.array(F.lit(0)), ends), F.lit(1), F.size(ends)), lambda e, b: e - b)
 
 
 def polygon_area(points: Column) -> Column:

@@ -83,7 +83,8 @@ u AS (SELECT p_partkey, v, min(i) AS s, count(*) AS n FROM g GROUP BY p_partkey,
 w AS (SELECT p_partkey, sum(v) AS area FROM b GROUP BY 1) SELECT p_partkey, CASE WHEN first = 1 THEN '0,' || runs ELSE runs END AS runs, CAST(area AS BIGINT) AS area FROM f JOIN w USING (p_partkey)""")
 def mask_runs(spark, d):
     on = F.transform(F.sequence(F.lit(0), F.lit(69)), lambda i: ((F.col("p_partkey") * 7 + i * i) % 5 < 2).cast("int"))
-    t = table(spark, d, "part").select("p_partkey", on.alias("on"))
+    # A key of some bytes is much work: as many tasks as shuffles have.
+    t = table(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").select("p_partkey", on.alias("on"))
     return t.select("p_partkey", F.array_join(M.runs(F.col("on")), ",").alias("runs"), M.area(M.packed(F.col("on"))).alias("area"))
 
 
