@@ -62,8 +62,10 @@ def best_face_subject(candidates: DataFrame, faces: DataFrame, width: float, hei
     reference_centre takes x1 + x2 / 2 for a face's point, as results to match do; without it the point is the centre."""
     half = (lambda a, b: F.col(a) + F.col(b) / 2) if reference_centre else (lambda a, b: (F.col(a) + F.col(b)) / 2)
     points = faces.select("image_id", half("fx1", "fx2").alias("px"), half("fy1", "fy2").alias("py"), "det_score")
-    inside = F.when(B.holds(B.box(), F.col("px"), F.col("py")), F.col("det_score"))
-    scored = candidates.join(points, "image_id", "left").groupBy(*candidates.columns).agg(F.greatest(F.coalesce(F.max(inside), F.lit(0.0)), F.lit(0.0)).alias("face_score"))
+    # An image's faces come to its boxes as one row, so boxes are not grouped again.
+    points = points.groupBy("image_id").agg(F.collect_list(F.struct("px", "py", "det_score")).alias("__faces"))
+    inside = F.transform("__faces", lambda f: F.when(B.holds(B.box(), f["px"], f["py"]), f["det_score"]))
+    scored = candidates.join(points, "image_id", "left").withColumn("face_score", F.greatest(F.coalesce(F.array_max(inside), F.lit(0.0)), F.lit(0.0))).drop("__faces")
     return _best(scored, F.col("face_score"))
 
 
