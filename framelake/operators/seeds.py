@@ -144,19 +144,21 @@ def crop_plan(subjects: DataFrame, ratios: list[tuple[str, float]], padding: flo
     """The best crop for each subject (frame_w, frame_h, x, y, w, h): smallest area, then the ratio nearest the subject's.
 
     Crops that can't hold the subject drop out; a subject without any, or of no size, gives no row."""
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(r)).alias("r"), F.lit(i).alias("i")) for i, (n, r) in enumerate(ratios)]))
-    x, y, w, h, fw, fh, r = (F.col(c).cast("double") for c in ("x", "y", "w", "h", "frame_w", "frame_h", "ar.r"))
-    t = subjects.filter("w > 0 and h > 0").withColumn("ar", each)
+    x, y, w, h, fw, fh = (F.col(c).cast("double") for c in ("x", "y", "w", "h", "frame_w", "frame_h"))
     # A crop keeps its ratio, so each side alone says how large it is: as small as holds the subject, padded, but
     # no larger than the frame, and the frame's largest where the subject does not fit.
     grown = lambda least, most: F.least(F.greatest(F.least(least * padding, most), least), most)
-    t = t.withColumn("gw", grown(F.greatest(w, h * r), F.least(fw, fh * r))).withColumn("gh", grown(F.greatest(h, w / r), F.least(fh, fw / r)))
-    gw, gh = F.col("gw"), F.col("gh")
-    t = t.withColumn("cx", F.greatest(F.lit(0.0), F.least(x + w / 2 - gw / 2, fw - gw))).withColumn("cy", F.greatest(F.lit(0.0), F.least(y + h / 2 - gh / 2, fh - gh)))
-    cx, cy = F.col("cx"), F.col("cy")
-    t = t.filter((cx <= x) & (cy <= y) & (cx + gw >= x + w) & (cy + gh >= y + h))
-    whole = [cx.cast("int").alias("crop_x"), cy.cast("int").alias("crop_y"), gw.cast("int").alias("crop_w"), gh.cast("int").alias("crop_h")]
-    off = F.abs(F.try_divide(gw.cast("int"), gh.cast("int")) - w / h)
-    keys = [c for c in subjects.columns]
-    best = t.groupBy(*keys).agg(F.min_by(F.struct(F.col("ar.name").alias("ratio"), *whole), F.struct(gw * gh, off, F.col("ar.i"))).alias("c"))
-    return best.select(*keys, "c.*")
+    rs = [F.lit(float(r)) for _, r in ratios]
+    t = subjects.filter("w > 0 and h > 0")
+    # A subject's crops stand side by side in its row: nothing is repeated, grouped or shuffled.
+    t = t.withColumns({f"__g{c}{i}": v for i, r in enumerate(rs) for c, v in (("w", grown(F.greatest(w, h * r), F.least(fw, fh * r))), ("h", grown(F.greatest(h, w / r), F.least(fh, fw / r))))})
+    size = [(F.col(f"__gw{i}"), F.col(f"__gh{i}")) for i in range(len(rs))]
+    t = t.withColumns({f"__c{c}{i}": F.greatest(F.lit(0.0), F.least(at + own / 2 - g / 2, frame - g)) for i, (gw, gh) in enumerate(size) for c, at, own, g, frame in (("x", x, w, gw, fw), ("y", y, h, gh, fh))})
+    crops = []
+    for i, ((name, _), (gw, gh)) in enumerate(zip(ratios, size, strict=True)):
+        cx, cy = F.col(f"__cx{i}"), F.col(f"__cy{i}")
+        whole = [cx.cast("int").alias("crop_x"), cy.cast("int").alias("crop_y"), gw.cast("int").alias("crop_w"), gh.cast("int").alias("crop_h")]
+        order = [(gw * gh).alias("__area"), F.abs(F.try_divide(gw.cast("int"), gh.cast("int")) - w / h).alias("__off"), F.lit(i).alias("__i")]
+        crops.append(F.when((cx <= x) & (cy <= y) & (cx + gw >= x + w) & (cy + gh >= y + h), F.struct(*order, F.lit(name).alias("ratio"), *whole)))
+    # A generator, not a filter: a filter would be moved below and compute all crops a second time.
+    return t.select(*subjects.columns, F.inline(F.array_compact(F.array(F.array_min(F.array(*crops)))))).drop("__area", "__off", "__i")

@@ -4,13 +4,15 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from framelake.functions import pixels as P
+from framelake.functions import masks
 from framelake.functions.assign import assign, iou_matrix
 from framelake.operators import evaluation as E
 from framelake.operators import frames as FR
 from framelake.operators import matching as M
-from framelake.operators import training
+from framelake.operators import seeds, training
 from framelake.plans import QUERIES, SQL, tables
 from framelake.plans.adapters import adapted
 from oracle import DATA, TABLES, same
@@ -194,3 +196,23 @@ def test_no_row_a_pair_of_boxes(spark, monkeypatch, score):
                 monkeypatch.setattr(module, name, seen)
     score(gt, dt, ["video_id"]).collect()
     assert sizes and max(sizes) < pairs / 10
+
+
+def test_runs_of_long_masks_in_linear_time(spark):
+    """Ends are made a few times, not once for each run."""
+    on = [[i % 2 for i in range(6000)], [1] * 7, [0], [1, 0, 0], []]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(on)], "i int, on array<int>")
+    got = {r.i: r.runs for r in t.select("i", masks.runs(F.col("on")).alias("runs")).collect()}
+    assert got[0] == [1] * 6000 and [got[i] for i in (1, 2, 3)] == [[0, 7], [1], [0, 1, 2]]
+    assert str(t.select(masks.runs(F.col("on")))._jdf.queryExecution().analyzed()).count("transform(") == 0
+
+
+def test_mask_runs_in_many_tasks(spark):
+    assert QUERIES["mask_runs"](spark, DATA).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["crop_plan", "best_box_face"])
+def test_a_box_is_not_grouped_again(spark, name):
+    """Groups are those of an image at most; no group is a whole row."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "idx#" in line.split("Aggregate [", 1)[1].split("]", 1)[0]]
