@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from framelake.operators.numbering import numbered
 from framelake.session import drop, keep
 
-BLOCK = 2048
+#: Vectors of a block, and bytes of the blocks that a task holds of each of two sides.
+BLOCK, STRIPE = 2048, 64_000_000
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -45,16 +47,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([int(ids.min())]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["at", "ids", "x"])
 
 
-def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Which of the links (i, j) between n nodes to keep, so that what they connect stays connected: at most n - 1."""
-    label, kept = np.arange(n), np.zeros(len(i), bool)
-    while True:
-        a, b = label[i], label[j]
-        open_ = np.flatnonzero(a != b)
-        if not len(open_):
-            return kept
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of nodes after the links (i, j), and which of the links to keep, so that what they connect stays connected; each joins two labels."""
+    n, kept = len(label), np.zeros(len(i), bool)
+    open_ = np.flatnonzero(label[i] != label[j])
+    while len(open_):
+        a, b = label[i[open_]], label[j[open_]]
         # Each part takes its link to the least other part; a link between two parts joins them.
-        high, low = np.maximum(a[open_], b[open_]), np.minimum(a[open_], b[open_])
+        high, low = np.maximum(a, b), np.minimum(a, b)
         order = np.lexsort((low, high))
         first = order[np.concatenate([[True], np.diff(high[order]) != 0])]
         kept[open_[first]] = True
@@ -63,36 +63,57 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         while not (label_of[label_of] == label_of).all():
             label_of = label_of[label_of]
         label = label_of[label]
+        open_ = open_[label[i[open_]] != label[j[open_]]]
+    return label, kept
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (i, j) between n nodes to keep, so that what they connect stays connected: at most n - 1."""
+    return _joined(np.arange(n), i, j)[1]
 
 
 def similar(vectors: DataFrame, least: float, id_col: str, vector_col: str, forest: bool = False) -> DataFrame:
-    """Pairs a < b of vectors with a cosine of at least `least`, block by block; of a pair of blocks, with `forest`, only so many
-    as keep connected what is (fewer than it has vectors).
+    """Pairs a < b of vectors with a cosine of at least `least`, block by block; with `forest`, of two stripes only so many as keep
+    connected what is (fewer than they have vectors).
 
-    A row of the block table holds thousands of vectors, so pairs of blocks, not of vectors, are what is shuffled."""
+    A row of the block table holds thousands of vectors. Blocks are dealt into stripes of at most STRIPE bytes, and a task meets all
+    blocks of two stripes: it reads no more than those, and a block is moved once a stripe, not once a block."""
     spark = vectors.sparkSession
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
     spark.conf.set(batch, str(BLOCK))
     table = keep(vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).dropna().mapInArrow(_blocks, "at long, ids binary, x binary"))
-    left, right = table.toDF("at", "ids", "x"), table.toDF("at2", "ids2", "x2")
+    spark.conf.set(batch, before)
+    blocks, size = table.agg(F.count("*"), F.coalesce(F.sum(F.length("x")), F.lit(0))).first()
+    # At least two tasks a core, where there are so many blocks.
+    stripes = max(1, min(blocks, max(math.ceil(size / STRIPE), math.ceil(2 * spark.sparkContext.defaultParallelism**0.5))))
+    dealt = numbered(table, ["at"], "n", 0).withColumn("own", (F.col("n") % stripes).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
+    # Pairs of stripes, low <= high, by number: a task each.
+    dealt = dealt.select((high * (high + 1) / 2 + low).cast("int").alias("pair"), (F.col("own") > F.col("other")).alias("right"), (low == high).alias("same"), "n", "ids", "x")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, label = [], np.zeros(0, np.int64)
         for batch in batches:
             for r in batch.to_pylist():
-                a, b = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids2"], np.int64)
-                cos = np.frombuffer(r["x"]).reshape(len(a), -1) @ np.frombuffer(r["x2"]).reshape(len(b), -1).T
-                i, j = np.nonzero(cos >= least)
-                on = a[i] < b[j] if r["at"] == r["at2"] else a[i] != b[j]
-                if forest:
-                    names, ends = np.unique(np.concatenate([a[i[on]], b[j[on]]]), return_inverse=True)
-                    on = np.flatnonzero(on)[_forest(ends[: len(ends) // 2], ends[len(ends) // 2 :], len(names))]
-                low, high = np.minimum(a[i[on]], b[j[on]]), np.maximum(a[i[on]], b[j[on]])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(cos[i[on], j[on]])], names=["a", "b", "cosine"])
-
-    spark.conf.set(batch, "4")  # a row holds two blocks
-    # Every block meets itself and those after it.
-    pairs = keep(left.join(right, left["at"] <= right["at2"]).repartition(max(2, spark.sparkContext.defaultParallelism), "at", "at2").mapInArrow(meet, "a long, b long, cosine double"))
+                b, y, right = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]), r["right"]
+                at, label = len(label), np.concatenate([label, np.arange(len(label), len(label) + len(b))])
+                mine = (b, y.reshape(len(b), -1), at)
+                if not right:
+                    left.append(mine)
+                # The left stripe meets the right one; a stripe that meets itself, each block with those up to it.
+                for a, x, start in left if right or r["same"] else []:
+                    cos = x @ mine[1].T
+                    i, j = np.nonzero(cos >= least)
+                    on = a[i] < b[j] if start == at else a[i] != b[j]
+                    i, j = i[on], j[on]
+                    if forest:
+                        label, some = _joined(label, i + start, j + at)
+                        i, j = i[some], j[some]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j])), pa.array(cos[i, j])], names=["a", "b", "cosine"])
+
+    spark.conf.set(batch, "4")  # a row holds a block
+    pairs = keep(dealt.repartitionById(stripes * (stripes + 1) // 2, "pair").sortWithinPartitions("right", "n").drop("pair", "n").mapInArrow(meet, "a long, b long, cosine double"))
     spark.conf.set(batch, before)
     drop(table)
     return pairs

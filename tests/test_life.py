@@ -165,6 +165,18 @@ def test_equal_faces_and_blocks(spark, monkeypatch):
     assert sorted(map(min, groups.values())) == [0, 1, 2, 3, 4, 100] and all(len(g) in (6, 7) for g in groups.values())
 
 
+def test_a_block_is_moved_once_a_stripe(spark, monkeypatch):
+    """Not once a block; and of two stripes no more links are left than they have faces."""
+    monkeypatch.setattr(graph, "BLOCK", 4)
+    rng = random.Random(7)
+    rows = [(i, [1.0 + rng.random() / 9, rng.random() / 9]) for i in range(80)]
+    every = graph.similar(spark.createDataFrame(rows, "id int, v array<double>"), 0.9, "id", "v").select("a", "b").collect()
+    assert sorted(map(tuple, every)) == [(a, b) for a in range(80) for b in range(a + 1, 80)]
+    forest = graph.similar(spark.createDataFrame(rows, "id int, v array<double>"), 0.9, "id", "v", forest=True)
+    stripes = math.ceil(2 * spark.sparkContext.defaultParallelism**0.5)
+    assert 79 <= forest.count() <= stripes**2 * 80 / stripes
+
+
 def test_turned_boxes_scale_and_stay_inside(spark):
     from pyspark.sql import functions as F
 
