@@ -1,24 +1,30 @@
 """Masks of any size as rows of runs: key, x, lo, hi, the rows lo..hi-1 of one column that are on.
 
 Runs of a mask in one column neither overlap nor touch. Boolean operations, dilation, erosion, closing and boundaries are
-one sweep along each column, a window over the edges of runs; nothing is decoded to pixels. All rows of a mask are kept in
-one partition (repartition by key), so that further steps on the same masks don't shuffle. Connected parts come from the
-overlaps of runs in neighbouring columns, a mask at a time on Arrow batches. A mask's runs are at most half its pixels.
+sweeps along columns over the edges of runs, filling too; nothing is decoded to pixels. Masks are dealt and sorted by key once
+a call, and a task works on one Arrow batch of whole masks at a time, however many steps the call has. Connected parts come from
+the overlaps of runs in neighbouring columns. A mask's runs are at most half its pixels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.functions import sweeps as S
 from framelake.functions.groups import Arrays, per_group
 from framelake.functions.pixels import linked
 from framelake.session import keep
 
 Element = dict[int, int]
+#: Pairs of masks that are unpacked at a time.
+PAIRS = 64
 
 
 def square(radius: int) -> Element:
@@ -33,21 +39,51 @@ def ellipse(size: int) -> Element:
     return {x: max(y for y, w in half.items() if abs(x) <= w) for x in range(-r, r + 1)}
 
 
-def swept(layers: list[DataFrame], keep: Callable[[list[Column], Column], Column], key: str = "mask_id") -> DataFrame:
+def _by_masks(layers: list[DataFrame], fn: Callable[[list[S.Runs], int], tuple[np.ndarray, list]], key: str, out: str = "x int, lo int, hi int") -> DataFrame:
+    """fn's rows (numbers of masks, other columns) for batches of whole masks: of each layer the runs, and how many masks.
+
+    Masks are dealt and sorted by key alone, as rows of numbers; a batch, not a partition, is what a task works on."""
+    rows = reduce(DataFrame.unionByName, [t.select(key, *[F.col(c).cast("int").alias(c) for c in ("x", "lo", "hi")], F.lit(i).alias("layer")) for i, t in enumerate(layers)])
+    schema, many = f"`{key}` {dict(rows.dtypes)[key]}, {out}", len(layers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last mask, as far as it came
+
+        def work(t: pa.Table, number: np.ndarray) -> pa.RecordBatch:
+            x, lo, hi, layer = (t.column(c).to_numpy().astype(np.int64) for c in ("x", "lo", "hi", "layer"))
+            every = S.Runs(number, x, lo, hi)
+            m, columns = fn([S.some(every, layer == i) for i in range(many)], int(number[-1]) + 1)
+            first = np.searchsorted(number, m)
+            keys = t.column(key).combine_chunks().take(pa.array(first))
+            kinds = [pa.int32() if k.strip().endswith(" int") else None for k in out.split(",")]
+            return pa.RecordBatch.from_arrays([keys, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))], names=[key, *(k.split()[0] for k in out.split(","))])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, batch])
+            k = t.column(key).combine_chunks()
+            one, two = k.slice(1), k.slice(0, len(k) - 1)
+            unlike = pc.fill_null(pc.not_equal(one, two), True).to_numpy(zero_copy_only=False) & ~pc.and_(pc.is_null(one), pc.is_null(two)).to_numpy(zero_copy_only=False)
+            number = np.concatenate([[0], np.cumsum(unlike)]).astype(np.int64)
+            cut = int(np.searchsorted(number, number[-1]))
+            if cut:
+                yield work(t.slice(0, cut), number[:cut])
+            held = t.slice(cut).to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield work(t, np.zeros(t.num_rows, np.int64))
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _numbers(r: S.Runs) -> tuple[np.ndarray, list]:
+    return r.m, [r.x, r.lo, r.hi]
+
+
+def swept(layers: list[DataFrame], keep: Callable[[list[np.ndarray], np.ndarray], np.ndarray], key: str = "mask_id") -> DataFrame:
     """Runs where keep(which layers are on, x) holds. Runs of a layer may overlap; those of the result don't and don't touch."""
-    lanes = [f"__d{i}" for i in range(len(layers))]
-    edge = lambda i, y, d: F.struct(F.col(y).cast("int").alias("y"), *[F.lit(d if j == i else 0).alias(c) for j, c in enumerate(lanes)])
-    parts = [t.select(key, "x", F.explode(F.array(edge(i, "lo", 1), edge(i, "hi", -1))).alias("e")).select(key, "x", "e.*") for i, t in enumerate(layers)]
-    edges = reduce(DataFrame.unionByName, parts).repartition(key)
-    order = Window.partitionBy(key, "x").orderBy("y")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    on = [F.sum(c).over(upto).alias(c) for c in lanes]
-    rows = edges.select(key, "x", F.col("y").alias("lo"), F.lead("y").over(order).alias("hi"), *on)
-    rows = rows.filter((F.col("lo") < F.col("hi")) & keep([F.col(c) > 0 for c in lanes], F.col("x"))).select(key, "x", "lo", "hi")
-    order = Window.partitionBy(key, "x").orderBy("lo")
-    rows = rows.withColumn("__new", F.when(F.lag("hi").over(order) == F.col("lo"), 0).otherwise(1))
-    rows = rows.withColumn("__part", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "x", "__part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__part")
+    return _by_masks(layers, lambda r, n: _numbers(S.swept(r, keep)), key)
 
 
 def both(a: DataFrame, b: DataFrame, key: str = "mask_id") -> DataFrame:
@@ -94,68 +130,68 @@ def cropped(runs: DataFrame, x: int, y: int, width: int, height: int) -> DataFra
 
 
 def semantic(runs: DataFrame, group: DataFrame, key: str = "mask_id", by: str = "category_id") -> DataFrame:
-    """Runs (by, x, lo, hi) of all masks of a group (key, by) together."""
-    return swept([runs.join(group.select(key, by), key)], lambda on, x: on[0], by)
-
-
-def _grown(runs: DataFrame, element: Element) -> DataFrame:
-    offsets = F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(h).alias("h")) for x, h in element.items()])
-    t = runs.withColumn("__o", F.explode(offsets))
-    return t.withColumns({"x": F.col("x") + F.col("__o.dx"), "lo": F.col("lo") - F.col("__o.h"), "hi": F.col("hi") + F.col("__o.h")}).drop("__o")
+    """Runs (by, x, lo, hi) of all masks of a group (key, by) together. A group can have any number of masks, so its columns are dealt apart."""
+    order = Window.partitionBy(by, "x").orderBy("lo")
+    t = runs.join(group.select(key, by), key).select(by, "x", "lo", "hi")
+    t = t.withColumn("__reach", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    t = t.withColumn("__part", F.sum(F.when(F.col("lo") <= F.col("__reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return t.groupBy(by, "x", "__part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__part")
 
 
 def dilated(runs: DataFrame, element: Element, width: int, height: int, key: str = "mask_id") -> DataFrame:
-    return swept([clipped(_grown(runs, element), width, height)], lambda on, x: on[0], key)
-
-
-def around(runs: DataFrame, margin: int, width: int, height: int, key: str = "mask_id") -> DataFrame:
-    """Each mask's box, grown by a margin and cut to the frame, as runs."""
-    box = measured(runs, key)
-    x = F.explode(F.sequence(F.greatest(F.col("x1") - margin, F.lit(0)), F.least(F.col("x2") - 1 + margin, F.lit(width - 1))))
-    return box.select(key, x.alias("x"), F.greatest(F.col("y1") - margin, F.lit(0)).alias("lo"), F.least(F.col("y2") + margin, F.lit(height)).alias("hi"))
+    return _by_masks([runs], lambda r, n: _numbers(S.dilated(r[0], element, width, height)), key)
 
 
 def eroded(runs: DataFrame, element: Element, width: int, height: int, key: str = "mask_id") -> DataFrame:
     """What stays when the off pixels grow; beyond the frame nothing grows."""
-    reach = max(max(element), max(element.values()))
-    frame = around(runs, reach, width, height, key)
-    return minus(runs, _grown(minus(frame, runs, key), element), key)
+    return _by_masks([runs], lambda r, n: _numbers(S.eroded(r[0], element, width, height)), key)
 
 
 def closed(runs: DataFrame, element: Element, width: int, height: int, key: str = "mask_id") -> DataFrame:
-    return eroded(dilated(runs, element, width, height, key), element, width, height, key)
+    return _by_masks([runs], lambda r, n: _numbers(S.closed(r[0], element, width, height)), key)
 
 
 def boundary(runs: DataFrame, width: int, height: int, key: str = "mask_id") -> DataFrame:
     """Pixels that differ from the one to the east, south or south-east; in the last column or row only along it."""
-    frame = around(runs, 1, width, height - 1, key)
-    layers = [runs, *(shifted(runs, -i, -j) for i, j in ((1, 0), (0, 1), (1, 1))), frame]
-
-    def differs(on: list[Column], x: Column) -> Column:
-        own, east, south, corner, above = on
-        inner = x < width - 1
-        return (inner & (own != east)) | (above & (own != south)) | (inner & above & (own != corner))
-
-    return clipped(swept(layers, differs, key), width, height)
+    return _by_masks([runs], lambda r, n: _numbers(S.boundary(r[0], width, height)), key)
 
 
 def boundary_scores(pairs: DataFrame, truth: DataFrame, found: DataFrame, radius: int, width: int, height: int) -> DataFrame:
-    """pairs (gt_id, dt_id) with f: the harmonic mean of the shares of each boundary that is within a square of the other."""
-    sides = []
-    for name, t in (("gt_id", truth), ("dt_id", found)):
-        b = boundary(t, width, height)
-        # Each boundary is swept once; its pairs read what was written.
-        mine = keep(pairs.select("gt_id", "dt_id").join(b.withColumnRenamed("mask_id", name), name).select(F.struct("gt_id", "dt_id").alias("pair"), "x", "lo", "hi"))
-        sides.append((mine, dilated(mine, square(radius), width, height, "pair")))
-    out = pairs.withColumn("pair", F.struct("gt_id", "dt_id"))
-    for name, (own, _), (_, wide) in (("gt", *sides), ("dt", *reversed(sides))):
-        met = measured(both(own, wide, "pair"), "pair").select("pair", F.col("area").alias(f"{name}_met"))
-        out = out.join(measured(own, "pair").select("pair", F.col("area").alias(f"{name}_n")), "pair", "left").join(met, "pair", "left")
-    gn, dn, gm, dm = (F.coalesce(F.col(c), F.lit(0)) for c in ("gt_n", "dt_n", "gt_met", "dt_met"))
+    """pairs (gt_id, dt_id) with f: the harmonic mean of the shares of each boundary that is within a square of the other.
+
+    A mask's boundary, and what is near it, are made once and are one row; pairs bring those rows together, not their runs."""
+    element = square(radius)
+
+    def edges(r: list[S.Runs], n: int) -> tuple[np.ndarray, list]:
+        own = S.boundary(r[0], width, height)
+        return np.arange(n), [S.areas(own, n), S.packed(own, n), S.packed(S.dilated(own, element, width, height), n)]
+
+    def made(t: DataFrame) -> DataFrame:
+        return keep(_by_masks([t], edges, "mask_id", "n long, own binary, wide binary"))
+
+    gt = made(truth)
+    dt = gt if found is truth else made(found)
+    t = pairs
+    for side, b in (("gt", gt), ("dt", dt)):
+        t = t.join(b.toDF(f"{side}_id", *(f"__{side}_{c}" for c in ("n", "own", "wide"))), f"{side}_id", "left")
+    t = t.select(*pairs.columns, *(f"__{side}_{c}" for c in ("n", "own", "wide") for side in ("gt", "dt")))
+    plain = [*pairs.columns, "__gt_n", "__dt_n"]
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS):
+                batch = whole.slice(at, PAIRS)
+                masks = [S.unpacked(batch.column(c).to_pylist()) for c in ("__gt_own", "__dt_wide", "__dt_own", "__gt_wide")]
+                counts = [S.areas(S.both(a, b), batch.num_rows) for a, b in (masks[:2], masks[2:])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), *map(pa.array, counts)], names=[*plain, "__gt_met", "__dt_met"])
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in t.select(*plain).dtypes)
+    out = t.mapInArrow(met, f"{schema}, __gt_met long, __dt_met long")
+    gn, dn, gm, dm = (F.coalesce(F.col(f"__{c}"), F.lit(0)) for c in ("gt_n", "dt_n", "gt_met", "dt_met"))
     precision = F.when(dn > 0, F.when(gn > 0, dm / dn).otherwise(0.0)).otherwise(1.0)
     recall = F.when(gn > 0, F.when(dn > 0, gm / gn).otherwise(0.0)).otherwise(1.0)
     f = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return out.withColumn("f", f).drop("pair", "gt_n", "dt_n", "gt_met", "dt_met")
+    return out.withColumn("f", f).drop("__gt_n", "__dt_n", "__gt_met", "__dt_met")
 
 
 def overlaps(masks: DataFrame, runs: DataFrame, least: float = 0.0, group: str = "image_id", side: str | None = None) -> DataFrame:
@@ -199,10 +235,7 @@ def largest(runs: DataFrame, key: str = "mask_id") -> DataFrame:
 
 def filled(runs: DataFrame, most: int, width: int, height: int, key: str = "mask_id") -> DataFrame:
     """Masks without holes, then without specks, of at most so many pixels; parts of both are those of eight neighbours in the frame."""
-    frame = runs.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), F.lit(0).alias("lo"), F.lit(height).alias("hi"))
-    holes = part_sizes(parted(minus(frame, runs, key), key=key), key).filter(F.col("size") <= most)
-    on = part_sizes(parted(either(runs, holes.select(key, "x", "lo", "hi"), key), key=key), key)
-    return on.filter(F.col("size") > most).select(key, "x", "lo", "hi")
+    return _by_masks([runs], lambda r, n: _numbers(S.filled(r[0], most, width, height)), key)
 
 
 def counts(runs: DataFrame, width: int, height: int, key: str = "mask_id") -> DataFrame:

@@ -66,7 +66,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def adapted(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An engine table. Frames have their metrics in one struct, as they are stored, so unused ones are not read."""
     base = BASE[name]
-    df = spark.sql(SQL[name].replace(f"FROM {base}", f"FROM {{{base}}}"), **{base: table(spark, sf_dir, base)})
+    rows = table(spark, sf_dir, base)
+    if name == "mask_runs":  # a key of some bytes is a mask: as many tasks as shuffles have
+        rows = rows.select("s_suppkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "s_suppkey")
+    df = spark.sql(SQL[name].replace(f"FROM {base}", f"FROM {{{base}}}"), **{base: rows})
     if name == "frames":
         df = df.select("filename", "frame_num", "shot_id", "error", "face_sim", "mask_area_pct", "phash", F.struct(*METRICS).alias("metrics"))
     return df

@@ -267,3 +267,47 @@ def test_large_frames(spark):
     for m, g in zip(masks, wide):
         p = np.pad(m, 3)
         assert (np.lib.stride_tricks.sliding_window_view(p, (7, 7)).any((2, 3)) == g).all()
+
+
+def test_a_task_holds_a_batch_of_masks(spark):
+    """Closing, filling and boundaries are one exchange and no window, whose rows a task would hold; batches may end inside a mask."""
+    masks = shapes(7, 11)
+    t = frame(spark, masks)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "7")
+    try:
+        for got, want in (
+            (runs.closed(t, runs.ellipse(5), W, H), [shrunk(grown(m, runs.ellipse(5)), runs.ellipse(5)) for m in masks]),
+            (runs.filled(t, 12, W, H), [pixels.fill_holes(m, 12) for m in masks]),
+            (runs.boundary(t, W, H), [plain_boundary(m) for m in masks]),
+        ):
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("Window") == 0 and plan.count("RepartitionByExpression") == 1
+            alike(got, want)
+    finally:
+        spark.conf.set(batch, before)
+
+
+def test_pairs_of_boundaries_are_rows_not_runs(spark, monkeypatch):
+    kept, keep = [], runs.keep
+
+    def counted(t):
+        kept.append(t.count())
+        return keep(t)
+
+    monkeypatch.setattr(runs, "keep", counted)
+    t = frame(spark, shapes(6, 4))
+    pairs = spark.createDataFrame([(i, j, "a") for i in range(6) for j in range(6)], "gt_id int, dt_id int, name string")
+    got = runs.boundary_scores(pairs, t, t, 2, W, H)
+    assert got.columns == ["gt_id", "dt_id", "name", "f"] and all(r.f == 1 for r in got.collect() if r.gt_id == r.dt_id)
+    assert kept == [6]
+
+
+def test_masks_of_a_group_together(spark):
+    masks = shapes(9, 12)
+    group = spark.createDataFrame([(i, None if i % 3 == 2 else i % 3) for i in range(9)], "mask_id int, category_id int")
+    got = runs.semantic(frame(spark, masks), group).collect()
+    for c in (0, 1, None):
+        want = np.any([m for i, m in enumerate(masks) if (None if i % 3 == 2 else i % 3) == c], 0)
+        assert sorted((r.x, r.lo, r.hi) for r in got if r.category_id == c) == column_runs(want)
