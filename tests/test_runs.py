@@ -311,3 +311,15 @@ def test_masks_of_a_group_together(spark):
     for c in (0, 1, None):
         want = np.any([m for i, m in enumerate(masks) if (None if i % 3 == 2 else i % 3) == c], 0)
         assert sorted((r.x, r.lo, r.hi) for r in got if r.category_id == c) == column_runs(want)
+
+
+def test_text_in_parts_of_a_batch(spark, monkeypatch):
+    """A batch of long masks is worked on in parts of bounded size; nulls stay null, a mask larger than a part is one."""
+    rows = [(i, None if i % 5 == 4 else [int(v) for v in np.random.default_rng(i).integers(0, 3000, 1 + i * 7)]) for i in range(40)]
+    t = spark.createDataFrame(rows, "i int, counts array<int>").coalesce(1)
+    for part in (1, 40, 10**6):
+        monkeypatch.setattr(mask_text, "PART", part)
+        cuts = mask_text._cuts(np.arange(40), np.array([1 + i * 7 for i in range(40)]))
+        assert all(len(c) == 1 or sum(1 + i * 7 for i in c) <= part for c in cuts) and np.concatenate(cuts).tolist() == list(range(40))
+    texts = t.select("i", "counts", mask_text.to_text(F.col("counts")).alias("text"))
+    assert all(list(r.again) == r.counts if r.counts else r.again is None and r.text is None for r in texts.withColumn("again", mask_text.from_text(F.col("text"))).collect())
