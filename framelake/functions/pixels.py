@@ -24,31 +24,37 @@ def pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
 
 
 def gray(image: np.ndarray) -> np.ndarray:
-    """Luminance rounded to whole numbers."""
-    if image.ndim == 2 or image.shape[2] == 1:
-        return image.reshape(image.shape[0], image.shape[1])
-    b, g, r = (image[:, :, i].astype(np.float64) for i in range(3))
+    """Luminance rounded to whole numbers, of one picture or a stack."""
+    if image.ndim == 2 or image.shape[-1] == 1:
+        return image if image.ndim == 2 else image[..., 0]
+    b, g, r = (image[..., i].astype(np.float64) for i in range(3))
     return np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5).astype(np.uint8)
 
 
 def hsv(image: np.ndarray) -> np.ndarray:
     """Hue (0 to 179), saturation and value (0 to 255) of blue, green, red bytes, by the usual table of twelve-bit fractions."""
-    b, g, r = (image[:, :, i].astype(np.int64) for i in range(3))
+    b, g, r = (image[..., i].astype(np.int64) for i in range(3))
     v = np.maximum(np.maximum(b, g), r)
     span = v - np.minimum(np.minimum(b, g), r)
     part = lambda whole, by: np.rint(whole / np.maximum(by, 1)).astype(np.int64)
     s = (span * part(255 << 12, v) + (1 << 11)) >> 12
     h = np.where(v == r, g - b, np.where(v == g, b - r + 2 * span, r - g + 4 * span))
     h = (h * part((180 << 12) / 6, span) + (1 << 11)) >> 12
-    return np.stack([h + np.where(h < 0, 180, 0), s, v], 2)
+    return np.stack([h + np.where(h < 0, 180, 0), s, v], -1)
+
+
+def content_changes(stack: np.ndarray) -> np.ndarray:
+    """Mean difference of hue, saturation and value of each picture of a stack and the one before it."""
+    x = hsv(stack if stack.shape[3] == 3 else np.repeat(stack, 3, 3))
+    return np.abs(np.diff(x, axis=0)).mean((1, 2)).mean(1)
 
 
 def content_change(a: np.ndarray, b: np.ndarray) -> float | None:
     """Mean difference of hue, saturation and value of two pictures; null if their sizes differ. Hue does not wrap around."""
-    if a.shape != b.shape:
-        return None
-    a, b = (hsv(x if x.shape[2] == 3 else np.repeat(x, 3, 2)) for x in (a, b))
-    return float(np.abs(a - b).mean((0, 1)).mean())
+    return float(content_changes(np.stack([a, b]))[0]) if a.shape == b.shape else None
+
+
+content_change.stacked = content_changes
 
 
 def _near(x: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
@@ -147,17 +153,31 @@ def phash(g: np.ndarray, side: int = 8, factor: int = 4) -> str:
     return _hashes(g[None], side, factor)[0]
 
 
-def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
-    """Mean structural similarity of two gray images of one size, over square windows."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
-    n = min(window, *a.shape)
-    view = lambda x: np.lib.stride_tricks.sliding_window_view(x, (n, n))
-    ma, mb = view(a).mean((2, 3)), view(b).mean((2, 3))
+def _ssims(a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    n = min(window, *a.shape[1:])
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        """Of every window; sums of whole numbers are exact."""
+        c = np.pad(x.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+        return (c[:, n:, n:] - c[:, :-n, n:] - c[:, n:, :-n] + c[:, :-n, :-n]) / (n * n)
+
+    ma, mb = mean(a), mean(b)
     k = n * n / max(1, n * n - 1)
-    va, vb = (view(a * a).mean((2, 3)) - ma * ma) * k, (view(b * b).mean((2, 3)) - mb * mb) * k
-    vab = (view(a * b).mean((2, 3)) - ma * mb) * k
+    va, vb = (mean(a * a) - ma * ma) * k, (mean(b * b) - mb * mb) * k
+    vab = (mean(a * b) - ma * mb) * k
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return float((((2 * ma * mb + c1) * (2 * vab + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+    return (((2 * ma * mb + c1) * (2 * vab + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean((1, 2))
+
+
+def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
+    """Mean structural similarity of two gray images of one size, over square windows."""
+    return float(_ssims(a.astype(np.float64)[None], b.astype(np.float64)[None], window)[0])
+
+
+def likenesses(stack: np.ndarray) -> np.ndarray:
+    """Structural similarity in gray of each picture of a stack and the one before it."""
+    g = gray(stack).astype(np.float64)
+    return _ssims(g[:-1], g[1:], 7)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float | None:
@@ -165,6 +185,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float | None:
     return ssim(gray(a), gray(b)) if a.shape[:2] == b.shape[:2] else None
 
 
+likeness.stacked = likenesses
+
+
 def linked(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, eight: bool = True) -> np.ndarray:
     """The connected part (number of its first run) of each run of one mask. A run is the rows lo..hi-1 of column x; runs come in order of x and lo."""
     reach = int(eight)

@@ -18,12 +18,38 @@ from pyspark.sql import functions as F
 from framelake.functions.pixels import pixels
 from framelake.session import keep
 
+#: Of two pictures. An attribute `stacked` gives the same for neighbours of a stack (n, height, width, channels): n - 1 numbers.
 Measure = Callable[[np.ndarray, np.ndarray], float | None]
+#: Bytes of pictures that are measured together.
+STACK = 1 << 20
 PICTURE = "struct<height: int, width: int, nChannels: int, data: binary>"
 
 
-def _array(p: dict | None) -> np.ndarray | None:
-    return None if p is None or p["data"] is None or p["height"] is None else pixels(p["data"], p["height"], p["width"], p["nChannels"])
+def _measured(measure: Measure, shapes: np.ndarray, data: list[bytes | None]) -> np.ndarray:
+    """Scores of pictures (rows of height, width, channels; a height of -1 for none) against the one before each, NaN where there is none.
+
+    Neighbours of one size are measured as stacks of at most STACK bytes, or two pictures."""
+    out, stacked = np.full(len(data), np.nan), getattr(measure, "stacked", None)
+    known, same = shapes[:, 0] >= 0, (shapes[1:] == shapes[:-1]).all(1) & (stacked is not None)
+    for i in np.flatnonzero(known[1:] & known[:-1] & ~same):
+        score = measure(*(pixels(data[k], *shapes[k].tolist()) for k in (i, i + 1)))
+        out[i + 1] = np.nan if score is None else score
+    ends = np.flatnonzero(np.concatenate([[True], ~(same & known[1:]), [True]]))
+    for first, last in zip(ends, ends[1:]):
+        size = int(shapes[first].prod())
+        n = max(1, STACK // max(1, size))
+        for at in range(first, last - 1, n):
+            many = data[at : min(at + n + 1, last)]
+            stack = np.frombuffer(b"".join(x[:size] for x in many), np.uint8).reshape(len(many), *shapes[first])
+            out[at + 1 : at + len(many)] = stacked(stack)
+    return out
+
+
+def _fields(pictures: pa.Array) -> tuple[np.ndarray, list[bytes | None]]:
+    *sides, data = pictures.flatten()
+    shapes = np.stack([s.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for s in sides], 1)
+    shapes[data.is_null().to_numpy(zero_copy_only=False) | (shapes < 0).any(1)] = -1
+    return shapes, data.to_pylist()
 
 
 def _compared(measure: Measure, names: list[str]):
@@ -31,23 +57,25 @@ def _compared(measure: Measure, names: list[str]):
     kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("data", pa.binary())])
 
     def made(rows: pa.RecordBatch, scores: list, first: list, last: list) -> pa.RecordBatch:
-        pictures = [p.as_py() if a or b else None for p, a, b in zip(rows.column("picture"), first, last)]
+        pictures = [None] * rows.num_rows
+        for i in {0, rows.num_rows - 1} if rows.num_rows else ():  # only these stand at an end
+            pictures[i] = rows.column("picture")[i].as_py() if first[i] or last[i] else None
         columns = [rows.column(c) for c in names]
         return pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(first, pa.bool_()), pa.array(last, pa.bool_()), pa.array(pictures, kind)], names=[*names, "score", "first", "last", "picture"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row so far: as a batch, its score, whether it is the first of all
-        group = before = None
+        group, shape, before = None, np.full((1, 3), -1), [None]
         for batch in batches:
-            scores = []
-            for own_group, picture in zip(batch.column("__group").to_pylist(), batch.column("picture").to_pylist()):
-                own = _array(picture)
-                near = own_group == group and own is not None and before is not None
-                scores.append(measure(before, own) if near else None)
-                group, before = own_group, own
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
+            shapes, data = _fields(batch.column("picture"))
+            groups = batch.column("__group").to_pylist()
+            found = _measured(measure, np.concatenate([shape, shapes]), [*before, *data])[1:]
+            new = [a != b for a, b in zip(groups, [group, *groups])]
+            scores = [None if cut or x != x else x for cut, x in zip(new, found.tolist())]
+            group, shape, before = groups[-1], shapes[-1:], data[-1:]
+            n = batch.num_rows
             first = [held is None, *[False] * (n - 1)]
             if held is not None:
                 yield made(*held, [False])
@@ -75,9 +103,10 @@ def scores(frames: DataFrame, order: list[str], measure: Measure, image: str = "
     @F.pandas_udf("double")
     def over_cut(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
         out = []
-        for x, y in zip(a.to_dict("records"), b.to_dict("records")):
-            p, q = (None if r["data"] is None else pixels(r["data"], int(r["height"]), int(r["width"]), int(r["nChannels"])) for r in (x, y))
-            out.append(None if p is None or q is None else measure(p, q))
+        for two in zip(a.to_dict("records"), b.to_dict("records")):
+            known = all(r["data"] is not None and r["height"] == r["height"] for r in two)
+            shapes = np.array([[r[c] for c in ("height", "width", "nChannels")] if known else [-1] * 3 for r in two], np.int64)
+            out.append(_measured(measure, shapes, [r["data"] for r in two])[1])
         return pd.Series(out, dtype="float64")
 
     joined = edges.select(*names, over_cut(F.coalesce("before", F.lit(None).cast(PICTURE)), F.col("picture")).alias("score"))

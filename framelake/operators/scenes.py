@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,8 +85,19 @@ def cuts(contents: DataFrame, order: str, video: str, threshold: float = 27.0, l
     frames. Only the frames over the threshold are gathered, a list a video."""
     over = F.array_sort(F.collect_list(F.when(F.col("content") >= threshold, F.col(order).cast("long"))))
     t = contents.groupBy(video).agg(F.min(order).cast("long").alias("first"), (F.max(order) + 1).cast("long").alias("end"), over.alias("over"))
-    opened = F.aggregate("over", F.array("first"), lambda acc, n: F.when(n - F.element_at(acc, -1) >= least, F.concat(acc, F.array(n))).otherwise(acc))
-    t = t.withColumn("opened", opened)
+
+    @F.pandas_udf("array<bigint>")
+    def opened(first: pd.Series, over: pd.Series) -> pd.Series:
+        out = []
+        for start, some in zip(first, over):
+            starts = [start]
+            for n in some.tolist():
+                if n - starts[-1] >= least:
+                    starts.append(n)
+            out.append(starts)
+        return pd.Series(out, dtype="object")
+
+    t = t.withColumn("opened", opened("first", "over"))
     return t.select(video, F.posexplode("opened").alias("shot_id", "start"), "opened", F.col("end").alias("last")).select(video, "shot_id", "start", F.coalesce(F.get("opened", F.col("shot_id") + 1), F.col("last")).alias("end"))
 
 

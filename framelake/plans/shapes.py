@@ -191,7 +191,9 @@ def _film(spark, d):
         return pd.Series(out)
 
     pic = F.struct(F.lit(6).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), draw("p_partkey").alias("data"))
-    return table(spark, d, "part").select((F.col("p_partkey") % 3).alias("video"), F.floor(F.col("p_partkey") / 3).alias("n"), pic.alias("image"))
+    # A key of some bytes is much work: as many tasks as shuffles have.
+    parts = table(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    return parts.select((F.col("p_partkey") % 3).alias("video"), F.floor(F.col("p_partkey") / 3).alias("n"), pic.alias("image"))
 
 
 _CONTENT = _FILM.replace("row_number() OVER (PARTITION BY video, n ORDER BY 0) AS i", "i").replace("AS b, (CAST", "AS b, r * 8 + c AS i, (CAST", 1) + """, z AS (SELECT a.video, a.n, (avg(abs(a.hue - b.hue)) + avg(abs(a.s - b.s)) + avg(abs(a.v - b.v))) / 3 AS content FROM k a JOIN k b ON a.video = b.video AND b.n = a.n - 1 AND a.i = b.i GROUP BY ALL),

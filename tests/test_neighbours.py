@@ -70,6 +70,14 @@ def test_cuts(spark):
     assert wide == [(0, 18), (18, 36), (36, 54), (54, 60)]
 
 
+def test_many_cuts_in_linear_time(spark):
+    """A shot that opens is appended, not copied with all before it."""
+    s = spark.range(300_000).selectExpr("1 AS video", "id AS n", "CAST(99 AS DOUBLE) AS content")
+    t = scenes.cuts(s, "n", "video", 20.0, 1)
+    assert "aggregate(over" not in t._jdf.queryExecution().optimizedPlan().toString()
+    assert t.count() == 300_000 and t.filter("start <> shot_id or end <> start + 1").count() == 0
+
+
 def test_ssim_neighbours(spark):
     pics = film(6, 20)
     quality = [float(i * 7 % 5) for i in range(20)]
@@ -83,6 +91,29 @@ def test_ssim_neighbours(spark):
     assert got == {f"f{i:03}" for i in range(20)} - lost and lost
 
 
+def test_neighbours_of_one_size_are_measured_together(monkeypatch):
+    """In stacks of bounded size, as if two by two; other sizes and missing pictures two by two or not at all."""
+    rng = np.random.default_rng(8)
+    pics = [None if i % 11 == 10 else rng.integers(0, 256, ((9, 8, 3), (9, 8, 1), (7, 8, 3))[i // 5 % 3], dtype=np.uint8) for i in range(60)]
+    shapes = np.array([[-1] * 3 if p is None else p.shape for p in pics])
+    data = [None if p is None else p.tobytes() + b"more" for p in pics]
+    for measure in (pixels.likeness, pixels.content_change):
+        calls = []
+
+        def seen(stack, f=measure.stacked, calls=calls):
+            calls.append(stack.nbytes)
+            return f(stack)
+
+        want = [None] + [None if a is None or b is None else measure(a, b) for a, b in zip(pics, pics[1:])]
+        for size in (1, 600, 1 << 20):
+            monkeypatch.setattr(neighbours, "STACK", size)
+            got = neighbours._measured(measure, shapes, data)
+            assert [None if x != x else x for x in got] == [None if w is None else pytest.approx(w, abs=1e-12) for w in want]
+        monkeypatch.setattr(measure, "stacked", seen)
+        neighbours._measured(measure, shapes, data)
+        assert 0 < len(calls) < 25
+
+
 def test_near_hashes_for_any_bands(spark):
     rng = np.random.default_rng(7)
     base = rng.integers(-(1 << 63), 1 << 63, 40, dtype=np.int64)
