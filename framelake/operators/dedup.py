@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -162,10 +163,13 @@ def _candidates(threshold: int, name: str, hash_col: str):
     return run
 
 
-def hybrid(frames: DataFrame, threshold: int, distance: DataFrame, most: float = 0.1, name: str = "filename", hash_col: str = "phash", quality: str = "quality") -> DataFrame:
-    """frames with kept: pairs by hash, here without replacement, confirmed by a distance (slot, frame, distance) of at most `most`."""
+def hybrid(frames: DataFrame, threshold: int, distance: DataFrame | Callable[[DataFrame], DataFrame], most: float = 0.1, name: str = "filename", hash_col: str = "phash", quality: str = "quality") -> DataFrame:
+    """frames with kept: pairs by hash, here without replacement, confirmed by a distance of at most `most`.
+
+    distance: a table (slot, frame, distance), or what adds the distance to pairs (slot, frame), which then are the only ones measured."""
     some = components(frames.filter(F.col(hash_col).isNotNull()).select(name, hash_col, quality), threshold, hash_col)
-    pairs = some.groupBy("component").applyInPandas(_candidates(threshold, name, hash_col), "slot string, frame string").join(distance, ["slot", "frame"]).filter(F.col("distance") <= most)
+    pairs = some.groupBy("component").applyInPandas(_candidates(threshold, name, hash_col), "slot string, frame string")
+    pairs = (distance(pairs) if callable(distance) else pairs.join(distance, ["slot", "frame"])).filter(F.col("distance") <= most)
     q = frames.select(F.col(name).alias("n"), F.coalesce(F.col(quality), F.lit(0.0)).alias("q"))
     pairs = pairs.join(q.toDF("slot", "slot_q"), "slot").join(q.toDF("frame", "frame_q"), "frame")
     lost = pairs.select(F.when(F.col("frame_q") > F.col("slot_q"), F.col("slot")).otherwise(F.col("frame")).alias(name)).distinct().withColumn("lost", F.lit(True))

@@ -81,9 +81,14 @@ p AS (SELECT unnest(pairs) AS p FROM r WHERE k = (SELECT max(k) FROM r)), l AS (
 SELECT filename, k NOT IN (SELECT k FROM l) AS kept FROM f""")
 def dedup_hybrid(spark, d):
     frames = _near_hashes(spark, d)
-    names = frames.select("filename", (F.col("frame_num") % 300).alias("g"), "frame_num")
-    pairs = names.toDF("slot", "g", "a").join(names.toDF("frame", "g", "b"), "g").filter("a < b").select("slot", "frame", ((F.col("a") + F.col("b")) % 20 / 100).alias("distance"))
-    return dedup.hybrid(frames, 4, pairs).select("filename", "kept")
+    names = frames.select("filename", "frame_num")
+
+    def distance(pairs):
+        """Of pairs with one base; only they have one."""
+        t = pairs.join(names.toDF("slot", "a"), "slot").join(names.toDF("frame", "b"), "frame").filter("a < b and a % 300 = b % 300")
+        return t.select("slot", "frame", ((F.col("a") + F.col("b")) % 20 / 100).alias("distance"))
+
+    return dedup.hybrid(frames, 4, distance).select("filename", "kept")
 
 
 @query("dup_stats", "SELECT count(*) AS frames, count(DISTINCT md5(text)) AS distinct_hashes, count(*) - count(DISTINCT md5(text)) AS duplicates FROM documents")

@@ -1,5 +1,7 @@
 """What larger tables showed: file names that repeat, and work that grew faster than the tables."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -216,3 +218,11 @@ def test_a_box_is_not_grouped_again(spark, name):
     """Groups are those of an image at most; no group is a whole row."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Aggregate [" in line and "idx#" in line.split("Aggregate [", 1)[1].split("]", 1)[0]]
+
+
+def test_only_candidates_have_a_distance(spark):
+    """The distances of dedup_hybrid are those of pairs by hash; no join pairs a base's frames."""
+    df = QUERIES["dedup_hybrid"](spark, DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\bg#", plan)
+    same(df, SQL["dedup_hybrid"])
