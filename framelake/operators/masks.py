@@ -1,15 +1,18 @@
-"""Suppression and association of masks. Masks are arrays of words (functions.masks); overlaps are computed in the
-JVM, and only pairs that overlap enough reach the greedy or optimal choice of a group."""
+"""Suppression and association of masks. Masks are arrays of words (functions.masks). For suppression overlaps are computed in the
+JVM, and only pairs that overlap enough reach the greedy choice of a group; detections and tracks meet in batches of images."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions import masks as M
-from framelake.functions.assign import assign
-from framelake.functions.groups import Arrays, per_group
+from framelake.functions.assign import CELLS, assign_many
+from framelake.functions.groups import Arrays, both_sides, per_batch, per_group, side_pairs
 
 # Overlaps that match a detection to a track, and a track to its detection; the score of a new one.
 MATCH, MATCH_TRACK, NEW = 0.5, 0.5, 0.5
@@ -60,18 +63,77 @@ def suppress(rows: DataFrame, least_score: float, threshold: float, group: str =
     return greedy_pairs(some, near, group, item, score)
 
 
+def _met(rows: pa.RecordBatch, left: np.ndarray, right: np.ndarray, mask: str) -> np.ndarray:
+    """Overlaps of pairs of a batch's masks, by the words between the first and the last one with a pixel in both."""
+    lists = rows.column(mask)
+    words = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    ends = lists.offsets.to_numpy()
+    sums = np.append(0, np.cumsum(np.bitwise_count(words), dtype=np.int64))
+    n = sums[ends[1:]] - sums[ends[:-1]]
+    # Places of words with a pixel; a mask's own are between those before its start and before its end.
+    on = np.flatnonzero(words)
+    lo, hi = np.searchsorted(on, ends[:-1]), np.searchsorted(on, ends[1:])
+    low, high = np.zeros(len(n), np.int64), np.full(len(n), -1)
+    some = np.flatnonzero(lo < hi)
+    low[some], high[some] = on[lo[some]] - ends[some], on[hi[some] - 1] - ends[some]
+    first = np.maximum(low[left], low[right])
+    wide = np.maximum(np.minimum(high[left], high[right]) - first + 1, 0)
+    i, done, k = np.zeros(len(left), np.int64), np.cumsum(wide), 0
+    while k < len(left):
+        e = max(k + 1, int(np.searchsorted(done, done[k] - wide[k] + CELLS, "right")))
+        w = wide[k:e]
+        at = np.cumsum(w) - w
+        step = np.arange(w.sum()) + np.repeat(first[k:e] - at, w)
+        x, y = (words[np.repeat(ends[side[k:e]], w) + step] for side in (left, right))
+        part = np.append(0, np.cumsum(np.bitwise_count(x & y), dtype=np.int64))
+        i[k:e] = part[at + w] - part[at]
+        k = e
+    return i / np.maximum(1, n[left] + n[right] - i)
+
+
+def _together(dets: DataFrame, tracks: DataFrame, key: str, schema: str, fn: Callable[..., dict], whole: bool = False) -> DataFrame:
+    """Rows of fn for detections (key, idx, conf, mask) and tracks (key, track_id, mask), each moved once, to its image.
+
+    fn gets rows of many images, which of them are a block's detections, how many detections and tracks its groups have, and the
+    rows of their pairs with the overlaps, by detection. A group is a detection, or a whole image."""
+    # A mask without pixels need not be moved.
+    mask = F.when(M.area(F.col("mask")) > 0, F.col("mask")).alias("mask")
+    both = both_sides(dets.select(key, "idx", "conf", mask), tracks.select(key, "track_id", mask))
+
+    def run(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[dict]:
+        for _, own, n, m, left, right in side_pairs(rows.column("side").to_numpy(), starts, whole):
+            yield fn(rows, own, n, m, left, right, _met(rows, left, right, "mask"))
+
+    return per_batch(both, [key], ["side", "idx", "track_id"], schema, run)
+
+
+def _pairs_schema(dets: DataFrame, tracks: DataFrame, key: str) -> str:
+    d, t = dict(dets.dtypes), dict(tracks.dtypes)
+    return f"{key} {d[key]}, idx {d['idx']}, conf {d['conf']}, track_id {t['track_id']}, iou double"
+
+
+def _pairs(rows: pa.RecordBatch, key: str, left: np.ndarray, right: np.ndarray, iou: np.ndarray) -> dict:
+    return {c: rows.column(c).take(pa.array(left)) for c in (key, "idx", "conf")} | {"track_id": rows.column("track_id").take(pa.array(right)), "iou": iou}
+
+
 def overlaps(dets: DataFrame, tracks: DataFrame, key: str = "image_id") -> DataFrame:
-    """key, idx, conf, track_id, iou: every detection with every track of its image; masks meet only where they could overlap."""
-    d, t = dets.select(key, "idx", F.col("mask").alias("md")), tracks.select(key, "track_id", F.col("mask").alias("mt"))
-    pairs = could_overlap(_reach(d, [key, "idx"], "md"), _reach(t, [key, "track_id"], "mt"), key, "idx", "track_id", 0.0)
-    met = pairs.join(d, [key, "idx"]).join(t, [key, "track_id"]).select(key, "idx", "track_id", M.iou(F.col("md"), F.col("mt")).alias("iou"))
-    return dets.select(key, "idx", "conf").join(tracks.select(key, "track_id"), key).join(met, [key, "idx", "track_id"], "left").fillna({"iou": 0.0})
+    """key, idx, conf, track_id, iou: every detection with every track of its image."""
+    return _together(dets, tracks, key, _pairs_schema(dets, tracks, key), lambda rows, own, n, m, left, right, iou: _pairs(rows, key, left, right, iou))
 
 
 def new_detections(dets: DataFrame, tracks: DataFrame, key: str = "image_id", match: float = MATCH, new: float = NEW) -> DataFrame:
     """Detections (key, idx) that match no track and score enough; all of an image without tracks."""
-    best = overlaps(dets, tracks, key).groupBy(key, "idx").agg(F.max("iou").alias("best"))
-    return dets.select(key, "idx", "conf").join(best, [key, "idx"], "left").filter("best is null or best < " + str(match)).filter(F.col("best").isNull() | (F.col("conf") >= new)).select(key, "idx")
+
+    def best(rows: pa.RecordBatch, own: np.ndarray, n: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, iou: np.ndarray) -> dict:
+        most = np.full(rows.num_rows, np.nan)  # no track to meet
+        runs = np.flatnonzero(np.diff(left, prepend=-1))
+        if len(runs):
+            most[left[runs]] = np.maximum.reduceat(iou, runs)
+        return {c: rows.column(c).take(pa.array(own)) for c in (key, "idx", "conf")} | {"best": most[own]}
+
+    kinds = dict(dets.dtypes)
+    t = _together(dets, tracks, key, f"{key} {kinds[key]}, idx {kinds['idx']}, conf {kinds['conf']}, best double", best)
+    return t.filter(F.isnan("best") | (F.col("best") < match) & (F.col("conf") >= new)).select(key, "idx")
 
 
 def matched_tracks(dets: DataFrame, tracks: DataFrame, key: str = "image_id", match: float = MATCH) -> DataFrame:
@@ -83,18 +145,11 @@ def assigned(dets: DataFrame, tracks: DataFrame, key: str = "image_id", match: f
     """key, track_id, idx, score, weighted, matched: the detection that the best assignment of an image gives each track, its
     score, that times the overlap, and whether they overlap enough. Tracks without a row, or not matched, are unmatched."""
 
-    def run(a: Arrays) -> Arrays:
-        (d, i), (t, j) = (np.unique(a[c], return_inverse=True) for c in ("idx", "track_id"))
-        at = np.full((len(d), len(t)), -1)
-        at[i, j] = np.arange(len(i))
-        score = np.zeros(at.shape)
-        score[i, j] = a["iou"]
-        rows = at[assign(score)]
-        return {c: a[c][rows[rows >= 0]] for c in (key, "track_id", "idx", "conf", "iou")}
-
-    rows = overlaps(dets, tracks, key)
-    kinds = dict(rows.dtypes)
-    out = per_group(rows, [key], ["idx", "track_id"], f"{key} {kinds[key]}, track_id {kinds['track_id']}, idx {kinds['idx']}, conf {kinds['conf']}, iou double", run)
+    def best(rows: pa.RecordBatch, own: np.ndarray, n: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, iou: np.ndarray) -> dict:
+        on = assign_many(iou, n, m)
+        return _pairs(rows, key, left[on], right[on], iou[on])
+
+    out = _together(dets, tracks, key, _pairs_schema(dets, tracks, key), best, whole=True)
     return out.select(key, "track_id", "idx", F.col("conf").alias("score"), (F.col("conf") * F.col("iou")).alias("weighted"), (F.col("iou") >= match).alias("matched"))
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from framelake.functions import pixels as P
 from framelake.functions import masks
-from framelake.functions.assign import assign, iou_matrix
+from framelake.functions.assign import assign, assign_many, iou_matrix
 from framelake.operators import evaluation as E
 from framelake.operators import frames as FR
+from framelake.operators import masks as O
 from framelake.operators import matching as M
 from framelake.operators import seeds, training
 from framelake.plans import QUERIES, SQL, tables
@@ -226,3 +227,41 @@ def test_only_candidates_have_a_distance(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"\bg#", plan)
     same(df, SQL["dedup_hybrid"])
+
+
+def test_assignments_of_many_groups_like_one_by_one():
+    rng = np.random.default_rng(3)
+    n, m = rng.integers(0, 9, 600), rng.integers(0, 9, 600)
+    score = rng.random((n * m).sum()) * (rng.random((n * m).sum()) < 0.6)
+    got, starts = assign_many(score, n, m), np.cumsum(n * m) - n * m
+    for g, at in enumerate(starts):
+        one = score[at : at + n[g] * m[g]].reshape(n[g], m[g])
+        i, j = np.divmod(got[(got >= at) & (got < at + one.size)] - at, max(1, m[g]))
+        assert len(set(i)) == len(set(j)) == len(i) == min(n[g], m[g])
+        assert one[i, j].sum() == pytest.approx(one[assign(one)].sum())
+
+
+@pytest.mark.parametrize("name", ["mask_assigned", "mask_new", "mask_tracks"])
+def test_a_mask_meets_its_image_in_one_move(spark, name):
+    assert "Join" not in QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_masks_of_any_length_met_in_blocks_like_columns(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: int(rng.integers(-(2**63), 2**63 - 1)) if rng.random() < 0.6 else 0
+    mask = lambda: [None, [], [0, 0], [5, None]][rng.integers(4)] if rng.random() < 0.2 else [word() for _ in range(rng.integers(1, 9))]
+    keys = [1] * 40 + [2] * 3 + [4] * 2 + [None] * 2
+    d = spark.createDataFrame([(k, i, 0.3 + i % 5 / 5, mask()) for i, k in enumerate(keys)], "image_id long, idx int, conf double, mask array<long>")
+    t = spark.createDataFrame([(k, i, mask()) for i, k in enumerate([1] * 30 + [2] * 5 + [3] + [None])], "image_id long, track_id long, mask array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.image_id, r.idx, r.track_id): r.iou for r in O.overlaps(d, t).collect()}
+        new = {(r.image_id, r.idx) for r in O.new_detections(d, t).collect()}
+        pairs = O.assigned(d, t).groupBy("image_id").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    both = d.join(t.withColumnRenamed("mask", "other"), "image_id").select("image_id", "idx", "conf", "track_id", F.when((masks.area(F.col("mask")) > 0) & (masks.area(F.col("other")) > 0), masks.iou(F.col("mask"), F.col("other"))).otherwise(0.0).alias("iou")).collect()
+    assert got == {(r.image_id, r.idx, r.track_id): r.iou for r in both}
+    best = {i: max(r.iou for r in both if r.idx == i) for i in {r.idx for r in both}}
+    assert new == {(k, i) for i, k in enumerate(keys) if i not in best or best[i] < 0.5 and 0.3 + i % 5 / 5 >= 0.5}
+    assert {r.image_id: r["count"] for r in pairs} == {1: 30, 2: 3}
