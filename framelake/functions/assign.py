@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import permutations
 from math import perm
 
@@ -65,6 +66,11 @@ def assign(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[order].astype(np.int64), cols[order].astype(np.int64)
 
 
+@cache
+def _ways(many: int, few: int) -> np.ndarray:
+    return np.array(list(permutations(range(many), few)))
+
+
 def assign_many(score: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Which cells the assignments of many groups take, ascending; score has the cells of n[0] by m[0] scores row by row, then n[1] by m[1] ...
 
@@ -88,7 +94,7 @@ def assign_many(score: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
                 left = np.flatnonzero((alike[:, 1:] == alike[:, :-1]).any(1))
                 ways = perm(many, few)
                 if len(left) and ways <= WAYS:
-                    tried = np.array(list(permutations(range(many), few)))
+                    tried = _ways(many, few)
                     part = max(1, CELLS // ways)
                     for j in range(0, len(left), part):
                         some = left[j : j + part]

@@ -265,3 +265,41 @@ def test_masks_of_any_length_met_in_blocks_like_columns(spark):
     best = {i: max(r.iou for r in both if r.idx == i) for i in {r.idx for r in both}}
     assert new == {(k, i) for i, k in enumerate(keys) if i not in best or best[i] < 0.5 and 0.3 + i % 5 / 5 >= 0.5}
     assert {r.image_id: r["count"] for r in pairs} == {1: 30, 2: 3}
+
+
+def _some_boxes(spark, rng, keys, names, shift=0):
+    low = rng.integers(0, 40, (len(keys), 2))
+    box = np.hstack([low, low + rng.integers(0, 25, low.shape)]).astype(float).tolist()
+    return spark.createDataFrame([(k, i + shift, *box[i], 0.3 + i % 7 / 10) for i, k in enumerate(keys)], f"image_id long, {names} long, x1 double, y1 double, x2 double, y2 double, conf double")
+
+
+def _by_image(df, *names):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.image_id, []).append(tuple(r[c] for c in names))
+    return out
+
+
+def test_associate_in_batches_like_loops(spark):
+    rng = np.random.default_rng(8)
+    d, t = _some_boxes(spark, rng, rng.integers(0, 60, 260).tolist() + [99] * 30, "idx"), _some_boxes(spark, rng, rng.integers(5, 70, 200).tolist() + [99] * 25, "track_id", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        out = M.associate(d, t, "image_id", match=0.2)
+        got = {(r.image_id, r.idx): r for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()  # a call has many images
+    dets, tracks = _by_image(d, "idx", *M.BOX), _by_image(t, "track_id", *M.BOX)
+    assert len(got) == sum(map(len, dets.values()))
+    for image, rows in dets.items():
+        rows, others = np.array(sorted(rows)), np.array(sorted(tracks.get(image, [])))
+        iou = iou_matrix(rows[:, 1:], others[:, 1:]) if len(others) else np.zeros((len(rows), 0))
+        mine = [got[image, int(i)] for i in rows[:, 0]]
+        best = iou.max(1) if len(others) else np.zeros(len(rows))
+        assert [r.iou for r in mine] == best.tolist() and [r.is_new for r in mine] == (best < 0.1).tolist()
+        pairs = [(k, others[:, 0].tolist().index(r.track_id)) for k, r in enumerate(mine) if r.track_id is not None]
+        assert len({j for _, j in pairs}) == len(pairs) and all(iou[p] >= 0.2 for p in pairs)
+        if len(others):
+            i, j = assign(iou)
+            assert sum(iou[p] for p in pairs) == pytest.approx(iou[i, j][iou[i, j] >= 0.2].sum())
