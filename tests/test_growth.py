@@ -303,3 +303,25 @@ def test_associate_in_batches_like_loops(spark):
         if len(others):
             i, j = assign(iou)
             assert sum(iou[p] for p in pairs) == pytest.approx(iou[i, j][iou[i, j] >= 0.2].sum())
+
+
+def test_match_counts_in_batches_like_loops(spark):
+    rng = np.random.default_rng(9)
+    g, d = _some_boxes(spark, rng, rng.integers(0, 60, 240).tolist() + [99] * 20, "idx"), _some_boxes(spark, rng, rng.integers(5, 70, 240).tolist() + [99] * 30, "idx")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        out = E.match_counts(g, d, thresholds=(0.3, 0.6))
+        got = {(r.image_id, r.threshold): (r.tp, r.fp, r.fn, r.n_gt, r.n_dt) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()  # a call has many images
+    truths, found = _by_image(g, *M.BOX), _by_image(d.filter("conf >= 0.5"), *M.BOX)
+    want = {}
+    for image in truths.keys() | found.keys():
+        a, b = np.array(truths.get(image, [])).reshape(-1, 4), np.array(found.get(image, [])).reshape(-1, 4)
+        iou = iou_matrix(a, b)
+        on = iou[assign(iou)]
+        for t in (0.3, 0.6):
+            tp = int((on >= t).sum())
+            want[image, t] = (tp, len(b) - tp, len(a) - tp, len(a), len(b))
+    assert got == want
