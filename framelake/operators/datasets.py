@@ -120,13 +120,17 @@ def most_a_frame(queries: DataFrame, most: int, positives: bool = False, seed: i
     """Queries (datapoint, frame, query, objects) of videos whose frames all have the same ones in the same order: the same `most` of each frame.
 
     They are chosen in frame 0 by a hash, with `positives` those with objects first. A video without a frame of more than `most` keeps all."""
-    t = queries.withColumn("__place", F.row_number().over(Window.partitionBy("datapoint", "frame").orderBy("query")))
-    large = t.withColumn("__large", F.max("__place").over(Window.partitionBy("datapoint")) > most)
+    # All windows read one exchange by datapoint in one order; the choice is made at a datapoint's first row.
+    every, frame = Window.partitionBy("datapoint"), Window.partitionBy("datapoint", "frame")
+    rank = F.when(F.size("objects") > 0, 0).when(F.size("objects") <= 0, 1).otherwise(2) if positives else F.lit(0)
+    t = queries.withColumn("__rank", rank).withColumn("__row", F.row_number().over(every.orderBy("frame", "query")))
+    t = t.withColumn("__place", F.col("__row") - F.min("__row").over(frame) + 1)
     mark = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("datapoint").cast("string"), F.col("__place").cast("string")))
-    order = [F.desc(F.size("objects") > 0), mark] if positives else [mark]
-    first = large.filter("frame = 0").withColumn("__k", F.row_number().over(Window.partitionBy("datapoint").orderBy(*order))).filter(F.col("__k") <= most)
-    chosen = first.select("datapoint", "__place", F.lit(True).alias("__chosen"))
-    return large.join(chosen, ["datapoint", "__place"], "left").filter("not __large or __chosen").drop("__place", "__large", "__chosen")
+    first = F.when(F.col("frame") == 0, F.struct("__rank", mark.alias("mark"), F.col("__place").alias("place")))
+    t = t.withColumns({"__large": F.max("__place").over(every) > most, "__first": F.collect_list(first).over(every)})
+    chosen = F.transform(F.slice(F.array_sort("__first"), 1, most), lambda x: x["place"])
+    t = t.withColumn("__first", F.when(F.col("__large") & (F.col("__row") == 1), chosen)).withColumn("__chosen", F.first("__first", ignorenulls=True).over(every))
+    return t.filter(~F.col("__large") | F.array_contains("__chosen", F.col("__place"))).drop("__rank", "__row", "__place", "__large", "__first", "__chosen")
 
 
 def filter_queries(queries: DataFrame, keep: Column) -> DataFrame:

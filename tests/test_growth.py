@@ -1,5 +1,6 @@
 """What larger tables showed: file names that repeat, and work that grew faster than the tables."""
 
+import hashlib
 import re
 
 import duckdb
@@ -15,7 +16,7 @@ from framelake.operators import evaluation as E
 from framelake.operators import frames as FR
 from framelake.operators import masks as O
 from framelake.operators import matching as M
-from framelake.operators import seeds, training
+from framelake.operators import datasets, seeds, training
 from framelake.plans import QUERIES, SQL, tables
 from framelake.plans.adapters import adapted
 from oracle import DATA, TABLES, same
@@ -325,3 +326,29 @@ def test_match_counts_in_batches_like_loops(spark):
             tp = int((on >= t).sum())
             want[image, t] = (tp, len(b) - tp, len(a) - tp, len(a), len(b))
     assert got == want
+
+
+def test_most_a_frame_in_one_move_like_loops(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for v in range(30):
+        n, frames = int(rng.integers(1, 9)), [1, 2] if v % 10 == 7 else [0, 1, 3]
+        has = [[[1, 2], [], None][rng.integers(3)] for _ in range(n)]
+        rows += [(v, f, 100 * f + 7 * i, has[i]) for f in frames for i in range(n)]
+    t = spark.createDataFrame(rows, "datapoint long, frame int, query long, objects array<int>").repartition(5)
+    for positives in (False, True):
+        out = datasets.most_a_frame(t, 3, positives, seed=2)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert out.columns == t.columns and plan.count("Exchange hashpartitioning(datapoint") == 1 and "Join" not in plan
+        want = []
+        for v in range(30):
+            mine = [r for r in rows if r[0] == v]
+            places = {f: sorted(r[2] for r in mine if r[1] == f) for f in {r[1] for r in mine}}
+            if max(map(len, places.values())) <= 3:
+                want += mine
+                continue
+            objects = {r[2]: r[3] for r in mine if r[1] == 0}
+            order = sorted((((2 if objects[q] is None else int(not objects[q])) if positives else 0), hashlib.md5(f"2:{v}:{k + 1}".encode()).hexdigest(), k) for k, q in enumerate(places.get(0, [])))
+            chosen = {k for _, _, k in order[:3]}
+            want += [r for r in mine if places[r[1]].index(r[2]) in chosen]
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out.collect())
