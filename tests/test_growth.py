@@ -352,3 +352,29 @@ def test_most_a_frame_in_one_move_like_loops(spark):
             chosen = {k for _, _, k in order[:3]}
             want += [r for r in mine if places[r[1]].index(r[2]) in chosen]
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out.collect())
+
+
+def test_datapoints_move_once_like_loops(spark):
+    rng = np.random.default_rng(12)
+    images = [(i, int(rng.integers(50, 90)), int(rng.integers(40, 80))) for i in range(25)]
+    anns = [(i, 3 * k, [float(v) for v in rng.random(4)]) for i in range(22) for k in rng.permutation(rng.integers(0, 6)).tolist()]
+    asked = [(i, q, f"text {q % 2}", [None, [], [int(v) for v in rng.integers(0, 14, 4)]][min(2, int(rng.integers(0, 8)))]) for i in range(3, 25) for q in range(rng.integers(0, 4))]
+    args = [spark.createDataFrame(r, s).repartition(3) for r, s in ((images, "image_id long, width int, height int"), (anns, "image_id long, ann_id int, box array<double>"), (asked, "image_id long, query int, text string, ann_ids array<int>"))]
+    out = training.datapoints(*args)
+    assert out.columns == ["image_id", "width", "height", "objects", "queries"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    got = {r.image_id: r for r in out.collect()}
+    assert len(got) == len(images)
+    for i, w, h in images:
+        mine = sorted((a, b) for k, a, b in anns if k == i)
+        cut = lambda v, most: min(max(v, 0.0), float(most))
+        boxes = [(cut(x * w, w), cut(y * h, h), cut((x + bw) * w, w), cut((y + bh) * h, h)) for _, (x, y, bw, bh) in mine]
+        ids = [a for a, _ in mine]
+        queries = [(text, sorted(ids.index(a) for a in ann or [] if a in ids)) for _, text, ann in sorted((q, t, a) for k, q, t, a in asked if k == i)]
+        assert got[i].objects == (boxes or None) and got[i].queries == (queries or None)
+
+
+def test_datapoints_number_boxes_once(spark):
+    """What images, annotations and queries read has no window over the driver's table behind it."""
+    assert "l_orderkey" not in QUERIES["datapoints"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
