@@ -17,7 +17,7 @@ from framelake.operators import frames as FR
 from framelake.operators import masks as O
 from framelake.operators import matching as M
 from framelake.operators import datasets, seeds, training
-from framelake.plans import QUERIES, SQL, tables
+from framelake.plans import QUERIES, SQL, quality, tables
 from framelake.plans.adapters import adapted
 from oracle import DATA, TABLES, same
 
@@ -202,6 +202,26 @@ def test_no_row_a_pair_of_boxes(spark, monkeypatch, score):
     assert sizes and max(sizes) < pairs / 10
 
 
+def test_a_task_sums_some_ids_at_once(spark, monkeypatch):
+    """And hands on a part at a time, whose rows are those of all at once."""
+    gt, dt = quality._truth(spark, "/root/testdata/sf0.01")
+    seen, sizes, best, long_group = [], [], FR._best, FR.per_long_group
+    monkeypatch.setattr(FR, "per_long_group", lambda df, keys, order, schema, fn, tasks: seen.append((df.orderBy(*keys, *order), keys, fn)) or long_group(df, keys, order, schema, fn, tasks))
+    monkeypatch.setattr(FR, "_best", lambda *a: sizes.append(len(a[5]) * len(a[6])) or best(*a))
+    rows = FR._summed(FR.sides(gt, dt, ["video_id"]).withColumn("n", F.lit(60)), ["video_id"])
+    want = FR._candidates(rows, ["video_id"])
+    df, keys, fn = seen[0]
+    got = {}
+    for cells, chunk in ((1 << 22, 1 << 16), (100, 50)):
+        monkeypatch.setattr(FR, "CELLS", cells)
+        monkeypatch.setattr(FR, "CHUNK", chunk)
+        sizes.clear()
+        parts = [{c: v.tolist() for c, v in part.items()} for _, one in df.toPandas().groupby(keys) for part in fn({c: one[c].to_numpy() for c in df.columns if c not in keys})]
+        got[cells] = sorted(x for p in parts for x in zip(p["t"], p["r"], p["c"], p["sim"], p["score"], strict=True))
+        assert max(sizes) <= cells and max(len(p["t"]) for p in parts) <= chunk + 200
+    assert got[100] == got[1 << 22] == sorted((x.t, x.r, x.c, x.sim, x.score) for x in want.collect())
+
+
 def test_runs_of_long_masks_in_linear_time(spark):
     """Ends are made a few times, not once for each run."""
     on = [[i % 2 for i in range(6000)], [1] * 7, [0], [1, 0, 0], []]
