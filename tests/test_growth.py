@@ -222,6 +222,19 @@ def test_a_task_sums_some_ids_at_once(spark, monkeypatch):
     assert got[100] == got[1 << 22] == sorted((x.t, x.r, x.c, x.sim, x.score) for x in want.collect())
 
 
+def test_the_other_side_is_copied_for_tasks_not_for_pairs(spark, monkeypatch):
+    gt, dt = quality._truth(spark, "/root/testdata/sf0.01")
+    keys, blocks = ["video_id", "category_id"], []
+    monkeypatch.setattr(FR, "CELLS", 8)
+    for name in ("per_group", "per_long_group"):
+        if hasattr(FR, name):
+            monkeypatch.setattr(FR, name, lambda df, by, *a, f=getattr(FR, name), **k: blocks.append((df, by)) or f(df, by, *a, **k))
+    FR._candidates(FR.sides(gt, dt, keys).withColumns({"n": F.lit(60), "total": F.lit(1.0), "lead": F.lit(1)}), keys)
+    df, by = blocks[0]
+    sequences = df.select(*by[:-1]).distinct().count()
+    assert df.select(*by).distinct().count() <= sequences + 2 * spark.sparkContext.defaultParallelism
+
+
 def test_runs_of_long_masks_in_linear_time(spark):
     """Ends are made a few times, not once for each run."""
     on = [[i % 2 for i in range(6000)], [1] * 7, [0], [1, 0, 0], []]
